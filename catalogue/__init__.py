@@ -1,4 +1,4 @@
 """The queries by group."""
 
-from catalogue import profiling  # noqa: F401
+from catalogue import cleaning, profiling  # noqa: F401
 from catalogue.registry import ORACLES, QUERIES  # noqa: F401

@@ -169,18 +169,15 @@ def fit_preprocessing(
     if levels:
         codes = {c: f"_code_{i}" for i, c in enumerate(levels)}
         slots = {c: _slot_name("cat", c) for c in levels}
-        indexer = StringIndexerModel.from_arrays_of_labels(
-            [found for _, found in levels.values()],
-            inputCols=list(texts.values()),
-            outputCols=list(codes.values()),
-            handleInvalid="keep",
-        )
+        stages += [
+            StringIndexerModel.from_labels(found, inputCol=texts[c], outputCol=codes[c], handleInvalid="keep")
+            for c, (_, found) in levels.items()
+        ]
         # The indexer's slot for unseen values is the last one, which dropLast turns into zeros.
         encoder = OneHotEncoder(
             inputCols=list(codes.values()), outputCols=list(slots.values()), dropLast=True
         )
-        indexed = indexer.transform(stages[0].transform(df.limit(1)))
-        stages += [indexer, encoder.fit(indexed)]
+        stages.append(encoder.fit(PipelineModel(list(stages)).transform(df.limit(1))))
         inputs += list(slots.values())
     stages.append(VectorAssembler(inputCols=inputs, outputCol=output))
     return PipelineModel(stages)
