@@ -57,16 +57,14 @@ def classification_metrics(
     by = list(by)
     cells = confusion(df, label, prediction, by)
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
+    none = F.lit(0).cast("bigint")
+
+    def side(kind: str, support, hits, called):
+        return F.struct(F.col(kind).alias("class"), support.alias("support"), hits.alias("hits"), called.alias("called"))
+
     # Each cell counts once for its label and once for its prediction.
-    sides = cells.select(
-        *by,
-        F.inline(
-            F.array(
-                F.struct(F.col("label").alias("class"), F.col("n").alias("support"), hit.alias("hits"), F.lit(0).cast("bigint").alias("called")),
-                F.struct(F.col("prediction"), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.col("n")),
-            )
-        ),
-    )
+    pair = F.array(side("label", F.col("n"), hit, none), side("prediction", none, none, F.col("n")))
+    sides = cells.select(*by, F.inline(pair))
     classes = sides.groupBy(*by, "class").agg(
         F.sum("support").alias("support"), F.sum("hits").alias("hits"), F.sum("called").alias("called")
     )
