@@ -1,18 +1,32 @@
-"""Broadcast joins behind a check of the size."""
+"""Small frames held on the driver, and broadcast joins behind a check of the size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 BROADCAST_ROWS = 100_000
 
 
+def local_frame(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType | str) -> DataFrame:
+    """Frame from driver rows. Through Arrow it becomes a local relation, which needs no Python worker."""
+    fields = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    if any(isinstance(f.dataType, T.UserDefinedType) for f in fields):
+        return spark.createDataFrame(list(rows), fields)
+    arrow = to_arrow_schema(fields)
+    columns = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.table(columns, schema=arrow), fields)
+
+
 def local_copy(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
     """The frame as driver rows if it has at most ``limit`` of them, so later uses cost no job."""
     rows = df.take(limit + 1)
     if len(rows) > limit:
         return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return local_frame(df.sparkSession, rows, df.schema)
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tabwright.functions.small import local_frame
 from tabwright.operators.metrics import CLASS_METRICS, VALUE_METRICS, lower_is_better, metric_key
 
 # Fixed value: rows of the board and of the importance list shown on a page.
@@ -19,7 +20,7 @@ def board_rows(spark: SparkSession, results: Sequence[dict], task: str) -> DataF
     rows = [
         (r["model"], round(float(r["training_time"]), 2), *[r["metrics"].get(m) for m in metrics]) for r in results
     ]
-    return spark.createDataFrame(rows, schema)
+    return local_frame(spark, rows, schema)
 
 
 def ranking(metric: str) -> list[Column]:

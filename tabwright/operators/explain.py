@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.ml import Model, PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabwright.functions.small import local_copy
+from tabwright.functions.small import local_copy, local_frame
 from tabwright.operators.kernel_shap import kernel_shap
 from tabwright.operators.prep import feature_names
 from tabwright.operators.tree_shap import TREE_MODELS, tree_shap
@@ -27,7 +27,7 @@ def mean_absolute(values: DataFrame, names: Sequence[str], column: str = "shap")
     one = values.select(F.posexplode(column).alias("_slot", "_per_output")).select(
         "_slot", (F.aggregate("_per_output", F.lit(0.0), lambda a, v: a + F.abs(v)) / size).alias("_value")
     )
-    named = values.sparkSession.createDataFrame(list(enumerate(names)), "_slot int, feature string")
+    named = local_frame(values.sparkSession, list(enumerate(names)), "_slot int, feature string")
     means = one.groupBy("_slot").agg(F.avg("_value").alias("importance"))
     return means.join(F.broadcast(named), "_slot").select("feature", "importance")
 
@@ -43,7 +43,7 @@ def native_importance(spark: SparkSession, model: Model, names: Sequence[str]) -
     elif hasattr(model, "coefficients"):
         values = np.abs(model.coefficients.toArray())
     rows = [(name, float(value)) for name, value in zip(names, values)]
-    return spark.createDataFrame(rows, "feature string, importance double")
+    return local_frame(spark, rows, "feature string, importance double")
 
 
 def top_features(importance: DataFrame, k: int = TOP_K) -> DataFrame:

@@ -52,33 +52,38 @@ def interaction_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def engineer_features(
-    df: DataFrame, target: str, config: Mapping, task: str, fit_on: DataFrame | None = None
+    df: DataFrame,
+    target: str,
+    config: Mapping,
+    task: str,
+    key: Sequence[str] = (),
+    fit_on: DataFrame | None = None,
 ) -> DataFrame:
     """Apply the steps that ``config`` switches on, then the feature selection.
 
-    ``fit_on`` learns shifts and the selection from another frame with the same columns.
+    ``key`` columns identify a row; they are carried along and never used. ``fit_on`` learns shifts
+    and the selection from another frame with the same columns.
     """
-    columns = numeric_columns(df, skip=[target])
+    source = df if fit_on is None else fit_on
+    columns = numeric_columns(df, skip=[target, *key])
     steps = []
     if config.get("log_transform"):
-        shifts = fit_log_shift(df if fit_on is None else fit_on, columns)
+        shifts = fit_log_shift(source, columns)
         steps.append(lambda d: log_transform(d, shifts))
     if config.get("polynomial_features") and columns:
         steps.append(lambda d: polynomial_features(d, columns))
     if config.get("feature_interactions") and len(columns) >= 2:
         steps.append(lambda d: interaction_features(d, columns))
-    source = fit_on
     for step in steps:
-        df = step(df)
-        source = None if source is None else step(source)
+        df, source = step(df), step(source)
     selection = config.get("feature_selection") or {}
     if not selection.get("enabled"):
         return df
     chosen = select_features(
-        df if source is None else source,
+        source.drop(*key),
         target,
         selection.get("method", "variance_threshold"),
         selection.get("k_features"),
         task,
     )
-    return df.select(*[ref(c) for c in chosen], ref(target))
+    return df.select(*[ref(c) for c in [*key, *chosen, target]])

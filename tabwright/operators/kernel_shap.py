@@ -14,6 +14,8 @@ from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabwright.functions.small import local_frame
+
 SEED = 42
 EXTRA_COALITIONS = 2048
 
@@ -89,8 +91,8 @@ def kernel_shap(
     full = len(masks)
     plan = [(c, [bool(v) for v in m], [float(v) / len(known) for v in solve[:, c]]) for c, m in enumerate(masks)]
     plan.append((full, [True] * size, [0.0] * (size - 1)))
-    coalition_frame = spark.createDataFrame(plan, "c int, mask array<boolean>, w array<double>")
-    background_frame = spark.createDataFrame([(i, r["b"]) for i, r in enumerate(known)], "b_id int, b array<double>")
+    coalition_frame = local_frame(spark, plan, "c int, mask array<boolean>, w array<double>")
+    background_frame = local_frame(spark, [(i, r["b"]) for i, r in enumerate(known)], "b_id int, b array<double>")
     # The full coalition equals the row itself and needs no background.
     last_background = F.when(F.col("c") == full, 0).otherwise(len(known) - 1)
     mixed = (

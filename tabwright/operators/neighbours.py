@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tabwright.functions.small import local_frame
+
 TRAIN_BLOCK = 4_096
 QUERY_BLOCK = 512
 MAX_PIVOTS = 256
@@ -64,8 +66,8 @@ def nearest_neighbours(
     asked = query.select(F.col(query_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     rows = points.count()
     if rows == 0:
-        return query.sparkSession.createDataFrame(
-            [], f"{query_id} bigint, rank int, neighbour_id bigint, distance double"
+        return local_frame(
+            query.sparkSession, [], f"{query_id} bigint, rank int, neighbour_id bigint, distance double"
         )
     count = min(MAX_PIVOTS, max(1, math.isqrt(rows)))
     span = 1 << 31

@@ -85,9 +85,10 @@ def remove_outliers(
 ) -> DataFrame:
     """Drop outlier rows by ``method``; kept rows hold their original values, nulls included.
 
-    ``fit_on`` learns the limits from another frame, for instance the training part alone.
+    ``key`` names columns that identify a row and are not tested. ``fit_on`` learns the limits from
+    another frame, for instance the training part alone.
     """
-    columns = numeric_columns(df, skip=[target] if target else [])
+    columns = numeric_columns(df, skip=[*([target] if target else []), *(key or [])])
     method = str(method).lower()
     if not columns:
         return df

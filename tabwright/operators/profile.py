@@ -19,7 +19,7 @@ from tabwright.functions.columns import (
 from tabwright.functions.counting import top_values, value_counts
 from tabwright.functions.ordering import ORDER, order_hash, rank_cuts
 from tabwright.functions.quantiles import exact_quantiles
-from tabwright.functions.small import broadcast_if_small
+from tabwright.functions.small import broadcast_if_small, local_frame
 
 # Limits of the task rule, of the bounded sample and of the charts.
 CLASS_LIMIT = 20
@@ -34,7 +34,7 @@ QUARTILES = (0.25, 0.5, 0.75)
 
 
 def dtypes_frame(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame(df.dtypes, "column string, dtype string")
+    return local_frame(df.sparkSession, df.dtypes, "column string, dtype string")
 
 
 def problem_type_frame(df: DataFrame, target: str) -> DataFrame:
@@ -132,7 +132,7 @@ def describe_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         numbers = set(numeric_columns(df))
         columns = [c for c in df.columns if c not in numbers]
     found = top_values(value_counts(df, columns))
-    named = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    named = local_frame(df.sparkSession, [(c,) for c in columns], "column string")
     return named.join(found, "column", "left").select(
         "column",
         F.coalesce("total", F.lit(0)).alias("count"),
@@ -171,7 +171,7 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     """
     columns = list(columns or numeric_columns(df))
     if len(columns) < 2:
-        return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
+        return local_frame(df.sparkSession, [], "col_a string, col_b string, corr double")
     pairs = correlation_pairs(df, columns)
     both = pairs.select(
         F.inline(
@@ -204,7 +204,7 @@ def bounded_sample(df: DataFrame, rows: int, key: Sequence[str], seed: int = SAM
     size = df.count()
     if size <= rows:
         return df
-    wanted = df.sparkSession.createDataFrame([(0, rows)], "cut int, rank bigint")
+    wanted = local_frame(df.sparkSession, [(0, rows)], "cut int, rank bigint")
     bound = rank_cuts(hashed.select(ORDER), wanted, rows=size).first()["bound"]
     return hashed.where(F.col(ORDER) <= F.lit(bound)).drop(ORDER)
 
@@ -214,7 +214,8 @@ def advice(df: DataFrame, target: str, task: str | None = None) -> DataFrame:
     task = task or problem_type(df, target)
     facts = missing_totals(df).first()
     rows = df.count()
-    return df.sparkSession.createDataFrame(
+    return local_frame(
+        df.sparkSession,
         _advice_rows(facts["total_missing"], _class_span(df, target, task), rows, len(df.columns) - 1),
         "seq int, title string, description string, recommendation string",
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabwright.functions.columns import ref, require_columns
 from tabwright.functions.ordering import ORDER, order_hash, rank_cuts
-from tabwright.functions.small import broadcast_if_small, local_copy
+from tabwright.functions.small import broadcast_if_small, local_copy, local_frame
 from tabwright.session import materialise
 
 # Default share of the test part, number of folds, and the seed.
@@ -57,7 +57,7 @@ def holdout_split(
     """Mark exactly ``ceil(share * rows)`` rows as test."""
     require_columns(df, *key)
     rows = df.count()
-    wanted = df.sparkSession.createDataFrame([(0, math.ceil(share * rows))], "cut int, rank bigint")
+    wanted = local_frame(df.sparkSession, [(0, math.ceil(share * rows))], "cut int, rank bigint")
     return _assign(df, key, seed, wanted, rows, output).withColumn(output, F.col(output) == 0)
 
 
@@ -100,7 +100,7 @@ def kfold(
     for i in range(folds - 1):
         upto += rows // folds + (i < rows % folds)
         ends.append((i, upto))
-    wanted = df.sparkSession.createDataFrame(ends, "cut int, rank bigint")
+    wanted = local_frame(df.sparkSession, ends, "cut int, rank bigint")
     return _assign(df, key, seed, wanted, rows, output)
 
 

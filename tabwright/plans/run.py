@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -13,7 +14,7 @@ from tabwright.operators.explain import RUN_TOP_K, feature_importance
 from tabwright.operators.features import engineer_features
 from tabwright.operators.meta import resolve_models
 from tabwright.operators.metrics import check_metric
-from tabwright.operators.outliers import remove_outliers
+from tabwright.operators.outliers import CONTAMINATION, IQR_MULTIPLIER, ZSCORE_THRESHOLD, remove_outliers
 from tabwright.operators.prep import config_preprocessing
 from tabwright.operators.profile import problem_type
 from tabwright.operators.split import holdout_split, stratified_split
@@ -38,57 +39,42 @@ class Outcome:
         return self.training.board()
 
 
-def prepare_features(df: DataFrame, target: str, task: str, config: Mapping, key: Sequence[str] | None = None) -> DataFrame:
+def prepare_features(df: DataFrame, target: str, task: str, config: Mapping, key: Sequence[str]) -> DataFrame:
     """Outlier removal, feature building and label codes, in that order.
 
     They learn from all rows, or with ``training_strategy.fit_on = "train"`` from the train part
     of the later split only.
     """
-    fit_on = None
+    source = None
     if config["training_strategy"].get("fit_on") == "train":
         share = config["dataset_settings"]["train_test_split"]
-        by = list(key or [ROW_ID])
-        marked = (
-            stratified_split(df, target, by, share) if task == "classification" else holdout_split(df, by, share)
-        )
-        fit_on = marked.where(~F.col("is_test")).drop("is_test")
-    hidden = [c for c in (key or [ROW_ID]) if c in df.columns]
+        if task == "classification":
+            marked = stratified_split(df, target, key, share)
+        else:
+            marked = holdout_split(df, key, share)
+        source = marked.where(~F.col("is_test")).drop("is_test")
+
     removal = config["outlier_removal"]
     limits = removal.get("threshold_parameters") or {}
-    visible = lambda d: None if d is None else d.drop(*hidden)
-    if removal["method"] != "none":
-        work = remove_outliers(
-            df.withColumn("_hidden", F.struct(*hidden)).drop(*hidden),
-            target,
-            removal["method"],
-            zscore_threshold=float(limits.get("zscore_threshold", 3.0)),
-            iqr_multiplier=float(limits.get("iqr_multiplier", 1.5)),
-            contamination=float(limits.get("isolation_forest_contamination", 0.05)),
-            fit_on=visible(fit_on),
-        )
-        df = work.select(*[ref(c) for c in work.columns if c != "_hidden"], "_hidden.*")
-    kept = [c for c in df.columns if c not in hidden]
-    packed = df.select(*[ref(c) for c in kept], F.struct(*hidden).alias("_hidden"))
-    return _with_hidden(packed, target, task, config, visible(fit_on))
-
-
-def _with_hidden(packed: DataFrame, target: str, task: str, config: Mapping, fit_on: DataFrame | None) -> DataFrame:
-    """Build features without the row key in sight, then put it back."""
-    engineering = config["feature_engineering"]
-    selection = engineering.get("feature_selection") or {}
-    visible = packed.drop("_hidden")
-    steps = {**engineering, "feature_selection": {"enabled": False}}
-    built = engineer_features(packed, target, steps, task, fit_on)
-    source = engineer_features(visible if fit_on is None else fit_on, target, steps, task)
-    if selection.get("enabled"):
-        chosen = engineer_features(source, target, {"feature_selection": selection}, task).columns
-        built = built.select(*[ref(c) for c in chosen], "_hidden")
-        source = source.select(*[ref(c) for c in chosen])
-    if config["data_cleaning"]["categorical_encoding"] == "label":
-        columns = text_columns(source, [target])
-        if columns:
-            built = label_encode(built, columns, level_codes(source, columns))
-    return built.select(*[ref(c) for c in built.columns if c != "_hidden"], "_hidden.*")
+    clean = partial(
+        remove_outliers,
+        target=target,
+        method=removal["method"],
+        zscore_threshold=float(limits.get("zscore_threshold", ZSCORE_THRESHOLD)),
+        iqr_multiplier=float(limits.get("iqr_multiplier", IQR_MULTIPLIER)),
+        contamination=float(limits.get("isolation_forest_contamination", CONTAMINATION)),
+        key=key,
+        fit_on=source,
+    )
+    df = clean(df)
+    source = None if source is None else clean(source)
+
+    built = engineer_features(df, target, config["feature_engineering"], task, key, source)
+    if config["data_cleaning"]["categorical_encoding"] != "label":
+        return built
+    columns = text_columns(built, [target, *key])
+    codes = level_codes(built if source is None else source, columns) if columns else None
+    return label_encode(built, columns, codes)
 
 
 def run(
@@ -137,7 +123,7 @@ def _execute(df: DataFrame, settings: dict, key: Sequence[str] | None, run_id: s
     metric = check_metric(settings["evaluation_metrics"]["primary_metric"], task)
     report(15.0, "Profiling complete", problem_type=task)
 
-    prepared = materialise(prepare_features(df, target, task, settings, key))
+    prepared = materialise(prepare_features(df, target, task, settings, by))
     plain = prepared.drop(*by)
     report(30.0, "Feature processing complete")
 

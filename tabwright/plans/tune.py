@@ -86,9 +86,11 @@ def tune(
     """
     draws = draw_params(name, trials, seed)
     jobs = [(t, f) for t in range(len(draws)) for f in range(len(frames))]
-    run = inheritable_thread_target(
-        lambda job: _fold_score(name, task, draws[job[0]], frames[job[1]], metric, classes)
-    )
+
+    @inheritable_thread_target(frames[0].train.sparkSession)
+    def run(job: tuple[int, int]) -> float:
+        return _fold_score(name, task, draws[job[0]], frames[job[1]], metric, classes)
+
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         scores = list(pool.map(run, jobs))
     means = []

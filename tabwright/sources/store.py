@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tabwright.functions.small import local_frame
 from tabwright.operators.board import leaderboard
 
 RUN_SCHEMA = (
@@ -39,7 +40,7 @@ class Store:
     def register_dataset(self, path: str, profile: dict) -> str:
         dataset_id = str(uuid.uuid4())
         row = [(dataset_id, path, json.dumps(profile, default=str))]
-        added = self.spark.createDataFrame(row, "dataset_id string, path string, profile string")
+        added = local_frame(self.spark, row, "dataset_id string, path string, profile string")
         added.withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{self.root}/datasets")
         return dataset_id
 
@@ -68,7 +69,7 @@ class Store:
         state.update(run_id=run_id, seq=time.time_ns(), at=None)
         if isinstance(state["metrics"], dict):
             state["metrics"] = json.dumps(state["metrics"])
-        row = self.spark.createDataFrame([tuple(state[n] for n in names)], RUN_SCHEMA)
+        row = local_frame(self.spark, [tuple(state[n] for n in names)], RUN_SCHEMA)
         row.withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{self.root}/runs")
 
     def run_log(self) -> DataFrame:
@@ -101,7 +102,7 @@ class Store:
 
     def save_report(self, run_id: str, report: dict) -> str:
         path = self._artefact(run_id, "report")
-        self.spark.createDataFrame([(json.dumps(report, default=str),)], "value string").coalesce(1).write.mode(
+        local_frame(self.spark, [(json.dumps(report, default=str),)], "value string").coalesce(1).write.mode(
             "overwrite"
         ).text(path)
         return path
@@ -138,5 +139,5 @@ class Store:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         files = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not files.exists(hadoop):
-            return self.spark.createDataFrame([], schema)
+            return local_frame(self.spark, [], schema)
         return self.spark.read.schema(schema).parquet(path)
