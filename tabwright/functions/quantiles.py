@@ -1,9 +1,9 @@
 """Exact interpolated quantiles that do not depend on one task's memory.
 
-The built-in ``percentile`` keeps every distinct value of a column in one aggregation buffer. It is
-used while the table is small. Beyond that each wanted rank is bracketed with the bounded
-``percentile_approx`` sketch, the rows under the bracket are counted, and only values inside the
-bracket are ranked. The answer is the same in both cases.
+The built-in ``percentile`` keeps every distinct value of a column in one aggregation buffer. Here
+each wanted rank is first bracketed with the bounded ``percentile_approx`` sketch and the rows under
+the bracket are counted; that is repeated until few rows are left inside. Only those are then
+counted by value and ranked. A table that is small to begin with goes straight to the ranking.
 """
 
 from __future__ import annotations
@@ -12,137 +12,135 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabwright.functions.columns import as_double
 
 SKETCH_ACCURACY = 10_000
-DIRECT_CELLS = 8_000_000
-BRACKET_ROWS = 1_000_000
+MARGIN = 2.0 / SKETCH_ACCURACY
+BRACKET_ROWS = 2_000_000
+
+
+@dataclass(frozen=True)
+class _Bracket:
+    """Values of one column between two bounds, with the number of rows below and inside."""
+
+    column: str
+    low: float
+    high: float
+    below: int
+    inside: int
+
+    @property
+    def open(self) -> bool:
+        return self.low < self.high
+
+    def holds(self) -> Column:
+        value = as_double(self.column)
+        if math.isinf(self.low) and math.isinf(self.high):
+            return value.isNotNull()
+        return value.between(F.lit(self.low), F.lit(self.high))
 
 
 @dataclass
 class _Slot:
-    """One wanted quantile of one column: the ranks it lies between and the current bracket."""
+    """One wanted quantile: the 0-based ranks it lies between and the bracket that holds them."""
 
-    column: str
     prob: float
     rank_low: int
     rank_high: int
     weight: float
-    low: float = -math.inf
-    high: float = math.inf
-    below: int = 0
-    inside: int = 0
-
-    @property
-    def settled(self) -> bool:
-        return self.low == self.high
-
-    def within(self):
-        value = as_double(self.column)
-        return (value >= F.lit(self.low)) & (value <= F.lit(self.high))
+    bracket: _Bracket
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], direct_cells: int = DIRECT_CELLS
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], bracket_rows: int = BRACKET_ROWS
 ) -> dict[str, list[float | None]]:
     """Quantiles by linear interpolation between order statistics, nulls left out."""
     if not columns:
         return {}
-    counts = df.agg(*[F.count(as_double(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    sizes = {c: counts[i] for i, c in enumerate(columns)}
-    if sum(sizes.values()) <= direct_cells:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(as_double(c), wanted).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-        return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(columns)}
-
-    slots = [_make_slot(c, p, sizes[c]) for c in columns for p in probs if sizes[c]]
-    _narrow(df, slots)
-    found = _ranked_values(df, slots)
-    return {
-        c: [found.get((c, p)) for p in probs] for c in columns
-    }
+    counts = df.agg(*[F.count(as_double(c)) for c in columns]).first()
+    slots = []
+    for c, rows in zip(columns, counts):
+        if rows:
+            whole = _Bracket(c, -math.inf, math.inf, 0, rows)
+            slots += [_make_slot(p, whole) for p in probs]
+    while _narrow(df, slots, bracket_rows):
+        pass
+    found = _ranked_values(df, slots) if slots else {}
+    return {c: [found.get((c, p)) for p in probs] for c in columns}
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str], **kwargs) -> dict[str, float | None]:
     return {c: values[0] for c, values in exact_quantiles(df, columns, [0.5], **kwargs).items()}
 
 
-def _make_slot(column: str, prob: float, rows: int) -> _Slot:
-    position = prob * (rows - 1)
+def _make_slot(prob: float, bracket: _Bracket) -> _Slot:
+    position = prob * (bracket.inside - 1)
     low = math.floor(position)
-    return _Slot(column, prob, low, min(low + 1, rows - 1), position - low, inside=rows)
-
-
-def _narrow(df: DataFrame, slots: list[_Slot]) -> None:
-    """Shrink the brackets round by round until few rows are left in each or nothing shrinks."""
-    margin = 2.0 / SKETCH_ACCURACY
-    while True:
-        open_slots = [s for s in slots if not s.settled and s.inside > BRACKET_ROWS]
-        if not open_slots:
-            return
-        guesses = []
-        for i, s in enumerate(open_slots):
-            start = max((s.rank_low - s.below) / s.inside - margin, 0.0)
-            stop = min((s.rank_high - s.below + 1) / s.inside + margin, 1.0)
-            guesses.append(
-                F.percentile_approx(
-                    F.when(s.within(), as_double(s.column)), [start, stop], SKETCH_ACCURACY
-                ).alias(f"b{i}")
-            )
-        bounds = df.agg(*guesses).first()
-        tallies = []
-        for i, s in enumerate(open_slots):
-            value = as_double(s.column)
-            low, high = bounds[i]
-            tallies.append(F.count_if(value < F.lit(low)).alias(f"u{i}"))
-            tallies.append(F.count_if((value >= F.lit(low)) & (value <= F.lit(high))).alias(f"v{i}"))
-        tally = df.agg(*tallies).first()
-        shrunk = False
-        for i, s in enumerate(open_slots):
-            below, inside = tally[f"u{i}"], tally[f"v{i}"]
-            holds = below <= s.rank_low and s.rank_high < below + inside
-            if holds and inside < s.inside:
-                s.low, s.high = bounds[i]
-                s.below, s.inside = below, inside
-                shrunk = True
-        if not shrunk:
-            return
+    return _Slot(prob, low, min(low + 1, bracket.inside - 1), position - low, bracket)
+
+
+def _narrow(df: DataFrame, slots: list[_Slot], bracket_rows: int) -> bool:
+    """One round of shrinking the brackets that are too full; false if none shrinks any more."""
+    full = [s for s in slots if s.bracket.open and s.bracket.inside > bracket_rows]
+    if not full:
+        return False
+    brackets = list(dict.fromkeys(s.bracket for s in full))
+    sketches, places = [], {}
+    for i, b in enumerate(brackets):
+        wanted = []
+        for s in full:
+            if s.bracket == b:
+                places[id(s)] = (i, len(wanted))
+                start = max((s.rank_low - b.below) / b.inside - MARGIN, 0.0)
+                stop = min((s.rank_high - b.below + 1) / b.inside + MARGIN, 1.0)
+                wanted += [start, stop]
+        sketches.append(F.percentile_approx(F.when(b.holds(), as_double(b.column)), wanted, SKETCH_ACCURACY))
+    bounds = df.agg(*sketches).first()
+    tallies, guesses = [], []
+    for s in full:
+        i, j = places[id(s)]
+        low, high = bounds[i][j], bounds[i][j + 1]
+        value = as_double(s.bracket.column)
+        guesses.append((low, high))
+        tallies += [F.count_if(value < F.lit(low)), F.count_if(value.between(F.lit(low), F.lit(high)))]
+    tally = df.agg(*[t.alias(f"t{k}") for k, t in enumerate(tallies)]).first()
+    shrunk = False
+    for k, (s, (low, high)) in enumerate(zip(full, guesses)):
+        below, inside = tally[2 * k], tally[2 * k + 1]
+        if below <= s.rank_low and s.rank_high < below + inside < below + s.bracket.inside:
+            s.bracket = _Bracket(s.bracket.column, low, high, below, inside)
+            shrunk = True
+    return shrunk
 
 
 def _ranked_values(df: DataFrame, slots: list[_Slot]) -> dict[tuple[str, float], float]:
-    """Read the two order statistics of every slot from the values inside its bracket."""
+    """Read the order statistics of every slot from the value counts inside its bracket."""
+    brackets = list(dict.fromkeys(s.bracket for s in slots))
     entries = F.array(
         *[
-            F.when(s.within(), F.struct(F.lit(i).alias("slot"), as_double(s.column).alias("value")))
-            for i, s in enumerate(slots)
+            F.when(b.holds(), F.struct(F.lit(i).alias("b"), as_double(b.column).alias("value")))
+            for i, b in enumerate(brackets)
         ]
     )
-    counted = (
-        df.select(F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
-        .groupBy("e.slot", "e.value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = Window.partitionBy("slot").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("last", F.sum("n").over(upto) - 1).withColumn("first", F.col("last") - F.col("n") + 1)
-    wanted = F.create_map(
-        *[
-            part
-            for i, s in enumerate(slots)
-            for part in (F.lit(i), F.array(F.lit(s.rank_low - s.below), F.lit(s.rank_high - s.below)))
-        ]
+    counted = df.select(F.inline(entries)).where(F.col("b").isNotNull()).groupBy("b", "value").agg(
+        F.count(F.lit(1)).alias("n")
     )
+    upto = Window.partitionBy("b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    last = (F.sum("n").over(upto) - 1).alias("last")
+    ranked = counted.select("b", "value", "n", last).withColumn("first", F.col("last") - F.col("n") + 1)
+    ranks = {i: sorted({r - b.below for s in slots if s.bracket == b for r in (s.rank_low, s.rank_high)}) for i, b in enumerate(brackets)}
+    wanted = F.create_map(*[part for i, rs in ranks.items() for part in (F.lit(i), F.array(*[F.lit(r) for r in rs]))])
     hits = ranked.where(
-        F.exists(wanted[F.col("slot")], lambda r: (r >= F.col("first")) & (r <= F.col("last")))
+        F.exists(wanted[F.col("b")], lambda r: (r >= F.col("first")) & (r <= F.col("last")))
     ).collect()
+    values = {
+        (h["b"], r): h["value"] for h in hits for r in ranks[h["b"]] if h["first"] <= r <= h["last"]
+    }
     result = {}
-    for i, s in enumerate(slots):
-        rows = [h for h in hits if h["slot"] == i]
-
-        def at(rank: int) -> float:
-            return next(h["value"] for h in rows if h["first"] <= rank <= h["last"])
-
-        low, high = at(s.rank_low - s.below), at(s.rank_high - s.below)
-        result[(s.column, s.prob)] = low + (high - low) * s.weight
+    for s in slots:
+        i = brackets.index(s.bracket)
+        low, high = values[i, s.rank_low - s.bracket.below], values[i, s.rank_high - s.bracket.below]
+        result[s.bracket.column, s.prob] = low + (high - low) * s.weight
     return result

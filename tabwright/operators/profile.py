@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tabwright.functions.columns import (
     as_double,
@@ -28,7 +30,6 @@ SAMPLE_ROWS = 10_000
 SAMPLE_SEED = 42
 CHART_COLUMNS = 12
 
-PAIRS_PER_PASS = 200
 DUPLICATE_HASHES = 2_000_000
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -142,26 +143,71 @@ def describe_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     )
 
 
-def pair_correlation(a: str, b: str) -> Column:
-    """Pearson over the rows where both are present; 0 where it is not defined."""
-    x, y = as_double(a), as_double(b)
-    spread = F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x))
-    return F.coalesce(F.try_divide(F.regr_sxy(y, x), spread), F.lit(0.0))
-
-
-def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(col_a, col_b, corr)`` for each unordered pair, unrounded."""
-    pairs = list(combinations(columns, 2))
-    frames = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start : start + PAIRS_PER_PASS]
-        wide = df.agg(*[pair_correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
-        rows = [(F.lit(a), F.lit(b), F.col(f"r{i}")) for i, (a, b) in enumerate(chunk)]
-        frames.append(rows_from_wide(wide, ("col_a", "col_b", "corr"), rows))
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionAll(frame)
-    return result
+@dataclass(frozen=True)
+class Spread:
+    """What one pass tells about a numeric column."""
+
+    mean: float
+    complete: bool
+    varies: bool
+
+
+def column_spreads(df: DataFrame, columns: Sequence[str]) -> dict[str, Spread]:
+    aggregates = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(columns):
+        value = as_double(c)
+        aggregates += [F.avg(value).alias(f"a{i}"), F.count(value).alias(f"c{i}"), (F.min(value) < F.max(value)).alias(f"v{i}")]
+    row = df.agg(*aggregates).first()
+    return {
+        c: Spread(row[f"a{i}"] or 0.0, row[f"c{i}"] == row["n"], bool(row[f"v{i}"])) for i, c in enumerate(columns)
+    }
+
+
+def pair_sums(df: DataFrame, spreads: dict[str, Spread]) -> DataFrame:
+    """``(i, j, n, x, y, xx, yy, xy)``: sums of deviations over the rows where both columns are present.
+
+    Each task multiplies its Arrow batches as matrices, with a 0/1 matrix for the present values,
+    and gives one row per pair of columns; the rows are then added up.
+    """
+    means = np.array([s.mean for s in spreads.values()])
+    first, second = np.triu_indices(len(means), 1)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((4, len(means), len(means)))
+        for batch in batches:
+            values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            there = (~np.isnan(values)).astype(float)
+            moved = np.where(there > 0, values - means, 0.0)
+            totals += [there.T @ there, moved.T @ there, (moved * moved).T @ there, moved.T @ moved]
+        n, single, square, product = totals
+        sums = [n[first, second], single[first, second], single[second, first], square[first, second],
+                square[second, first], product[first, second]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(first.astype("int32")), pa.array(second.astype("int32")), *map(pa.array, sums)], names=SUM_NAMES
+        )
+
+    numbers = df.select(*[as_double(c).alias(f"c{i}") for i, c in enumerate(spreads)])
+    partial = numbers.mapInArrow(products, "i int, j int, " + ", ".join(f"{s} double" for s in SUM_NAMES[2:]))
+    return partial.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in SUM_NAMES[2:]])
+
+
+SUM_NAMES = ["i", "j", "n", "x", "y", "xx", "yy", "xy"]
+
+
+def correlation_pairs(
+    df: DataFrame, columns: Sequence[str], spreads: dict[str, Spread] | None = None
+) -> DataFrame:
+    """``(col_a, col_b, corr)`` for each unordered pair, unrounded; 0 where it is not defined."""
+    spreads = spreads or column_spreads(df, columns)
+    names = F.array(*[F.lit(c) for c in spreads])
+    varies = F.array(*[F.lit(s.varies) for s in spreads.values()])
+    mean_of = lambda a, b: F.try_divide(F.col(a) * F.col(b), "n")
+    alone = (F.col("xx") - mean_of("x", "x")) * (F.col("yy") - mean_of("y", "y"))
+    both_vary = varies[F.col("i")] & varies[F.col("j")] & (alone > 0)
+    corr = F.when(both_vary, F.try_divide(F.col("xy") - mean_of("x", "y"), F.sqrt(alone)))
+    return pair_sums(df, spreads).select(
+        names[F.col("i")].alias("col_a"), names[F.col("j")].alias("col_b"), F.coalesce(corr, F.lit(0.0)).alias("corr")
+    )
 
 
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -172,7 +218,8 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     columns = list(columns or numeric_columns(df))
     if len(columns) < 2:
         return local_frame(df.sparkSession, [], "col_a string, col_b string, corr double")
-    pairs = correlation_pairs(df, columns)
+    spreads = column_spreads(df, columns)
+    pairs = correlation_pairs(df, columns, spreads)
     both = pairs.select(
         F.inline(
             F.array(
@@ -181,11 +228,10 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
             )
         )
     )
-    varies = df.agg(*[(F.min(as_double(c)) < F.max(as_double(c))).alias(f"v{i}") for i, c in enumerate(columns)])
-    diagonal = rows_from_wide(
-        varies,
-        ("col_a", "col_b", "corr"),
-        [(F.lit(c), F.lit(c), F.coalesce(F.col(f"v{i}").cast("double"), F.lit(0.0))) for i, c in enumerate(columns)],
+    diagonal = local_frame(
+        df.sparkSession,
+        [(c, c, float(spreads[c].varies)) for c in columns],
+        "col_a string, col_b string, corr double",
     )
     return both.unionAll(diagonal).withColumn("corr", F.round("corr", 4))
 
