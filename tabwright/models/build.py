@@ -120,7 +120,9 @@ def _boosted(name: str, task: str, params: Mapping[str, Any], facts: TrainFacts)
 
 def _one_vs_rest(classifier: Estimator, features: str) -> list[Estimator]:
     """One model per class, then a logistic fit on their margins for the probabilities."""
-    classifier = classifier.copy({classifier.getParam("featuresCol"): features})
+    classifier = classifier.copy(
+        {classifier.getParam("featuresCol"): features, classifier.getParam("rawPredictionCol"): "margins"}
+    )
     return [
         OneVsRest(classifier=classifier, featuresCol=features, rawPredictionCol="margins"),
         LogisticRegression(featuresCol="margins", rawPredictionCol="_raw", predictionCol="_calibrated"),
