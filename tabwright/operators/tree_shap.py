@@ -46,7 +46,7 @@ def read_nodes(model: Model, spark) -> dict[int, dict[int, dict]]:
     path = scratch_path(spark, "trees")
     model.write().save(path)
     trees: dict[int, dict[int, dict]] = {}
-    for r in spark.read.parquet(f"{path}/data").toLocalIterator():
+    for r in spark.read.parquet(f"{path}/data").collect():
         trees.setdefault(r["treeID"], {})[r["nodeData"]["id"]] = r["nodeData"]
     return trees
 
@@ -142,6 +142,3 @@ def tree_shap(df: DataFrame, model: Model, features: str = "features", output: s
 
     return df.withColumn(output, explain(vector_to_array(F.col(features))))
 
-
-def expected_output(model: Model, spark) -> list[float]:
-    return list(leaf_tables(model, spark)[2])

@@ -15,7 +15,7 @@ def spark():
         "tests",
         "local[8]",
         **{
-            "spark.sql.shuffle.partitions": "8",
+            "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "8g",
             "spark.log.level": "ERROR",
             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tabwright-tests-"),
