@@ -153,9 +153,9 @@ def feat_interactions(spark, sf_dir):
     "feat_label_encode",
     "WITH g AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, "
     "o_orderpriority, CAST(o_orderdate AS VARCHAR) AS o_orderdate FROM orders) SELECT o_orderkey, "
-    "CAST(CASE WHEN o_orderstatus IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY o_orderstatus NULLS LAST) - 1 END AS INTEGER) AS o_orderstatus, "
-    "CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS o_orderpriority, "
-    "CAST(dense_rank() OVER (ORDER BY o_orderdate) - 1 AS INTEGER) AS o_orderdate FROM g",
+    "CAST(CASE WHEN o_orderstatus IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY o_orderstatus NULLS LAST) - 1 END AS BIGINT) AS o_orderstatus, "
+    "CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS BIGINT) AS o_orderpriority, "
+    "CAST(dense_rank() OVER (ORDER BY o_orderdate) - 1 AS BIGINT) AS o_orderdate FROM g",
 )
 def feat_label_encode(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").selectExpr(

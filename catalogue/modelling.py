@@ -7,17 +7,19 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalogue.registry import query, table
-from tabwright.models.build import TrainFacts, build_model
-from tabwright.models.catalog import draw_params, list_models
+from tabwright.models.build import TrainFacts, build_model, scored_columns
+from tabwright.models.catalog import list_models
 from tabwright.operators import explain, prep
+from tabwright.operators.board import board_rows
 from tabwright.operators.kernel_shap import kernel_shap
+from tabwright.operators.metrics import evaluate
 from tabwright.operators.neighbours import nearest_neighbours, vote
 from tabwright.operators.profile import bounded_sample
 from tabwright.operators.split import kfold
 from tabwright.operators.tree_shap import tree_shap
 from tabwright.plans.run import run
-from tabwright.plans.train import train_all
-from tabwright.plans.tune import fold_frames, tune
+from tabwright.plans.train import prepare_rows, split_rows, train_all
+from tabwright.plans.tune import cross_validate, fold_frames, tune
 
 # Tables to learn from
 
@@ -163,17 +165,13 @@ _QUICK = {"n_estimators": 15, "max_depth": 4}
 
 def _model_run(name: str, task: str):
     def trained(spark, sf_dir):
-        from tabwright.operators.metrics import evaluate
-        from tabwright.models.build import scored_columns
-        from tabwright.operators.board import board_rows
-        from tabwright.plans.train import prepare_rows, split_rows
-
         if task == "classification":
             rows, target, numbers, texts, key = _graded_documents(spark, sf_dir), "quality", _DOC_NUMBERS, _DOC_TEXTS, "doc_id"
         else:
             rows, target, numbers, texts, key = _parts(spark, sf_dir), "p_retailprice", ["p_size"], ["p_brand", "p_type"], "p_partkey"
         ready, labels = prepare_rows(rows, target, task, [key])
         train, test = split_rows(ready, task, [key], 0.2, 5)
+        train = train.persist()
         stages = prep.fit_preprocessing(train, numbers, texts)
         vectors = stages.transform(train).select("features", "label").persist()
         facts = TrainFacts.of(vectors, task)
@@ -206,24 +204,18 @@ _FOLDS_SQL = (
 @query("cross_validation", _FOLDS_SQL)
 def cross_validation(spark, sf_dir):
     """Fold scores of a linear regression whose preprocessing is learned within each fold."""
-    from tabwright.plans.tune import cross_validate
-
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("x"), F.col("p_retailprice").alias("label"))
-    folded = kfold(rows, ["p_partkey"])
+    folded = kfold(rows, ["p_partkey"]).persist()
     frames = fold_frames(folded, lambda d: prep.fit_preprocessing(d, ["x"], []), "regression", 5)
     scores = cross_validate("LinearRegression", "regression", {}, frames, "rmse", 0)
-    for f in frames:
-        f.release()
     return spark.createDataFrame([(i, round(s, 5)) for i, s in enumerate(scores)], "fold int, rmse double")
 
 
 @query("tune_ridge")
 def tune_ridge(spark, sf_dir):
-    folded = kfold(_parts(spark, sf_dir).withColumn("label", F.col("p_retailprice")), ["p_partkey"], 3)
+    folded = kfold(_parts(spark, sf_dir).withColumn("label", F.col("p_retailprice")), ["p_partkey"], 3).persist()
     frames = fold_frames(folded, lambda d: prep.fit_preprocessing(d, ["p_size"], ["p_brand"]), "regression", 3)
     found = tune("Ridge", "regression", frames, "rmse", trials=4)
-    for f in frames:
-        f.release()
     rows = [(i, float(p["alpha"]), float(s), p == found.params) for i, (p, s) in enumerate(found.trials)]
     return spark.createDataFrame(rows, "trial int, alpha double, rmse double, chosen boolean")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -39,16 +41,18 @@ def rank_cuts(hashed: DataFrame, wanted: DataFrame, strata: Sequence[str] = (),
     cells = hashed.groupBy(*strata, prefix.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy(*strata).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumn("last", F.sum("n").over(upto))
-    left, right = wanted.alias("w"), cells.alias("c")
-    inside = (F.col("w.rank") > F.col("c.last") - F.col("c.n")) & (F.col("w.rank") <= F.col("c.last"))
-    for name in strata:
-        inside = inside & F.col(f"w.{name}").eqNullSafe(F.col(f"c.{name}"))
-    hits = left.join(right, inside).select(
-        *[F.col(f"w.{name}").alias(f"_{name}") for name in strata],
-        F.col("w.cut"),
-        (F.col("w.rank") - (F.col("c.last") - F.col("c.n"))).alias("rank"),
-        F.col("c.cell"),
-    )
+    listed = wanted.groupBy(*strata).agg(F.collect_list(F.struct("cut", F.col("rank").cast("bigint").alias("rank"))).alias("_wanted"))
+    if strata:
+        listed = listed.withColumnsRenamed({name: f"_w_{name}" for name in strata})
+        same = reduce(and_, [ref(name).eqNullSafe(ref(f"_w_{name}")) for name in strata])
+        cells = cells.join(broadcast_if_small(listed), same)
+    else:
+        cells = cells.withColumn("_wanted", F.array(*[F.struct(F.lit(w["cut"]).alias("cut"), F.lit(w["rank"]).alias("rank")) for w in listed.first()["_wanted"]]))
+    before = F.col("last") - F.col("n")
+    held = F.filter("_wanted", lambda w: (w["rank"] > before) & (w["rank"] <= F.col("last")))
+    hits = cells.select(
+        *[ref(name).alias(f"_{name}") for name in strata], "cell", before.alias("_before"), F.inline(held)
+    ).withColumn("rank", F.col("rank") - F.col("_before")).drop("_before")
     hits = broadcast_if_small(hits)
     same_cell = F.col("cell") == prefix
     for name in strata:

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tabwright.session import materialise
+
 BROADCAST_ROWS = 100_000
 
 
@@ -36,3 +38,9 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """
     copy = local_copy(df, limit)
     return df if copy is None else F.broadcast(copy)
+
+
+def settled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A frame that later uses do not compute again: driver rows if small, else a checkpoint."""
+    copy = local_copy(df, limit)
+    return materialise(df) if copy is None else copy

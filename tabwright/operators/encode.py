@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tabwright.functions.columns import ref, require_columns
 from tabwright.functions.counting import value_counts
 from tabwright.functions.ordering import sorted_positions
-from tabwright.functions.small import broadcast_if_small
+from tabwright.functions.small import broadcast_if_small, settled
 
 TARGET_LEVELS = 10_000
 
@@ -25,11 +25,11 @@ def text_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
 
 def level_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, value, code)``: place of each non-null value in the sorted values of its column."""
-    levels = value_counts(df, columns).select("column", "value")
+    levels = settled(value_counts(df, columns).select("column", "value"))
     placed = sorted_positions(levels, ["column", "value"])
     first = placed.groupBy("column").agg(F.min("position").alias("first"))
-    return placed.join(F.broadcast(first), "column").select(
-        "column", "value", (F.col("position") - F.col("first")).cast("int").alias("code")
+    return placed.join(broadcast_if_small(first), "column").select(
+        "column", "value", (F.col("position") - F.col("first")).alias("code")
     )
 
 
@@ -38,12 +38,12 @@ def label_encode(df: DataFrame, columns: Sequence[str] | None = None, codes: Dat
     columns = list(columns) if columns is not None else text_columns(df)
     if not columns:
         return df
-    codes = level_codes(df, columns) if codes is None else codes
+    codes = settled(level_codes(df, columns) if codes is None else codes)
     result = df
     for i, c in enumerate(columns):
         lookup = codes.where(F.col("column") == c).select(F.col("value").alias(f"_v{i}"), F.col("code").alias(f"_c{i}"))
         result = result.join(broadcast_if_small(lookup), ref(c).cast("string") == F.col(f"_v{i}"), "left")
-    place = {c: F.coalesce(F.col(f"_c{i}"), F.lit(-1)).alias(c) for i, c in enumerate(columns)}
+    place = {c: F.coalesce(F.col(f"_c{i}"), F.lit(-1)).cast("bigint").alias(c) for i, c in enumerate(columns)}
     return result.select(*[place.get(c, ref(c)) for c in df.columns])
 
 

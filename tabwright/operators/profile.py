@@ -32,6 +32,7 @@ CHART_COLUMNS = 12
 
 DUPLICATE_HASHES = 2_000_000
 QUARTILES = (0.25, 0.5, 0.75)
+CLASS_LEVELS_SHOWN = 10_000
 
 
 def dtypes_frame(df: DataFrame) -> DataFrame:
@@ -148,19 +149,51 @@ class Spread:
     """What one pass tells about a numeric column."""
 
     mean: float
-    complete: bool
     varies: bool
 
 
-def column_spreads(df: DataFrame, columns: Sequence[str]) -> dict[str, Spread]:
+STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
+
+
+@dataclass(frozen=True)
+class Facts:
+    """Counts of all columns and moments of the numeric ones, from a single scan."""
+
+    rows: int
+    missing: dict[str, int]
+    numbers: dict[str, dict[str, float]]
+
+    def spreads(self) -> dict[str, Spread]:
+        return {
+            c: Spread(v["mean"] or 0.0, v["min"] is not None and v["min"] < v["max"]) for c, v in self.numbers.items()
+        }
+
+
+def column_facts(df: DataFrame) -> Facts:
+    numbers = numeric_columns(df)
     aggregates = [F.count(F.lit(1)).alias("n")]
+    aggregates += [F.count_if(ref(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]
+    functions = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    for i, c in enumerate(numbers):
+        aggregates += [f(as_double(c)).alias(f"{name}{i}") for name, f in functions.items()]
+    row = df.agg(*aggregates).first()
+    return Facts(
+        row["n"],
+        {c: row[f"m{i}"] for i, c in enumerate(df.columns)},
+        {c: {name: row[f"{name}{i}"] for name in functions} for i, c in enumerate(numbers)},
+    )
+
+
+def column_spreads(df: DataFrame, columns: Sequence[str]) -> dict[str, Spread]:
+    aggregates = []
     for i, c in enumerate(columns):
         value = as_double(c)
-        aggregates += [F.avg(value).alias(f"a{i}"), F.count(value).alias(f"c{i}"), (F.min(value) < F.max(value)).alias(f"v{i}")]
+        aggregates += [F.avg(value).alias(f"a{i}"), (F.min(value) < F.max(value)).alias(f"v{i}")]
     row = df.agg(*aggregates).first()
-    return {
-        c: Spread(row[f"a{i}"] or 0.0, row[f"c{i}"] == row["n"], bool(row[f"v{i}"])) for i, c in enumerate(columns)
-    }
+    return {c: Spread(row[f"a{i}"] or 0.0, bool(row[f"v{i}"])) for i, c in enumerate(columns)}
+
+
+SUM_NAMES = ["i", "j", "n", "x", "y", "xx", "yy", "xy"]
 
 
 def pair_sums(df: DataFrame, spreads: dict[str, Spread]) -> DataFrame:
@@ -180,8 +213,14 @@ def pair_sums(df: DataFrame, spreads: dict[str, Spread]) -> DataFrame:
             moved = np.where(there > 0, values - means, 0.0)
             totals += [there.T @ there, moved.T @ there, (moved * moved).T @ there, moved.T @ moved]
         n, single, square, product = totals
-        sums = [n[first, second], single[first, second], single[second, first], square[first, second],
-                square[second, first], product[first, second]]
+        sums = [
+            n[first, second],
+            single[first, second],
+            single[second, first],
+            square[first, second],
+            square[second, first],
+            product[first, second],
+        ]
         yield pa.RecordBatch.from_arrays(
             [pa.array(first.astype("int32")), pa.array(second.astype("int32")), *map(pa.array, sums)], names=SUM_NAMES
         )
@@ -191,9 +230,6 @@ def pair_sums(df: DataFrame, spreads: dict[str, Spread]) -> DataFrame:
     return partial.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in SUM_NAMES[2:]])
 
 
-SUM_NAMES = ["i", "j", "n", "x", "y", "xx", "yy", "xy"]
-
-
 def correlation_pairs(
     df: DataFrame, columns: Sequence[str], spreads: dict[str, Spread] | None = None
 ) -> DataFrame:
@@ -210,7 +246,9 @@ def correlation_pairs(
     )
 
 
-def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def correlation(
+    df: DataFrame, columns: Sequence[str] | None = None, spreads: dict[str, Spread] | None = None
+) -> DataFrame:
     """Full correlation matrix as ``(col_a, col_b, corr)``, empty with fewer than two columns.
 
     The diagonal is 1, or 0 for a constant column.
@@ -218,7 +256,7 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     columns = list(columns or numeric_columns(df))
     if len(columns) < 2:
         return local_frame(df.sparkSession, [], "col_a string, col_b string, corr double")
-    spreads = column_spreads(df, columns)
+    spreads = spreads or column_spreads(df, columns)
     pairs = correlation_pairs(df, columns, spreads)
     both = pairs.select(
         F.inline(
@@ -361,38 +399,50 @@ def profile(
     """
     target = target or df.columns[-1]
     require_columns(df, target)
-    seen = bounded_sample(df, sample_rows, key) if sample_rows and key else df
+    sampled = bool(sample_rows and key)
+    facts = column_facts(df)
+    seen = bounded_sample(df, sample_rows, key) if sampled else df
+    seen_facts = column_facts(seen) if sampled else facts
     roles = column_roles(df, target)
     task = problem_type(seen, target)
-    shape = overview(df, target).first().asDict()
-    totals = missing_totals(df).first()
     numbers = numeric_columns(df)
     texts = [c for c in df.columns if c not in set(numbers)]
+    cells = max(facts.rows * len(df.columns), 1)
+    missing = [
+        {"column": c, "missing_count": m, "missing_pct": round(m / max(seen_facts.rows, 1) * 100, 4)}
+        for c, m in seen_facts.missing.items()
+        if m > 0
+    ]
+    quartiles = exact_quantiles(seen, numbers, QUARTILES)
     described: dict[str, dict] = {}
-    if numbers:
-        for r in describe_numeric(seen, numbers).collect():
-            described.setdefault(r["column"], {})[r["stat"]] = r["value"]
+    for c in numbers:
+        stats = {**seen_facts.numbers[c], **{f"{p:.0%}": q for p, q in zip(QUARTILES, quartiles[c])}}
+        described[c] = {name: round(float(stats[name] or 0.0), 4) for name in STATS}
     if texts:
         for r in describe_text(seen, texts).collect():
             described[r["column"]] = {k: r[k] for k in ("count", "unique", "top", "freq")}
     matrix: dict[str, dict[str, float]] | None = None
     if len(numbers) > 1:
         matrix = {}
-        for r in correlation(seen, numbers).collect():
+        for r in correlation(seen, numbers, seen_facts.spreads()).collect():
             matrix.setdefault(r["col_a"], {})[r["col_b"]] = r["corr"]
     result = {
-        **shape,
+        "n_rows": facts.rows,
+        "n_cols": len(df.columns),
+        "n_features": len(df.columns) - 1,
+        "n_numerical": len(roles.numerical),
+        "n_categorical": len(roles.categorical),
         "target": target,
         "problem_type": task,
         "feature_types": {"numerical": roles.numerical, "categorical": roles.categorical},
-        "missing_info": [r.asDict() for r in missing_by_column(seen).collect()],
-        "total_missing": totals["total_missing"],
-        "missing_pct": totals["missing_pct"],
+        "missing_info": sorted(missing, key=lambda m: (-m["missing_pct"], m["column"])),
+        "total_missing": sum(facts.missing.values()),
+        "missing_pct": sum(facts.missing.values()) / cells * 100,
         "duplicate_rows": duplicate_rows(seen).first()["duplicate_rows"],
         "dtypes": dict(df.dtypes),
         "describe": described,
         "correlation_matrix": matrix,
-        "profile_sample_rows": min(shape["n_rows"], sample_rows) if sample_rows and key else shape["n_rows"],
+        "profile_sample_rows": seen_facts.rows,
     }
     if task == "classification":
         classes = class_distribution(df, target)
@@ -401,8 +451,5 @@ def profile(
     return result
 
 
-CLASS_LEVELS_SHOWN = 10_000
-
-
 def profile_json(df: DataFrame, target: str | None = None, **kwargs) -> str:
     return json.dumps(profile(df, target, **kwargs), default=str)

@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabwright.functions.columns import ref, require_columns
 from tabwright.functions.ordering import ORDER, order_hash, rank_cuts
-from tabwright.functions.small import broadcast_if_small, local_copy, local_frame
-from tabwright.session import materialise
+from tabwright.functions.small import broadcast_if_small, local_frame, settled
 
 # Default share of the test part, number of folds, and the seed.
 TEST_SHARE = 0.2
@@ -46,9 +45,7 @@ def _assign_within(
 
 
 def _class_counts(df: DataFrame, stratum: str) -> DataFrame:
-    counts = df.groupBy(ref(stratum).alias("_stratum")).agg(F.count(F.lit(1)).alias("n"))
-    copy = local_copy(counts)
-    return materialise(counts) if copy is None else copy
+    return settled(df.groupBy(ref(stratum).alias("_stratum")).agg(F.count(F.lit(1)).alias("n")))
 
 
 def holdout_split(

@@ -64,19 +64,17 @@ class Training:
 
 
 def prepare_rows(df: DataFrame, target: str, task: str, key: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """Number the rows, drop those without a target, and write ``label``.
+    """Drop rows without a target, number the rest if they have no key, and write ``label``.
 
-    The result is materialised once: every fold and fit reads it, and the row numbers must not
-    move when a task is run again.
+    Numbered rows are materialised at once: the numbers must not move when a task is run again.
     """
     rows = fold_nan(df).where(ref(target).isNotNull())
     if not key:
-        rows = rows.withColumn(ROW_ID, F.monotonically_increasing_id())
+        rows = materialise(rows.withColumn(ROW_ID, F.monotonically_increasing_id()))
     if task == "classification":
-        rows = materialise(rows)
         labels = target_labels(rows, target)
         return target_indexer(labels, target).transform(rows), labels
-    return materialise(rows.withColumn("label", as_double(target))), []
+    return rows.withColumn("label", as_double(target)), []
 
 
 def split_rows(
@@ -144,8 +142,6 @@ def train_all(
                 Trained(name, PipelineModel(stages), fitted, metrics, params, time.time() - start, score, error)
             )
     finally:
-        for f in frames:
-            f.release()
         train.unpersist()
         test_vectors.unpersist()
     return training

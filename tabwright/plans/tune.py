@@ -24,16 +24,12 @@ SEED = 42
 
 @dataclass(frozen=True)
 class FoldFrames:
-    """One fold's training and validation rows as vectors, kept in executor storage."""
+    """One fold's training and validation rows as vectors."""
 
     train: DataFrame
     valid: DataFrame
     facts: TrainFacts
 
-    def release(self) -> None:
-        self.train.unpersist()
-        self.valid.unpersist()
-
 
 @dataclass
 class Tuning:
@@ -46,20 +42,32 @@ class Tuning:
 def fold_frames(
     train: DataFrame, fit_prep: Callable[[DataFrame], PipelineModel], task: str, folds: int
 ) -> list[FoldFrames]:
-    """Preprocess each fold once; all models and trials then share the vectors."""
-    frames = []
-    for i in range(folds):
+    """Learn each fold's preprocessing once; all models and trials then share it.
+
+    The vectors are not kept, which would hold the table once per fold: the stages are narrow and
+    run again over ``train``, which the caller should have persisted.
+    """
+
+    @inheritable_thread_target(train.sparkSession)
+    def prepare(i: int) -> FoldFrames:
         rest, held = train.where(F.col("fold") != i), train.where(F.col("fold") == i)
         prep = fit_prep(rest)
-        vectors = prep.transform(rest).select("features", "label").persist()
-        valid = prep.transform(held).select("features", "label").persist()
-        frames.append(FoldFrames(vectors, valid, TrainFacts.of(vectors, task)))
-    return frames
+        vectors = prep.transform(rest).select("features", "label")
+        return FoldFrames(vectors, prep.transform(held).select("features", "label"), TrainFacts.of(vectors, task))
+
+    with ThreadPoolExecutor(max_workers=folds) as pool:
+        return list(pool.map(prepare, range(folds)))
 
 
 def cross_validate(name: str, task: str, params: dict, frames: list[FoldFrames], metric: str, classes: int) -> list[float]:
-    """Score of one parameter set on each fold."""
-    return [_fold_score(name, task, params, f, metric, classes) for f in frames]
+    """Score of one parameter set on each fold; the folds run side by side."""
+
+    @inheritable_thread_target(frames[0].train.sparkSession)
+    def score(frame: FoldFrames) -> float:
+        return _fold_score(name, task, params, frame, metric, classes)
+
+    with ThreadPoolExecutor(max_workers=len(frames)) as pool:
+        return list(pool.map(score, frames))
 
 
 def _fold_score(name: str, task: str, params: dict, frame: FoldFrames, metric: str, classes: int) -> float:
