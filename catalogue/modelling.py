@@ -169,7 +169,7 @@ def _model_run(name: str, task: str):
             rows, target, numbers, texts, key = _graded_documents(spark, sf_dir), "quality", _DOC_NUMBERS, _DOC_TEXTS, "doc_id"
         else:
             rows, target, numbers, texts, key = _parts(spark, sf_dir), "p_retailprice", ["p_size"], ["p_brand", "p_type"], "p_partkey"
-        ready, labels = prepare_rows(rows, target, task, [key])
+        ready, labels = prepare_rows(rows.persist(), target, task, [key])
         train, test = split_rows(ready, task, [key], 0.2, 5)
         train = train.persist()
         stages = prep.fit_preprocessing(train, numbers, texts)
@@ -222,7 +222,7 @@ def tune_ridge(spark, sf_dir):
 
 @query("train_all")
 def train_models(spark, sf_dir):
-    rows = _graded_documents(spark, sf_dir)
+    rows = _graded_documents(spark, sf_dir).persist()
     training = train_all(
         rows,
         "quality",

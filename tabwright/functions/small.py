@@ -40,6 +40,11 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return df if copy is None else F.broadcast(copy)
 
 
+def task_count(spark: SparkSession) -> int:
+    """Partitions for rows that each cause much work, so that small frames still use every core."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def settled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A frame that later uses do not compute again: driver rows if small, else a checkpoint."""
     copy = local_copy(df, limit)

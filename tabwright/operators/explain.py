@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.ml import Model, PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabwright.functions.small import local_copy, local_frame
+from tabwright.functions.small import local_copy, local_frame, task_count
 from tabwright.operators.kernel_shap import kernel_shap
 from tabwright.operators.prep import feature_names
 from tabwright.operators.tree_shap import TREE_MODELS, tree_shap
@@ -65,7 +65,7 @@ def feature_importance(
     names = feature_names(vectors)
     chosen = vectors.select("features")
     if rows is not None:
-        chosen = local_copy(chosen.limit(rows), rows)
+        chosen = local_copy(chosen.limit(rows), rows).repartition(task_count(vectors.sparkSession))
     try:
         if isinstance(model, TREE_MODELS):
             explained = tree_shap(chosen, model)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabwright.functions.columns import as_double
 from tabwright.functions.quantiles import exact_medians, exact_quantiles
+from tabwright.functions.small import task_count
 from tabwright.session import materialise
 
 # Size of the forest, of one tree's sample, and the seed.
@@ -78,12 +79,14 @@ def fit_forest(df: DataFrame, filled: Sequence[Column], key: Sequence[str] | Non
     rows = df.count()
     share = min(1.0, 1.2 * POOL_ROWS / max(rows, 1))
     pool = df.select(*values, _uniform(key, SEED).alias("_p"), *([F.struct(*key).alias("_k")] if key else []))
-    pool = materialise(pool.where(F.col("_p") < share))
+    # The pool is small but each of its rows is drawn for every tree, so it is spread evenly first.
+    tasks = min(task_count(df.sparkSession), TREES)
+    pool = materialise(pool.where(F.col("_p") < share).repartition(tasks))
     size = max(pool.count(), 1)
     draws = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).withColumn(
         "_u", _uniform(["_k"] if key else None, SEED + 1, F.col("tree"))
     )
-    draws = draws.where(F.col("_u") < min(1.0, 2.0 * TREE_ROWS / size)).drop("_p", "_k")
+    draws = draws.where(F.col("_u") < min(1.0, 2.0 * TREE_ROWS / size)).drop("_p", "_k").repartition(tasks, "tree")
     order = Window.partitionBy("tree").orderBy("_u")
     sample = draws.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= TREE_ROWS).drop("_n")
     return sample.groupBy("tree").applyInPandas(grow_tree, TREE_SCHEMA).orderBy("tree").collect()

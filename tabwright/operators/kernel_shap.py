@@ -14,7 +14,7 @@ from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabwright.functions.small import local_frame
+from tabwright.functions.small import local_frame, task_count
 
 SEED = 42
 EXTRA_COALITIONS = 2048
@@ -82,7 +82,10 @@ def kernel_shap(
             F.array(*[F.avg(F.get("o", F.lit(k))) for k in range(_width(model, base_rows))]).alias("m")
         ).first()["m"]
     )
-    rows = df.select(F.col(key).alias("_key"), vector_to_array(F.col(features)).alias("x"))
+    # Partitioned by key before each row is blown up, so the sums per row need no further shuffle.
+    rows = df.select(F.col(key).alias("_key"), vector_to_array(F.col(features)).alias("x")).repartition(
+        task_count(spark), "_key"
+    )
     if size == 1:
         masks, solve = np.zeros((0, 1), dtype=bool), np.zeros((0, 0))
     else:

@@ -9,17 +9,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabwright.functions.columns import as_double, numeric_columns, ref, require_columns
 from tabwright.functions.quantiles import exact_quantiles
+from tabwright.functions.small import local_frame
 from tabwright.models.catalog import list_models
-from tabwright.operators.profile import correlation_pairs
+from tabwright.operators.profile import Facts, Spread, column_facts, correlation_pairs
 
 FENCE = 1.5
+META_SCHEMA = (
+    "n_samples bigint, n_features bigint, n_numerical bigint, n_categorical bigint, missing_ratio double, "
+    "class_imbalance_ratio double, mean_correlation double, outlier_ratio double"
+)
 
 
-def missing_ratio(df: DataFrame, target: str) -> float:
-    features = [c for c in df.columns if c != target]
-    nulls = sum((F.count_if(ref(c).isNull()) for c in features), F.lit(0))
-    row = df.agg(F.count(F.lit(1)).alias("n"), nulls.alias("m")).first()
-    return row["m"] / max(row["n"] * len(features), 1)
+def missing_ratio(facts: Facts, features: list[str]) -> float:
+    return sum(facts.missing[c] for c in features) / max(facts.rows * len(features), 1)
 
 
 def class_imbalance(df: DataFrame, target: str) -> float:
@@ -29,12 +31,12 @@ def class_imbalance(df: DataFrame, target: str) -> float:
     return row["most"] / row["least"] if row["values"] > 1 else 1.0
 
 
-def mean_correlation(df: DataFrame, columns: list[str]) -> float:
+def mean_correlation(df: DataFrame, spreads: dict[str, Spread]) -> float:
     """Mean of the absolute correlation matrix with a zero diagonal, diagonal cells included."""
-    if len(columns) < 2:
+    if len(spreads) < 2:
         return 0.0
-    total = correlation_pairs(df, columns).agg(F.sum(F.abs("corr"))).first()[0]
-    return 2 * total / len(columns) ** 2
+    total = correlation_pairs(df, list(spreads), spreads).agg(F.sum(F.abs("corr"))).first()[0]
+    return 2 * total / len(spreads) ** 2
 
 
 def outlier_ratio(df: DataFrame, columns: list[str]) -> float:
@@ -60,21 +62,19 @@ def meta_features(df: DataFrame, target: str) -> DataFrame:
     require_columns(df, target)
     features = [c for c in df.columns if c != target]
     numbers = numeric_columns(df, skip=[target])
-    facts = {
-        "missing_ratio": missing_ratio(df, target),
-        "class_imbalance_ratio": class_imbalance(df, target),
-        "mean_correlation": mean_correlation(df, numbers),
-        "outlier_ratio": outlier_ratio(df, numbers),
-    }
-    return with_difficulty(
-        df.agg(
-            F.count(F.lit(1)).alias("n_samples"),
-            F.lit(len(features)).cast("bigint").alias("n_features"),
-            F.lit(len(numbers)).cast("bigint").alias("n_numerical"),
-            F.lit(len(features) - len(numbers)).cast("bigint").alias("n_categorical"),
-            *[F.lit(float(v)).alias(k) for k, v in facts.items()],
-        )
+    facts = column_facts(df)
+    spreads = {c: s for c, s in facts.spreads().items() if c in numbers}
+    row = (
+        facts.rows,
+        len(features),
+        len(numbers),
+        len(features) - len(numbers),
+        missing_ratio(facts, features),
+        float(class_imbalance(df, target)),
+        float(mean_correlation(df, spreads)),
+        float(outlier_ratio(df, numbers)),
     )
+    return with_difficulty(local_frame(df.sparkSession, [row], META_SCHEMA))
 
 
 def with_difficulty(meta: DataFrame) -> DataFrame:
