@@ -9,7 +9,6 @@ other features. That is a polynomial, which Gauss-Legendre quadrature integrates
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,15 +29,9 @@ TREE_MODELS = (
 ROW_CHUNK = 512
 
 
-@dataclass(frozen=True)
-class Leaves:
-    """Leaves with the same number of path features: one row per leaf, one column per feature."""
-
-    feature: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    chance: np.ndarray
-    value: np.ndarray
+# Leaves with the same number of path features, one row per leaf and one column per feature:
+# feature numbers, lower and upper bounds, chances, and the leaf values per output.
+Leaves = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def read_nodes(model: Model, spark) -> dict[int, dict[int, dict]]:
@@ -96,7 +89,7 @@ def leaf_tables(model: Model, spark) -> tuple[list[Leaves], int, np.ndarray]:
         if size:
             pick = lambda i: np.array([[p[i] for p in path.values()] for path, _ in leaves])
             tables.append(
-                Leaves(
+                (
                     np.array([list(path) for path, _ in leaves]),
                     pick(0),
                     pick(1),
@@ -111,10 +104,10 @@ def shapley_rows(x: np.ndarray, tables: list[Leaves], outputs: int) -> np.ndarra
     """Shapley values as rows x features x outputs."""
     phi = np.zeros((x.shape[1], len(x), outputs))
     for table in tables:
-        size = table.feature.shape[1]
+        size = table[0].shape[1]
         points, weights = np.polynomial.legendre.leggauss((size + 1) // 2)
         points, weights = (points + 1) / 2, weights / 2
-        for feature, low, high, chance, value in zip(table.feature, table.low, table.high, table.chance, table.value):
+        for feature, low, high, chance, value in zip(*table):
             at = x[:, feature]
             met = ((at > low) & (at <= high)).astype(float)
             terms = chance[None, :, None] * (1 - points) + met[:, :, None] * points

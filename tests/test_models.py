@@ -135,7 +135,7 @@ def _forest_value(nodes_value, x, known):
     tables, outputs, base = nodes_value
     total = base * 0
     for t in tables:
-        for f, lo, hi, z, v in zip(t.feature, t.low, t.high, t.chance, t.value):
+        for f, lo, hi, z, v in zip(*t):
             share = 1.0
             for j in range(len(f)):
                 share *= float(lo[j] < x[f[j]] <= hi[j]) if f[j] in known else z[j]
