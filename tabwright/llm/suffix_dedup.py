@@ -84,6 +84,8 @@ def window_runs(text: bytes, bounds: np.ndarray, depth: int = DEPTH, digit: int
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.uint64), none
     starts, keys = np.concatenate(starts), np.concatenate(keys)
+    keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)  # lowest hashes are small: spread them again
+    keys ^= keys >> np.uint64(32)
     begin, end = bounds[:-1], bounds[1:] - depth + 1  # windows of a document start in [begin, end)
     has = end > begin
     edges = np.setdiff1d(np.concatenate([begin[has], end[has]]), starts)
@@ -306,7 +308,7 @@ def _finish(with_text: bool):
             for starts, stops in zip(cuts.column("starts").to_pylist(), cuts.column("stops").to_pylist(), strict=True):
                 np.add.at(change, expand_array(starts, np.int64), 1)
                 np.add.at(change, expand_array(stops, np.int64), -1)
-            gone = np.cumsum(change[:-1], dtype=np.int32) > 0
+            gone = np.cumsum(change[:-1], out=change[:-1]) > 0
             raw = np.frombuffer(joined, np.uint8)
             for i, doc_id in enumerate(ids.tolist()):
                 a, b = int(bounds[i]), int(bounds[i + 1])
