@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabwright.llm.bpe import encode_decode
 from tabwright.llm.suffix_dedup import remove_repeats
+from tabwright.llm.token_files import through_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,9 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup,)}
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")).drop("ids", "decoded")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).drop("ids")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op10_token_files)}
 ORACLES: dict[str, str] = {}
