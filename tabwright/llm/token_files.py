@@ -17,14 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tabwright.llm.bpe import byte_letters
 from tabwright.llm.blocks import expand_array, record, squeeze_array, text_bytes
 from tabwright.session import scratch_path
 
-SHARD_IDS = 4 << 20
+SHARD_IDS = 1 << 20
 ROUNDS = 6
 LEAST = 16
 CACHE_WORDS = 600_000
 # Lower-case letters up to white space, a full stop or a comma; a single one of these; whatever else is not space.
+NORMAL = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"
 LETTERS = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?![^\s.,])|[.,](?!\S)|\S+"
 FILE = [
     ("shard", pa.int64()),
@@ -69,17 +71,27 @@ def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, least: i
             break
         enough = counts >= max(least, top // 8)
         keys, weight = ordered[cuts[enough]], counts[enough]
-        at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-        score = np.where(inner & (keys[at] == pairs), weight[at] * 2, 0)
+        first_of, second_of = np.zeros(len(lengths), bool), np.zeros(len(lengths), bool)
+        first_of[keys >> 32], second_of[keys & 0xFFFFFFFF] = True, True
+        place = np.flatnonzero(inner & first_of[sequence[:-1]] & second_of[sequence[1:]])
+        wanted = pairs[place]
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        real = keys[at] == wanted
+        place, at = place[real], at[real]
         # Of a run of overlapping candidates the local tops go; equal neighbours alternate from the left.
-        left = np.concatenate([[0], score[:-1]])
-        right = np.concatenate([score[1:], [0]])
-        here = (score > 0) & (score >= left) & (score >= right)
-        place = np.flatnonzero(here)
-        near = np.concatenate([[False], place[1:] == place[:-1] + 1]) if len(place) else np.zeros(0, bool)
+        score = weight[at]
+        touch = place[1:] == place[:-1] + 1
+        here = np.ones(len(place), bool)
+        here[1:] &= ~touch | (score[1:] >= score[:-1])
+        here[:-1] &= ~touch | (score[:-1] >= score[1:])
+        place, at = place[here], at[here]
+        near = np.concatenate([[False], place[1:] == place[:-1] + 1])
         run_start = np.maximum.accumulate(np.where(near, 0, np.arange(len(place))))
-        place = place[(np.arange(len(place)) - run_start) % 2 == 0]
-        used, number = np.unique(at[place], return_inverse=True)
+        taken = (np.arange(len(place)) - run_start) % 2 == 0
+        place, at = place[taken], at[taken]
+        marks = np.zeros(len(keys), bool)
+        marks[at] = True
+        used, number = np.flatnonzero(marks), (np.cumsum(marks) - 1)[at]
         rule = np.stack([keys[used] >> 32, keys[used] & 0xFFFFFFFF], 1)
         first = len(lengths)
         rules.append(rule)
@@ -107,54 +119,44 @@ def expand_symbols(sequence: np.ndarray, base: int, rules: np.ndarray, lengths:
     return out
 
 
-class WordEncoder:
-    """Encodes with the tokenizers library, each distinct word of a partition once.
+class WordEncoder(dict):
+    """Ids of words by the tokenizers library, each word looked up once.
 
     The vocabulary drops white space and splits at every change between letters and other signs, so a text's ids
-    are those of its words. Words are joined by a separator with an id of its own to be encoded many at a time.
+    are those of its words. Words in normal form already need the library's merges alone, the others all of it.
     """
 
-    SEPARATOR = "\x01"
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.mark = self.library.encode(self.SEPARATOR, add_special_tokens=False).ids
+        self.merge = self.library.model.tokenize
+        self.normal = re.compile(NORMAL).fullmatch
+        self.written = {byte: letter for letter, byte in byte_letters().items()}  # as the vocabulary writes bytes
+        self.packed = [n.to_bytes(4, "little") for n in range(max(self.library.get_vocab().values()) + 1)]
         self.words = re.compile(LETTERS)
-        self.cache: dict[bytes, bytes] = {}
-
-    def _library(self, words: list[bytes]) -> list[bytes]:
-        pack = lambda ids: np.array(ids, "<u4").tobytes()
-        if len(self.mark) != 1:
-            return [pack(self.library.encode(w.decode(), add_special_tokens=False).ids) for w in words]
-        out = []
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            joined = f" {self.SEPARATOR} ".join(w.decode() for w in part)
-            ids = np.array(self.library.encode(joined, add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark[0])
-            if len(ends) != len(part) - 1:  # a word holds the separator itself
-                out += [pack(self.library.encode(w.decode(), add_special_tokens=False).ids) for w in part]
-                continue
-            data = ids.tobytes()
-            out += [data[4 * a : 4 * b] for a, b in zip([0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True)]
-        return out
+
+    def __missing__(self, word: bytes) -> bytes:
+        packed = self.packed
+        if self.normal(word):
+            letters = word.decode() if word.isascii() else word.decode("latin-1").translate(self.written)
+            ids = b"".join([packed[t.id] for t in self.merge(letters)])
+        else:
+            ids = b"".join([packed[n] for n in self.library.encode(word.decode(), add_special_tokens=False).ids])
+        self[word] = ids
+        return ids
 
     def split(self, text: bytes) -> list[bytes]:
         # Added tokens are found before lower-casing, so texts that may hold one stay as they are.
         return self.words.findall(text if b"<|" in text else text.lower())
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        split = [self.split(t) for t in texts]
-        cache = self.cache
-        fresh = list(set().union(*split).difference(cache))
-        cache.update(zip(fresh, self._library(fresh), strict=True))
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        return [b"".join(map(self.__getitem__, self.split(t))) for t in texts]
 
 
 def _writer(path: str, end_id: int, shard_ids: int):
