@@ -13,6 +13,7 @@ from tabwright.llm.mixing import ORACLE as MIX_SQL
 from tabwright.llm.mixing import mix
 from tabwright.llm.mtree import top_products
 from tabwright.llm.near_dedup import near_duplicates
+from tabwright.llm.pitman_yor import score_texts
 from tabwright.llm.suffix_dedup import remove_repeats
 from tabwright.llm.toxicity import score_toxicity
 from tabwright.llm.token_files import through_files
@@ -39,6 +40,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")).drop("ids", "decoded")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -80,5 +85,5 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op4_mix_sources, op5_language_id, op6_near_dedup, op7_graph_search, op8_toxicity, op9_mtree_search, op10_token_files)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_lm_score, op4_mix_sources, op5_language_id, op6_near_dedup, op7_graph_search, op8_toxicity, op9_mtree_search, op10_token_files)}
 ORACLES: dict[str, str] = {"op4_mix_sources": MIX_SQL, "op9_mtree_search": PRODUCT_SQL}
