@@ -20,8 +20,8 @@ from tabwright.session import scratch_path
 
 BLOCK_BYTES = 16 << 20
 NO_ID = np.iinfo(np.int64).max
-BLOCK_FIELDS = [("block", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("text", pa.binary())]
-BLOCK_SCHEMA = "block long, ids binary, lens binary, text binary"
+BLOCK_FIELDS = [("block", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("text", pa.binary()), ("extra", pa.binary())]
+BLOCK_SCHEMA = "block long, ids binary, lens binary, text binary, extra binary"
 
 
 def squeeze(data: bytes, level: int = 1) -> bytes:
@@ -56,7 +56,7 @@ def record(fields, **columns) -> pa.RecordBatch:
 def _packer(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(batches):
         first = TaskContext.get().partitionId() << 32
-        made, ids, texts, size = 0, [], [], 0
+        made, ids, texts, extras, size = 0, [], [], [], 0
 
         def flush():
             lens = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -66,16 +66,18 @@ def _packer(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 ids=[squeeze_array(np.array(ids, np.int64))],
                 lens=[squeeze_array(lens)],
                 text=[squeeze(b"".join(texts))],
+                extra=[squeeze(b"\n".join(extras))],
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+            for doc_id, text, extra in zip(batch.column(0).to_pylist(), *map(text_bytes, batch.columns[1:]), strict=True):
                 ids.append(NO_ID if doc_id is None else doc_id)
                 texts.append(text)
+                extras.append(extra)
                 size += len(text) + 16
                 if size >= block_bytes:
                     yield flush()
-                    made, ids, texts, size = made + 1, [], [], 0
+                    made, ids, texts, extras, size = made + 1, [], [], [], 0
         if ids:
             yield flush()
 
@@ -89,12 +91,16 @@ def unpack(ids: bytes, lens: bytes, text: bytes) -> tuple[np.ndarray, np.ndarray
 
 
 class Blocks:
-    """The packed documents and how many shards suit their size."""
+    """The packed documents and how many shards suit their size.
 
-    def __init__(self, docs: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: int = 8 << 20):
+    ``carry`` names columns to pack as one line of JSON a document, for results that keep them.
+    """
+
+    def __init__(self, docs: DataFrame, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES, shard_bytes: int = 8 << 20):
         spark = docs.sparkSession
         self.name = f"blocks_{uuid.uuid4().hex}"
-        packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_packer(block_bytes), BLOCK_SCHEMA)
+        extra = F.to_json(F.struct(*[F.col(f"`{c}`") for c in carry])) if carry else F.lit("")
+        packed = docs.select(F.col("doc_id").cast("long"), "text", extra.alias("extra")).mapInArrow(_packer(block_bytes), BLOCK_SCHEMA)
         files = max(128, int(spark.conf.get("spark.sql.shuffle.partitions")))
         (
             packed.write.bucketBy(files, "block")
@@ -104,6 +110,7 @@ class Blocks:
             .saveAsTable(self.name)
         )
         self.table = spark.table(self.name)
+        self.texts = self.table.drop("extra")
         size = self.table.agg(F.sum(F.length("text"))).first()[0] or 0
         self.shards = max(256, int(size // shard_bytes))
 

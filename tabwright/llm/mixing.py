@@ -107,23 +107,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
 
 def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it. Equal ids of one source are told apart by number."""
-    key = ["mix_id", "mix_source", "mix_number"]
-    taken = mix(docs, weights, cap, seed).select(
-        F.struct("doc_id").alias("mix_id"),
-        F.struct("source").alias("mix_source"),
-        F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("size", "copies")).alias("mix_number"),
-        F.col("copies").alias("mix_copies"),
-    )
+    key = ["mix_id", "mix_source"]
+    keyed = {
+        "mix_id": F.struct(F.col("doc_id").cast("long").alias("doc_id")),
+        "mix_source": F.struct(F.col("source").cast("string").alias("source")),
+    }
+    taken = mix(docs, weights, cap, seed).withColumns(keyed).groupBy(*key)
+    taken = taken.agg(F.array_sort(F.collect_list(F.struct("size", "copies")))["copies"].alias("mix_copies"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    numbered = docs.withColumns(
-        {
-            "mix_id": F.struct(F.col("doc_id").cast("long").alias("doc_id")),
-            "mix_source": F.struct(F.col("source").cast("string").alias("source")),
-            "mix_number": F.row_number().over(Window.partitionBy("doc_id", "source").orderBy(size)),
-        }
-    )
-    joined = numbered.join(taken.where("mix_copies > 0"), key)
-    return joined.withColumn("mix_copy", F.explode(F.expr("sequence(1, mix_copies)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = docs.withColumns(keyed).join(taken.where(F.exists("mix_copies", lambda c: c > 0)), key)
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(size))
+    counted = joined.withColumn("mix_count", F.element_at("mix_copies", number)).where("mix_count > 0")
+    return counted.withColumn("mix_copy", F.explode(F.expr("sequence(1L, mix_count)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = f"""

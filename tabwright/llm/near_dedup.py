@@ -158,6 +158,7 @@ def _sketcher(shingle: int, sketches: int):
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array(ids, pa.int64()),
+                    "mark": batch.column(2),
                     "node": pa.array([node_of(w, i) for w, i in zip(texts, ids, strict=True)], pa.binary()),
                     "words": pa.array([len(w) for w in texts], pa.int32()),
                     "keys": pa.array([sketch(w, shingle, sketches) for w in texts], pa.list_(pa.int64())),
@@ -213,8 +214,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     Texts equal word for word are always one class, also those shorter than a shingle. Texts without words, null
     ones too, stand alone. A null id is never the class id unless the class has no other. Other columns are ignored.
     """
-    columns = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = materialise(columns.mapInArrow(_sketcher(shingle, sketches), "doc_id long, node binary, words int, keys array<long>"))
+    return _classed(docs, shingle, similarity, sketches).select("doc_id", "class_id", "class_size", "n_words")
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
+    """The rows of ``docs``, one of each class: that with the smallest id, null last; of equal ids any one text."""
+    first = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "mark")
+    kept = _classed(docs, shingle, similarity, sketches).groupBy("component").agg(F.min(first).alias("first"))
+    kept = kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.mark").alias("kept_mark"))
+    marked = docs.withColumn("text_mark", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("text_mark") == F.col("kept_mark"))
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_mark"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _classed(docs: DataFrame, shingle: int, similarity: float, sketches: int) -> DataFrame:
+    columns = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
+    rows = materialise(columns.mapInArrow(_sketcher(shingle, sketches), "doc_id long, mark long, node binary, words int, keys array<long>"))
+    columns = columns.drop("mark")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     single = rows.select("node", "words", "doc_id", "keys").join(nodes, (rows["node"] == nodes["node"]) & rows["doc_id"].eqNullSafe(nodes["doc_id"]), "left_semi")
     entries = single.select("node", "words", "doc_id", F.explode("keys").alias("key")).distinct()
@@ -254,10 +270,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
             break
         found = links if found is None else found.union(links)
         labels = components(found)
-    classed = rows.select("doc_id", "node", F.col("words").alias("n_words"))
+    classed = rows.select("doc_id", "mark", "node", F.col("words").alias("n_words"))
     if labels is not None:
         classed = classed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     else:
         classed = classed.withColumn("component", F.col("node"))
     sums = classed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return classed.join(sums, "component").select("doc_id", "class_id", "class_size", "n_words")
+    return classed.join(sums, "component")

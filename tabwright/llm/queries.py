@@ -33,7 +33,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "extra")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,8 @@ RESULT = [
     ("n_removed", pa.int64()),
     ("n_spans", pa.int64()),
     ("kept_sha256", pa.string()),
-    ("kept", pa.binary()),
+    ("kept", pa.string()),
+    ("extra", pa.string()),
 ]
 
 
@@ -304,6 +305,7 @@ def _finish(with_text: bool):
         out = {name: [] for name, _ in RESULT}
         if blocks.num_rows:
             ids, bounds, joined = unpack(*(c[0] for c in blocks.select(["ids", "lens", "text"]).to_pydict().values()))
+            extras = expand(blocks.column("extra")[0].as_py()).decode().split("\n")
             change = np.zeros(len(joined) + 1, np.int32)
             for starts, stops in zip(cuts.column("starts").to_pylist(), cuts.column("stops").to_pylist(), strict=True):
                 np.add.at(change, expand_array(starts, np.int64), 1)
@@ -321,29 +323,31 @@ def _finish(with_text: bool):
                 out["n_removed"].append(removed)
                 out["n_spans"].append(spans)
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                out["kept"].append(kept if with_text else None)
+                out["kept"].append(kept.decode("utf-8", "ignore") if with_text else None)
+                out["extra"].append(extras[i] if with_text else None)
         return pa.table({name: pa.array(out[name], kind) for name, kind in RESULT})
 
     return finish
 
 
-def remove_repeats(docs: DataFrame, depth: int = DEPTH, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, depth: int = DEPTH, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Per document the bytes left once all bytes in a repeated window are removed.
 
     A window is ``depth`` (at least 24) bytes; it is repeated if it also starts in a document with a smaller
     ``doc_id``. Windows lie within a document, overlaps count, and repeats are judged on the input. Columns:
-    doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` (the bytes, null unless ``with_text``).
+    doc_id, n_bytes, n_removed, n_spans, kept_sha256, and, null unless ``with_text``, ``kept`` (the text left, without
+    parts of characters) and ``extra`` (the columns to ``carry``, as JSON).
 
     A null text is empty. A null ``doc_id`` counts as larger than any other. Rows of one ``doc_id`` don't repeat
     each other, but each loses what smaller ids hold. Other columns are ignored; an empty table gives an empty one.
     """
     if depth < DIGIT + 4:
         raise ValueError("depth must be at least 24")
-    blocks = Blocks(docs)
-    send = blocks.table.mapInArrow(_first_pass(blocks.shards, depth, DIGIT), "shard int, block long, digits binary")
+    blocks = Blocks(docs, carry if with_text else None)
+    send = blocks.texts.mapInArrow(_first_pass(blocks.shards, depth, DIGIT), "shard int, block long, digits binary")
     left = send.groupBy("shard").applyInArrow(_left, "block long, shard int, left binary")
     kinds = ", ".join(f"{name} {'int' if name == 'shard' else 'long' if name == 'block' else 'binary'}" for name, _ in RUNS)
     runs = blocks.answer(left, _second_pass(blocks.shards, depth, DIGIT), kinds)
     cuts = runs.groupBy("shard").applyInArrow(_compare(depth), "block long, starts binary, stops binary")
-    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, extra string"
     return blocks.answer(cuts, _finish(with_text), kinds)

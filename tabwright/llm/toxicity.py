@@ -289,8 +289,12 @@ def fit_machine(bags: list[np.ndarray], toxic: np.ndarray, gram: np.ndarray, pri
 def _scorer(words, weight, bias, curve):
     weight = np.asarray(weight, np.float32)
 
+    state = []
+
     def score(batches):
-        sentences = Sentences(Landmarks(words))
+        if not state:  # kept for all calls of a task
+            state.append(Sentences(Landmarks(words)))
+        sentences = state[0]
         for batch in batches:
             facts = []
             for at in range(0, batch.num_rows, 1000):
@@ -305,16 +309,9 @@ def _scorer(words, weight, bias, curve):
     return score
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample: int = SAMPLE) -> DataFrame:
-    """Toxicity of every whole text: doc_id, held_out, score (0 to 1), predicted (1 from a score of 0.3).
-
-    Learns from about ``sample`` documents of either label (``labels.toxic`` 0 or 1), chosen by a hash among rows
-    whose fold isn't ``held_out``; of several labels of one id the highest counts. Null and empty texts get the
-    score of a text without any known word. Without documents of both labels every score is the smoothed share of
-    toxic ones. Repeated rows score alike; other columns are ignored.
-    """
-    spark = docs.sparkSession
-    columns = docs.select(F.col("doc_id").cast("long"), (fold("doc_id", folds) == held_out).alias("held_out"), "text")
+def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, sample: int = SAMPLE):
+    """Landmarks, their weights, bias and curve, learned as ``score_toxicity`` says."""
+    columns = _columns(docs, folds, held_out)
     known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
     known = known.where(fold("doc_id", folds) != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -346,5 +343,40 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out:
             weight, bias, curve = fit_machine(bags, toxic, gram, (1 / rate[0], 1 / rate[1]))
         else:
             words = []
+    return words, weight, bias, curve
+
+
+def _columns(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), (fold("doc_id", folds) == held_out).alias("held_out"), "text")
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample: int = SAMPLE) -> DataFrame:
+    """Toxicity of every whole text: doc_id, held_out, score (0 to 1), predicted (1 from a score of 0.3).
+
+    Learns from about ``sample`` documents of either label (``labels.toxic`` 0 or 1), chosen by a hash among rows
+    whose fold isn't ``held_out``; of several labels of one id the highest counts. Null and empty texts get the
+    score of a text without any known word. Without documents of both labels every score is the smoothed share of
+    toxic ones. Repeated rows score alike; other columns are ignored.
+    """
+    model = fit_toxicity(docs, labels, folds, held_out, sample)
     kinds = "doc_id long, held_out boolean, score double, predicted int"
-    return columns.mapInArrow(_scorer(words, weight, bias, curve), kinds)
+    return _columns(docs, folds, held_out).mapInArrow(_scorer(*model), kinds)
+
+
+def _rejecter(model, place: int):
+    score = _scorer(*model)
+
+    def keep(batches):
+        for batch in batches:
+            empty = pa.nulls(batch.num_rows, pa.int64())
+            part = pa.RecordBatch.from_arrays([empty, pa.nulls(batch.num_rows, pa.bool_()), batch.column(place)], ["doc_id", "held_out", "text"])
+            for scored in score([part]):
+                yield batch.filter(pa.array([p == 0 for p in scored.column("predicted").to_pylist()], pa.bool_()))
+
+    return keep
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, with all columns, in one pass without a shuffle."""
+    model = fit_toxicity(docs, labels, folds, held_out, sample)
+    return docs.mapInArrow(_rejecter(model, docs.columns.index("text")), docs.schema)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tabwright.llm.near_dedup import near_duplicates, similar, sketch
+from tabwright.llm.near_dedup import near_duplicates, representatives, similar, sketch
 
 SCHEMA = "doc_id long, text string, node string, key int"
 
@@ -98,6 +98,9 @@ def test_null_ids_and_repeated_rows(spark):
     rows = [(None, text, "x", 1), (4, text, "x", 1), (4, text, "x", 1), (9, text + " more", "x", 1), (None, "alone", "x", 1)]
     out = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(((r.doc_id, r.class_id, r.class_size) for r in out), key=str) == [(4, 4, 4), (4, 4, 4), (9, 4, 4), (None, 4, 4), (None, None, 1)]
+    kept = representatives(spark.createDataFrame(rows, SCHEMA))
+    assert kept.columns == ["doc_id", "text", "node", "key"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == [(4, text), (None, "alone")]
 
 
 def test_empty_and_long(spark):

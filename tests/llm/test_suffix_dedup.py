@@ -31,7 +31,7 @@ def expected(rows, depth=50):
 
 def found(spark, rows, depth=50):
     df = spark.createDataFrame(rows, SCHEMA).repartition(3, "doc_id")
-    return sorted((tuple(r) for r in remove_repeats(df, depth).drop("kept").collect()), key=str)
+    return sorted((tuple(r) for r in remove_repeats(df, depth).drop("kept", "extra").collect()), key=str)
 
 
 def wrap(pairs):
@@ -57,6 +57,15 @@ def test_long_text_over_many_slices(spark):
     assert found(spark, wrap(pairs)) == expected(wrap(pairs))
 
 
+def test_kept_text_and_carried_columns(spark):
+    rows = [(1, "é" * 40 + "one", "fr", 1, "x"), (2, "a" + "é" * 40 + " two", None, 2, 'q"\n'), (2, "a" + "é" * 40 + " two", None, 2, 'q"\n'), (None, None, "de", None, "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = remove_repeats(df, with_text=True, carry=["lang", "block", "ids"]).selectExpr("doc_id", "kept", "from_json(extra, 'lang string, block int, ids string') c").select("doc_id", "kept", "c.*")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(
+        [(1, "é" * 40 + "one", "fr", 1, "x"), (2, "a two", None, 2, 'q"\n'), (2, "a two", None, 2, 'q"\n'), (None, "", "de", None, "x")], key=str
+    )
+
+
 def test_empty_table(spark):
     assert found(spark, []) == []
 
