@@ -90,13 +90,20 @@ def unpack(ids: bytes, lens: bytes, text: bytes) -> tuple[np.ndarray, np.ndarray
     return expand_array(ids, np.int64), np.concatenate([[0], np.cumsum(lengths)]), expand(text)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A frame's rows from a table written to the shared scratch folder: computed once, lineage cut."""
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Blocks:
     """The packed documents and how many shards suit their size.
 
     ``carry`` names columns to pack as one line of JSON a document, for results that keep them.
     """
 
-    def __init__(self, docs: DataFrame, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES, shard_bytes: int = 8 << 20):
+    def __init__(self, docs: DataFrame, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES, shard_bytes: int = 8 << 20, least_shards: int = 256):
         spark = docs.sparkSession
         self.name = f"blocks_{uuid.uuid4().hex}"
         extra = F.to_json(F.struct(*[F.col(f"`{c}`") for c in carry])) if carry else F.lit("")
@@ -112,7 +119,7 @@ class Blocks:
         self.table = spark.table(self.name)
         self.texts = self.table.drop("extra")
         size = self.table.agg(F.sum(F.length("text"))).first()[0] or 0
-        self.shards = max(256, int(size // shard_bytes))
+        self.shards = max(least_shards, int(size // shard_bytes))
 
     def answer(self, replies: DataFrame, function, schema: str) -> DataFrame:
         """Each block with the replies about it; both sides are grouped by the block's number."""

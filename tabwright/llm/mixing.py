@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.session import materialise
+from tabwright.llm.blocks import written
+
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -72,8 +73,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     id alone, so equal rows may swap their copies. Other columns are ignored; an empty table gives no row.
     """
     spark = docs.sparkSession
-    sized = materialise(_sized(docs))
-    targets = materialise(source_targets(sized, weights, cap, seed))
+    sized = written(_sized(docs))
+    targets = written(source_targets(sized, weights, cap, seed))
     cells = sized.groupBy(*CELL).agg(F.count("*").alias("cell_rows"))
     # Rows a task ranks at once: a share of a shuffle partition, so a hot source fills all of them.
     rows = sized.count()

@@ -17,8 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.blocks import expand, squeeze, text_bytes
-from tabwright.session import materialise
+from tabwright.llm.blocks import expand, squeeze, text_bytes, written
 
 SHINGLE = 5
 PICKED = 2
@@ -194,13 +193,13 @@ def _aligner(similarity: float):
 
 def components(links: DataFrame) -> DataFrame:
     """Component of every node of (a, b) links: the smallest node of it. Columns node, component."""
-    both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")))
+    both = written(links.select("a", "b").union(links.select("b", "a")).distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
         step = labels.join(near, "node").select("node", F.least("component", "least").alias("next"), "component")
         jump = labels.select(F.col("node").alias("next"), F.col("component").alias("root"))
-        new = materialise(step.join(jump, "next").select("node", F.least("next", "root").alias("component"), F.col("component").alias("old")))
+        new = written(step.join(jump, "next").select("node", F.least("next", "root").alias("component"), F.col("component").alias("old")))
         labels = new.select("node", "component")
         if not new.where("component <> old").limit(1).count():
             return labels
@@ -229,18 +228,18 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
 def _classed(docs: DataFrame, shingle: int, similarity: float, sketches: int) -> DataFrame:
     columns = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
-    rows = materialise(columns.mapInArrow(_sketcher(shingle, sketches), "doc_id long, mark long, node binary, words int, keys array<long>"))
+    rows = written(columns.mapInArrow(_sketcher(shingle, sketches), "doc_id long, mark long, node binary, words int, keys array<long>"))
     columns = columns.drop("mark")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     single = rows.select("node", "words", "doc_id", "keys").join(nodes, (rows["node"] == nodes["node"]) & rows["doc_id"].eqNullSafe(nodes["doc_id"]), "left_semi")
     entries = single.select("node", "words", "doc_id", F.explode("keys").alias("key")).distinct()
     shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    entries = materialise(entries.join(shared, "key"))
+    entries = written(entries.join(shared, "key"))
 
     needed = entries.select("node", "doc_id").distinct()
     sources = columns.join(needed.select(F.col("doc_id").alias("wanted")).distinct(), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     tokens = sources.mapInArrow(_tokens, "node binary, tokens binary").dropDuplicates(["node"])
-    tokens = materialise(tokens.join(needed.select("node").distinct(), "node", "left_semi"))
+    tokens = written(tokens.join(needed.select("node").distinct(), "node", "left_semi"))
 
     labels = None
     found = checked = None
@@ -260,12 +259,12 @@ def _classed(docs: DataFrame, shingle: int, similarity: float, sketches: int) ->
         pairs = pairs.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
+        pairs = written(pairs)
         checked = pairs if checked is None else checked.union(pairs)
         one = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("left"))
         two = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
         whole = pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right")
-        links = materialise(whole.mapInArrow(_aligner(similarity), "a binary, b binary"))
+        links = written(whole.mapInArrow(_aligner(similarity), "a binary, b binary"))
         if not links.limit(1).count():
             break
         found = links if found is None else found.union(links)

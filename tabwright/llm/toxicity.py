@@ -22,9 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.blocks import text_bytes
+from tabwright.llm.blocks import text_bytes, written
 from tabwright.llm.languages import fold
-from tabwright.session import materialise
 
 LENGTH = 4
 DECAY = 0.7
@@ -324,7 +323,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int, held_out: int,
     if sizes.get(0) and sizes.get(1):
         bad, good = (F.count_distinct(F.when(F.col("toxic") == k, F.col("doc"))) for k in (1, 0))
         held = chosen.mapInArrow(_beginnings, "word string, toxic int, doc long")
-        counts = materialise(held.groupBy("word").agg(bad.alias("bad"), good.alias("good"), F.collect_set(F.when(F.col("toxic") == 1, F.col("doc"))).alias("docs")))
+        counts = written(held.groupBy("word").agg(bad.alias("bad"), good.alias("good"), F.collect_set(F.when(F.col("toxic") == 1, F.col("doc"))).alias("docs")))
         bad, good = F.col("bad") / (sizes[1] * rate[1]), F.col("good") / (sizes[0] * rate[0])
         telling = counts.where((F.col("bad") >= 3) & (bad > 3 * good)).orderBy(F.desc(bad - 2 * good), "word").limit(CANDIDATES)
         pool = [(r.word, r.share, set(r.docs)) for r in telling.select("word", (2 * good).alias("share"), "docs").collect()]
