@@ -5,7 +5,7 @@ A k-mer is a shingle of ``SHINGLE`` words labelled with how often it occurred be
 k-mers in another order don't meet. Texts that are equal word for word are one node. Nodes that share a sketch are
 candidates; within a bucket every node is compared with the bucket's leaders, not with every other one. Verified
 links join nodes to components. Buckets that still hold several components get other leaders, until a round adds no
-link. Alignment allows as many word edits as ``1 - SIMILARITY`` of the longer text: the band of the table of
+link; the first round takes one leader for each node, the others all of them. Alignment allows as many word edits as ``1 - SIMILARITY`` of the longer text: the band of the table of
 furthest-reaching paths.
 """
 
@@ -256,6 +256,8 @@ def _classed(docs: DataFrame, shingle: int, similarity: float, sketches: int) ->
         leaders = leaders.select("key", F.explode(F.array("first", "last")).alias("leader"))
         near = F.least("words", "leader.words") >= F.lit(similarity) * F.greatest("words", "leader.words")
         pairs = current.join(leaders, "key").where((F.col("component") != F.col("leader.component")) & near)
+        if not number:  # one leader for each node first: most copies meet in it, and later rounds skip them
+            pairs = pairs.groupBy("node").agg(F.min("leader").alias("leader"))
         pairs = pairs.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
@@ -264,9 +266,12 @@ def _classed(docs: DataFrame, shingle: int, similarity: float, sketches: int) ->
         one = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("left"))
         two = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
         whole = pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right")
+        whole = whole.repartition(max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "a", "b")
         links = written(whole.mapInArrow(_aligner(similarity), "a binary, b binary"))
         if not links.limit(1).count():
-            break
+            if number:
+                break
+            continue
         found = links if found is None else found.union(links)
         labels = components(found)
     classed = rows.select("doc_id", "mark", "node", F.col("words").alias("n_words"))
