@@ -33,6 +33,7 @@ CANDIDATES = 600
 SAMPLE = 1500
 ROUNDS = 4
 LONGEST = 24
+PAIRS = 2_000  # word pairs at once: their cells stay in the processor's cache
 CACHE_WORDS = 400_000
 THRESHOLD = 0.3
 RUN = 4  # so many single letters in a row are one spelled-out word
@@ -64,37 +65,39 @@ def letters(words: list[str], width: int) -> np.ndarray:
 
 
 def kernel(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Unnormalised kernel of padded words, row by row."""
-    rows, n, m = len(left), left.shape[1], right.shape[1]
-    same = (left[:, :, None] == right[:, None, :]) & (left[:, :, None] > 0)
-    square = np.float32(DECAY * DECAY)
-    decay = np.float32(DECAY)
-    before = np.ones((n + 1, m + 1, rows), np.float32)
-    same = np.ascontiguousarray(same.transpose(1, 2, 0)).astype(np.float32)
+    """Unnormalised kernel of padded words, row by row.
+
+    A cell stands for subsequences that end with these two letters. Decayed sums over all cells above and to the
+    left make those one letter longer.
+    """
+    n, m = left.shape[1], right.shape[1]
+    a, b = np.ascontiguousarray(left.T), np.ascontiguousarray(right.T)
+    same = ((a[:, None] == b) & (a[:, None] > 0)).astype(np.float32) * np.float32(DECAY * DECAY)
+    if min(n, m) < LENGTH:
+        return np.zeros(len(left), np.float32)
+    cells, decay = same.copy(), np.float32(DECAY)
     for level in range(1, LENGTH):
-        now = np.zeros((n + 1, m + 1, rows), np.float32)
-        for i in range(level, n + 1):
-            line = np.zeros(rows, np.float32)
-            for j in range(level, m + 1):
-                line = decay * line + square * same[i - 1, j - 1] * before[i - 1, j - 1]
-                now[i, j] = decay * now[i - 1, j] + line
-        before = now
-    return (square * same * before[:n, :m]).sum((0, 1))
-
-
-def shared(codes: np.ndarray, landmark: str) -> np.ndarray:
-    """Length of the longest common subsequence of each padded word with a landmark."""
+        cells = cells[:-1, :-1]
+        for i in range(1, len(cells)):
+            cells[i] += decay * cells[i - 1]
+        for j in range(1, cells.shape[1]):
+            cells[:, j] += decay * cells[:, j - 1]
+        cells = cells * same[level:, level:]
+    return cells.sum((0, 1))
+
+
+def shared(columns: np.ndarray, alphabet: np.ndarray, landmark: str) -> np.ndarray:
+    """Length of the longest common subsequence of each padded word with a landmark.
+
+    ``columns`` holds places in ``alphabet``, which has all of the landmark's letters, one row per letter position.
+    """
     full = np.uint32((1 << len(landmark)) - 1)
-    masks = {}
-    for n, c in enumerate(landmark):
-        masks[ord(c)] = masks.get(ord(c), 0) | 1 << n
-    top = np.full(len(codes), full, np.uint32)
-    for at in range(codes.shape[1]):
-        column = codes[:, at]
-        hit = np.zeros(len(codes), np.uint32)
-        for c, mask in masks.items():
-            hit[column == c] = mask
-        both = top & hit
+    masks = np.zeros(len(alphabet), np.uint32)
+    for n, place in enumerate(np.searchsorted(alphabet, [ord(c) for c in landmark]).tolist()):
+        masks[place] |= np.uint32(1 << n)
+    top = np.full(columns.shape[1], full, np.uint32)
+    for column in columns:
+        both = top & masks[column]
         top = ((top + both) | (top - both)) & full
     return len(landmark) - np.bitwise_count(top).astype(np.int64)
 
@@ -106,6 +109,7 @@ class Landmarks:
         self.words = words
         self.codes = letters(words, max(map(len, words), default=1))
         self.own = np.maximum(kernel(self.codes, self.codes), 1e-30) if words else np.zeros(0, np.float32)
+        self.alphabet = np.union1d(self.codes, np.array([0], np.uint32))  # zero stands for every other letter too
 
     def features(self, words: list[str]) -> np.ndarray:
         """Normalised kernel of each cleaned word with every landmark; of a long word, the best of its parts."""
@@ -125,14 +129,16 @@ class Landmarks:
             if not len(chosen):
                 continue
             codes = letters([parts[n] for n in chosen.tolist()], high)
-            pairs = [np.flatnonzero(shared(codes, w) >= LENGTH) for w in self.words]
+            place = np.minimum(np.searchsorted(self.alphabet, codes.T), len(self.alphabet) - 1)
+            place = np.where(self.alphabet[place] == codes.T, place, 0).astype(np.uint16)
+            pairs = [np.flatnonzero(shared(place, self.alphabet, w) >= LENGTH) for w in self.words]
             row = np.concatenate(pairs)
             mark = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
             needed, at = np.unique(row, return_inverse=True)
-            own = np.concatenate([np.zeros(0, np.float32)] + [kernel(codes[needed[k : k + 4_000]], codes[needed[k : k + 4_000]]) for k in range(0, len(needed), 4_000)])
-            for k in range(0, len(row), 4_000):
-                r, j = row[k : k + 4_000], mark[k : k + 4_000]
-                value = kernel(codes[r], self.codes[j]) / np.sqrt(own[at[k : k + 4_000]] * self.own[j])
+            own = np.concatenate([np.zeros(0, np.float32)] + [kernel(codes[needed[k : k + PAIRS]], codes[needed[k : k + PAIRS]]) for k in range(0, len(needed), PAIRS)])
+            for k in range(0, len(row), PAIRS):
+                r, j = row[k : k + PAIRS], mark[k : k + PAIRS]
+                value = kernel(codes[r], self.codes[j]) / np.sqrt(own[at[k : k + PAIRS]] * self.own[j])
                 np.maximum.at(out, (owner[chosen[r]], j), np.minimum(value, 1))
         return out
 
