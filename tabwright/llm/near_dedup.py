@@ -205,6 +205,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more links: these are drawn between components, so that only merged ones are worked on."""
+    ends = links
+    for end in ("a", "b"):
+        own = labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        ends = ends.join(own, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    merged = components(written(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b").distinct()))
+    root = merged.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    old = labels.join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    # A component is one of its nodes; other ends of links had no label so far.
+    return written(old.union(merged.join(labels.select("node"), "node", "left_anti").select("node", "component")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
     """Class of every document: doc_id, class_id (smallest id of the class), class_size, n_words.
 
@@ -241,18 +254,16 @@ def _classed(docs: DataFrame, shingle: int, similarity: float, sketches: int) ->
     tokens = sources.mapInArrow(_tokens, "node binary, tokens binary").dropDuplicates(["node"])
     tokens = written(tokens.join(needed.select("node").distinct(), "node", "left_semi"))
 
-    labels = None
-    found = checked = None
+    labels = checked = None
     for number in range(ROUNDS):
         current = entries.select("key", "node", "words")
         if labels is not None:
             current = current.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            several = current.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-            current = current.join(several, "key")
         else:
             current = current.withColumn("component", F.col("node"))
         order = F.struct(F.xxhash64("node", F.lit(number)).alias("order"), "node", "words", "component")
-        leaders = current.groupBy("key").agg(F.min(order).alias("first"), F.max(order).alias("last"))
+        sides = [side(c).alias(name) for c, names in ((order, ("first", "last")), ("component", ("low", "high"))) for side, name in zip((F.min, F.max), names, strict=True)]
+        leaders = current.groupBy("key").agg(*sides).where("low <> high")  # several components meet here
         leaders = leaders.select("key", F.explode(F.array("first", "last")).alias("leader"))
         near = F.least("words", "leader.words") >= F.lit(similarity) * F.greatest("words", "leader.words")
         pairs = current.join(leaders, "key").where((F.col("component") != F.col("leader.component")) & near)
@@ -272,8 +283,7 @@ def _classed(docs: DataFrame, shingle: int, similarity: float, sketches: int) ->
             if number:
                 break
             continue
-        found = links if found is None else found.union(links)
-        labels = components(found)
+        labels = components(links) if labels is None else extended(labels, links)
     classed = rows.select("doc_id", "mark", "node", F.col("words").alias("n_words"))
     if labels is not None:
         classed = classed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
