@@ -6,6 +6,8 @@ shared scratch folder; stages send short byte strings about a block to shards an
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -90,6 +92,17 @@ def unpack(ids: bytes, lens: bytes, text: bytes) -> tuple[np.ndarray, np.ndarray
     return expand_array(ids, np.int64), np.concatenate([[0], np.cumsum(lengths)]), expand(text)
 
 
+def kept(kind: str, key, make: Callable[[], object]):
+    """What ``make`` gives, kept by the worker process for its next tasks; of each kind only the last key's.
+
+    Task functions travel by value, so that their own globals end with the task. The kept object must be bounded.
+    """
+    store = sys.modules.setdefault("kept_by_worker", types.ModuleType("kept_by_worker")).__dict__
+    if store.get(kind, (None,))[0] != key:
+        store[kind] = (key, make())
+    return store[kind][1]
+
+
 def written(df: DataFrame) -> DataFrame:
     """A frame's rows from a table written to the shared scratch folder: computed once, lineage cut."""
     path = scratch_path(df.sparkSession, "rows")

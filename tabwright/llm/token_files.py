@@ -18,7 +18,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabwright.llm.bpe import byte_letters
-from tabwright.llm.blocks import expand_array, record, squeeze_array, text_bytes
+from tabwright.llm.blocks import expand_array, kept, record, squeeze_array, text_bytes
 from tabwright.session import scratch_path
 
 SHARD_IDS = 1 << 20
@@ -180,7 +180,7 @@ def _writer(path: str, end_id: int, shard_ids: int):
         )
 
     def write(batches):
-        encoder = WordEncoder(path)
+        encoder = kept("word encoder", path, lambda: WordEncoder(path))
         number, docs, encoded, size = 0, [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
