@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.blocks import text_bytes, written
+from tabwright.llm.blocks import kept, text_bytes, written
 from tabwright.llm.languages import fold
 
 LENGTH = 4
@@ -294,12 +294,8 @@ def fit_machine(bags: list[np.ndarray], toxic: np.ndarray, gram: np.ndarray, pri
 def _scorer(words, weight, bias, curve):
     weight = np.asarray(weight, np.float32)
 
-    state = []
-
     def score(batches):
-        if not state:  # kept for all calls of a task
-            state.append(Sentences(Landmarks(words)))
-        sentences = state[0]
+        sentences = kept("toxic words", tuple(words), lambda: Sentences(Landmarks(words)))
         for batch in batches:
             facts = []
             for at in range(0, batch.num_rows, 1000):
