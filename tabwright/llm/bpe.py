@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.blocks import record, text_bytes
+from tabwright.llm.blocks import kept, record, text_bytes
 
 # How byte-level vocabularies split text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -181,7 +181,7 @@ def _encoder(path: str, with_ids: bool, with_text: bool):
         yield ids, texts
 
     def run(batches):
-        encoder, cache = PairIndexEncoder(path), {}
+        encoder, cache = kept("pair index", path, lambda: (PairIndexEncoder(path), {}))
         for doc_ids, texts in parts(batches):
             encoded = encoder.encode(texts, cache)
             decoded = [encoder.decode(e).decode("utf-8", "replace") for e in encoded]
