@@ -119,6 +119,16 @@ def expand_symbols(sequence: np.ndarray, base: int, rules: np.ndarray, lengths:
     return out
 
 
+def expand_all(sequence: np.ndarray, base: int, rules: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a whole shard, each rule expanded once, and how many each symbol stands for."""
+    table = np.concatenate([np.arange(base), expand_symbols(np.arange(base, base + len(rules)), base, rules, lengths)]).astype("<u4")
+    sizes = np.concatenate([np.ones(base, np.int64), lengths])
+    begins = np.cumsum(sizes) - sizes
+    size = sizes[sequence]
+    before = np.cumsum(size) - size
+    return table[np.arange(size.sum()) + np.repeat(begins[sequence] - before, size)], size
+
+
 class WordEncoder(dict):
     """Ids of words by the tokenizers library, each word looked up once.
 
@@ -230,9 +240,8 @@ def _reader(with_ids: bool):
         for batch in batches:
             for row in batch.to_pylist():
                 symbols, begins, base, rules, lengths, doc_ids = _unpack(row)
-                size = np.ones(len(symbols), np.int64)
-                size[symbols >= base] = lengths[symbols[symbols >= base] - base]
-                data = expand_symbols(symbols, base, rules, lengths).astype("<u4").tobytes()
+                ids, size = expand_all(symbols, base, rules, lengths)
+                data = ids.tobytes()
                 starts = (np.cumsum(size) - size)[begins]
                 stops = np.append(starts[1:], size.sum())
                 parts = [data[4 * a : 4 * b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
