@@ -3,10 +3,12 @@
 A k-mer is a shingle of ``SHINGLE`` words labelled with how often it occurred before in the text. Each of
 ``SKETCHES`` hash functions picks its ``PICKED`` smallest k-mers and keeps them in text order, so texts that share
 k-mers in another order don't meet. Texts that are equal word for word are one node. Nodes that share a sketch are
-candidates; within a bucket every node is compared with the bucket's leaders, not with every other one. Verified
-links join nodes to components. Buckets that still hold several components get other leaders, until a round adds no
-link; the first round takes one leader for each node, the others all of them. Alignment allows as many word edits as ``1 - SIMILARITY`` of the longer text: the band of the table of
-furthest-reaching paths.
+candidates. Large classes form in rounds: within a bucket every node is compared with the bucket's leaders, and
+verified links join nodes to components. Leaders are drawn over the components of a bucket; the first round takes one
+leader for each node, the others all of them. Rounds go on while each halves the pairs of nodes in one bucket that are
+in different components. Then all pairs that are left are settled, block by block: those whose lengths and word counts
+in ``SLOTS`` slots allow a link are aligned. Alignment allows as many word edits as ``1 - SIMILARITY`` of the longer
+text: the band of the table of furthest-reaching paths.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ SHINGLE = 5
 PICKED = 2
 SKETCHES = 24
 SIMILARITY = 0.8
-ROUNDS = 6
+EASY = 100  # pairs left for each entry of a bucket that are settled without another round of leaders
+BLOCK = 1024  # nodes of a bucket that are compared in one group with as many others
+SLOTS = 128
 CACHE_WORDS = 500_000
 ODD = np.random.default_rng(2024).integers(0, 2**63, (2, 64), np.uint64) | np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -148,6 +152,64 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return False
 
 
+def signature(words: np.ndarray) -> bytes:
+    """Word counts in slots, four bits each and at most 15. An edit changes their sum of differences by two at most."""
+    slots = (mixed(words.astype(np.uint64) * BASE + np.uint64(7)) >> np.uint64(20)).astype(np.int64) % SLOTS
+    counts = np.minimum(np.bincount(slots, minlength=SLOTS), 15).astype(np.uint8)
+    return (counts[::2] << 4 | counts[1::2]).tobytes()
+
+
+def block_pairs(group: np.ndarray, apart: np.ndarray, part: np.ndarray, component: np.ndarray, words: np.ndarray, signs: np.ndarray, similarity: float):
+    """Places of the pairs that may be linked: of one group, which is a run, in different components, and of different
+    parts where ``apart``. ``signs``: counts of ``signature``."""
+    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    ends = np.repeat(np.concatenate([heads[1:], [len(group)]]), np.diff(np.concatenate([heads, [len(group)]])))
+    one, two = [], []
+    live, step = np.arange(len(group)), 1
+    while len(live := live[live + step < ends[live]]):
+        a, b = live, live + step
+        keep = (component[a] != component[b]) & ~(apart[a] & (part[a] == part[b]))
+        a, b = a[keep], b[keep]
+        most = np.floor((1 - similarity) * np.maximum(words[a], words[b]) + 1e-9)
+        keep = np.abs(words[a] - words[b]) <= most
+        a, b, most = a[keep], b[keep], most[keep]
+        keep = np.abs(signs[a] - signs[b]).sum(1, dtype=np.int32) <= 2 * most
+        one.append(a[keep])
+        two.append(b[keep])
+        step += 1
+    return (np.concatenate(one), np.concatenate(two)) if one else (np.zeros(0, np.int64),) * 2
+
+
+def _pairer(similarity: float):
+    """Rows in order of key, low, high: pairs of nodes that may be linked. Groups are not cut by batches."""
+
+    def pairs(table):
+        columns = {n: table.column(n).combine_chunks() for n in table.column_names}
+        number = {n: columns[n].to_numpy(zero_copy_only=False) for n in ("key", "low", "high", "part", "words")}
+        new = np.ones(table.num_rows, bool)
+        new[1:] = np.any([number[n][1:] != number[n][:-1] for n in ("key", "low", "high")], axis=0)
+        component = columns["component"].dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        packed = np.frombuffer(b"".join(columns["signature"].to_pylist()), np.uint8).reshape(-1, SLOTS // 2)
+        signs = np.stack([packed >> 4, packed & 15], 2).reshape(-1, SLOTS).astype(np.int8)
+        one, two = block_pairs(np.cumsum(new), number["low"] != number["high"], number["part"], component, number["words"].astype(np.int64), signs, similarity)
+        return pa.RecordBatch.from_arrays([columns["node"].take(pa.array(one)), columns["node"].take(pa.array(two))], ["one", "two"])
+
+    def run(batches):
+        left = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
+            ids = [table.column(n).to_numpy() for n in ("key", "low", "high")]
+            last = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            left = table.slice(cut)
+            if cut:
+                yield pairs(table.slice(0, cut))
+        if left is not None and left.num_rows:
+            yield pairs(left)
+
+    return run
+
+
 def _sketcher(shingle: int, sketches: int):
     def run(batches):
         words = Words()
@@ -175,6 +237,7 @@ def _tokens(batches):
             {
                 "node": pa.array([node_of(w, i) for w, i in zip(texts, batch.column(0).to_pylist(), strict=True)], pa.binary()),
                 "tokens": pa.array([squeeze(w.tobytes()) for w in texts], pa.binary()),
+                "signature": pa.array([signature(w) for w in texts], pa.binary()),
             }
         )
 
@@ -239,6 +302,31 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_mark"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _leader_pairs(current: DataFrame, number: int, similarity: float) -> DataFrame:
+    """Nodes with the leaders of their buckets; a large component is as likely to lead as a single node."""
+    order = F.struct(F.xxhash64("component", F.lit(number)).alias("order"), F.xxhash64("node", F.lit(number)).alias("within"), "node", "words", "component")
+    sides = [side(c).alias(name) for c, names in ((order, ("first", "last")), ("component", ("low", "high"))) for side, name in zip((F.min, F.max), names, strict=True)]
+    leaders = current.groupBy("key").agg(*sides).where("low <> high")  # several components meet here
+    leaders = leaders.select("key", F.explode(F.array("first", "last")).alias("leader"))
+    near = F.least("words", "leader.words") >= F.lit(similarity) * F.greatest("words", "leader.words")
+    pairs = current.join(leaders, "key").where((F.col("component") != F.col("leader.component")) & near)
+    if not number:  # one leader for each node first: most copies meet in it, and later rounds skip them
+        pairs = pairs.groupBy("node").agg(F.min("leader").alias("leader"))
+    return pairs.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
+
+
+def _open_pairs(current: DataFrame, rooms: DataFrame, tokens: DataFrame, similarity: float, shards: int) -> DataFrame:
+    """All pairs of one bucket in different components that may be linked by their lengths and signatures."""
+    parts = F.ceil(F.col("nodes") / F.lit(BLOCK)).cast("int")
+    members = current.join(rooms.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("node", F.lit(-1)), "parts").cast("int"))
+    members = members.join(tokens.select("node", "signature"), "node")
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    members = members.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "words", "component", "signature")
+    members = members.repartition(shards, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    pairs = members.mapInArrow(_pairer(similarity), "one binary, two binary")
+    return pairs.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
+
+
 def _classed(docs: DataFrame, shingle: int, similarity: float, sketches: int) -> DataFrame:
     columns = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
     rows = written(columns.mapInArrow(_sketcher(shingle, sketches), "doc_id long, mark long, node binary, words int, keys array<long>"))
@@ -251,39 +339,44 @@ def _classed(docs: DataFrame, shingle: int, similarity: float, sketches: int) ->
 
     needed = entries.select("node", "doc_id").distinct()
     sources = columns.join(needed.select(F.col("doc_id").alias("wanted")).distinct(), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    tokens = sources.mapInArrow(_tokens, "node binary, tokens binary").dropDuplicates(["node"])
+    tokens = sources.mapInArrow(_tokens, "node binary, tokens binary, signature binary").dropDuplicates(["node"])
     tokens = written(tokens.join(needed.select("node").distinct(), "node", "left_semi"))
 
+    shards = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     labels = checked = None
-    for number in range(ROUNDS):
+    easy, before, number, linked = EASY * entries.count(), None, 0, True
+    while True:
         current = entries.select("key", "node", "words")
         if labels is not None:
             current = current.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         else:
             current = current.withColumn("component", F.col("node"))
-        order = F.struct(F.xxhash64("node", F.lit(number)).alias("order"), "node", "words", "component")
-        sides = [side(c).alias(name) for c, names in ((order, ("first", "last")), ("component", ("low", "high"))) for side, name in zip((F.min, F.max), names, strict=True)]
-        leaders = current.groupBy("key").agg(*sides).where("low <> high")  # several components meet here
-        leaders = leaders.select("key", F.explode(F.array("first", "last")).alias("leader"))
-        near = F.least("words", "leader.words") >= F.lit(similarity) * F.greatest("words", "leader.words")
-        pairs = current.join(leaders, "key").where((F.col("component") != F.col("leader.component")) & near)
-        if not number:  # one leader for each node first: most copies meet in it, and later rounds skip them
-            pairs = pairs.groupBy("node").agg(F.min("leader").alias("leader"))
-        pairs = pairs.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
+        current = written(current)
+        rooms = current.groupBy("key", "component").agg(F.count("*").alias("nodes")).groupBy("key")
+        rooms = rooms.agg(F.sum("nodes").alias("nodes"), F.sum(F.col("nodes").cast("double") * F.col("nodes")).alias("known"))
+        rooms = written(rooms.withColumn("open", F.col("nodes").cast("double") * F.col("nodes") - F.col("known")).where("open > 0"))
+        open_pairs = (rooms.agg(F.sum("open")).first()[0] or 0) / 2
+        settle = number > 0 and (not linked or open_pairs <= easy or before is not None and open_pairs > before / 2)
+        if not open_pairs:
+            break
+        if settle:
+            pairs = _open_pairs(current, rooms, tokens, similarity, shards)
+        else:
+            pairs = _leader_pairs(current, number, similarity)
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = written(pairs)
         checked = pairs if checked is None else checked.union(pairs)
         one = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("left"))
         two = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
-        whole = pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right")
-        whole = whole.repartition(max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "a", "b")
+        whole = pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").repartition(shards, "a", "b")
         links = written(whole.mapInArrow(_aligner(similarity), "a binary, b binary"))
-        if not links.limit(1).count():
-            if number:
-                break
-            continue
-        labels = components(links) if labels is None else extended(labels, links)
+        linked = bool(links.limit(1).count())
+        if linked:
+            labels = components(links) if labels is None else extended(labels, links)
+        if settle:
+            break
+        before, number = open_pairs, number + 1
     classed = rows.select("doc_id", "mark", "node", F.col("words").alias("n_words"))
     if labels is not None:
         classed = classed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

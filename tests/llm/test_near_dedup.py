@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tabwright.llm.near_dedup import near_duplicates, representatives, similar, sketch
+from tabwright.llm.near_dedup import Words, near_duplicates, representatives, similar, sketch
 
 SCHEMA = "doc_id long, text string, node string, key int"
 
@@ -109,3 +109,27 @@ def test_empty_and_long(spark):
     rows = [(1, " ".join(body), "x", 1), (2, " ".join(body[:10_000] + ["z"] + body[10_000:]), "x", 1), (3, "b " * 30_000, "x", 1)]
     out = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.doc_id, r.class_id) for r in out) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_pairs_in_the_bucket_of_a_large_class(spark):
+    """One sketch, so one bucket: a class of many differing copies and other pairs that only meet there."""
+    rng = random.Random(5)
+    word = lambda: rng.choice("abcdefghijk") + str(rng.randrange(900))
+    passage = [word() for _ in range(100)]
+    key = lambda words: sketch(Words().of(" ".join(words).encode()), sketches=1)[0]
+    wanted = key(passage)
+    large, texts = [word() for _ in range(60)], []
+    while len(texts) < 300:
+        texts.append(passage + change(rng, large, 3))
+        if key(texts[-1]) != wanted:
+            texts.pop()
+    classes = [0] * 300
+    while len(classes) < 340:
+        own = [word() for _ in range(60)]
+        two = [passage + own, passage + change(rng, own, 3)]
+        if all(key(t) == wanted for t in two):
+            classes += [len(classes)] * 2
+            texts += two
+    rows = [(n, " ".join(t), "x", 1) for n, t in enumerate(texts)]
+    out = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), sketches=1).collect()
+    assert {r.doc_id: r.class_id for r in out} == dict(enumerate(classes))
