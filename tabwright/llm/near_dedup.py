@@ -1,13 +1,16 @@
-"""Near-duplicates by order MinHash of word shingles, verified by banded alignment.
+"""Near-duplicates by MinHash of word shingles, verified by banded alignment.
 
 A k-mer is a shingle of ``SHINGLE`` words labelled with how often it occurred before in the text. Each of
 ``SKETCHES`` hash functions picks its ``PICKED`` smallest k-mers and keeps them in text order, so texts that share
-k-mers in another order don't meet. Texts that are equal word for word are one node. Nodes that share a sketch are
+k-mers in another order don't meet. For texts near the limit these are too few, so that every text also has keys of
+one k-mer of ``GRAM`` words: the smallest one of each hash function, where replacing every fifth word still leaves a
+quarter of the k-mers in common. Texts of up to ``SHORT`` words have an exact family besides (``short_keys``): no pair
+of them that may be linked is missed. Texts that are equal word for word are one node. Nodes that share a sketch are
 candidates. Large classes form in rounds: within a bucket every node is compared with the bucket's leaders, and
 verified links join nodes to components. Leaders are drawn over the components of a bucket; the first round takes one
-leader for each node, the others all of them. Rounds go on while each halves the pairs of nodes in one bucket that are
-in different components. Then all pairs that are left are settled, block by block: those whose lengths and word counts
-in ``SLOTS`` slots allow a link are aligned. Alignment allows as many word edits as ``1 - SIMILARITY`` of the longer
+leader for each node, the others all of them. Rounds go on while they join many nodes. Then all pairs of nodes in one
+bucket and different components are settled: block by block, those are found whose lengths and word counts in ``SLOTS``
+slots allow a link. Some of each two components are aligned first; then all that are in different components still. Alignment allows as many word edits as ``1 - SIMILARITY`` of the longer
 text: the band of the table of furthest-reaching paths.
 """
 
@@ -24,10 +27,12 @@ from tabwright.llm.blocks import expand, squeeze, text_bytes, written
 SHINGLE = 5
 PICKED = 2
 SKETCHES = 24
+GRAM = 3
+SHORT = 50
 SIMILARITY = 0.8
-EASY = 100  # pairs left for each entry of a bucket that are settled without another round of leaders
-BLOCK = 1024  # nodes of a bucket that are compared in one group with as many others
-SLOTS = 128
+MANY = 0.005  # share of the nodes that a round joins if another one is worth it
+BLOCK = 4096  # nodes of a bucket that are compared in one group with as many others
+SLOTS = 512
 CACHE_WORDS = 500_000
 ODD = np.random.default_rng(2024).integers(0, 2**63, (2, 64), np.uint64) | np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -59,11 +64,11 @@ def node_of(words: np.ndarray, doc_id) -> bytes:
     return xxhash.xxh3_128_digest(words.tobytes() if len(words) else f"no words {doc_id}".encode())
 
 
-def sketch(words: np.ndarray, shingle: int = SHINGLE, sketches: int = SKETCHES) -> np.ndarray:
-    """One key per hash function; none for a text shorter than a shingle."""
+def labelled(words: np.ndarray, shingle: int) -> np.ndarray:
+    """Hashes of the k-mers with how often each occurred before."""
     count = len(words) - shingle + 1
     if count < 1:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     wide = mixed(words.astype(np.uint64) * BASE + np.uint64(1))
     kmers = wide[:count].copy()
     for n in range(1, shingle):
@@ -74,7 +79,15 @@ def sketch(words: np.ndarray, shingle: int = SHINGLE, sketches: int = SKETCHES)
     heads = np.flatnonzero(fresh)
     label = np.empty(count, np.uint64)
     label[order] = (np.arange(count) - np.repeat(heads, np.diff(np.concatenate([heads, [count]])))).astype(np.uint64)
-    kmers = mixed(kmers + label * np.uint64(0xBF58476D1CE4E5B9))
+    return mixed(kmers + label * np.uint64(0xBF58476D1CE4E5B9))
+
+
+def sketch(words: np.ndarray, shingle: int = SHINGLE, sketches: int = SKETCHES) -> np.ndarray:
+    """One key per hash function; none for a text shorter than a shingle."""
+    kmers = labelled(words, shingle)
+    count = len(kmers)
+    if not count:
+        return np.zeros(0, np.int64)
     out = np.empty(sketches, np.uint64)
     for at in range(0, sketches, 8):
         odd = ODD[:, at : min(at + 8, sketches)]
@@ -93,6 +106,37 @@ def sketch(words: np.ndarray, shingle: int = SHINGLE, sketches: int = SKETCHES)
     return out.view(np.int64)
 
 
+def short_keys(words: np.ndarray, similarity: float = SIMILARITY) -> set[int]:
+    """K-mers of a text of up to ``SHORT`` words, of which it shares one with each text that short it may be linked to.
+
+    If the longer of two texts has ``longer`` words and ``edits`` are allowed, some run of words between edits has at
+    least a ``edits + 1``-th of the others, so a k-mer no longer than that is common to both. An edit changes at most
+    ``shingle`` k-mers, so ``common`` ones are, and of all but ``common - 1`` in one order for all texts, one is.
+    """
+    least: dict[int, int] = {}
+    for longer in range(len(words), min(SHORT, int(len(words) / similarity + 1e-6) if similarity > 0 else SHORT) + 1):
+        edits = int((1 - similarity) * longer + 1e-9)
+        shingle = max(1, min(GRAM, -(-(longer - edits) // (edits + 1))))
+        common = max(1, longer - shingle + 1 - shingle * edits)
+        least[shingle] = min(common, least.get(shingle, common))
+    keys = set()
+    for shingle, common in least.items():
+        kmers = np.sort(labelled(words, shingle))
+        keys.update(kmers[: max(0, len(kmers) - common + 1)].tolist())
+    return keys
+
+
+def single_keys(words: np.ndarray, sketches: int = SKETCHES, similarity: float = SIMILARITY) -> np.ndarray:
+    """Keys of one k-mer each: the smallest of each hash function, for short texts those of ``short_keys`` too."""
+    keys = short_keys(words, similarity) if len(words) <= SHORT else set()
+    if len(words) > similarity * SHORT:  # may be linked to a text that isn't short
+        kmers = labelled(words, GRAM)
+        for n in range(sketches if len(kmers) else 0):
+            values = (kmers ^ ODD[0, n]) * ODD[1, n]
+            keys.add(int(kmers[(values ^ (values >> np.uint64(32))).argmin()]))
+    return np.fromiter(keys, np.uint64, len(keys)).view(np.int64)
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Whether word edits are at most ``1 - similarity`` of the longer text's words."""
     most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
@@ -164,6 +208,7 @@ def block_pairs(group: np.ndarray, apart: np.ndarray, part: np.ndarray, componen
     parts where ``apart``. ``signs``: counts of ``signature``."""
     heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     ends = np.repeat(np.concatenate([heads[1:], [len(group)]]), np.diff(np.concatenate([heads, [len(group)]])))
+    coarse = signs.reshape(-1, SLOTS // 8, 8).sum(2, dtype=np.int8)  # at most 8 * 15
     one, two = [], []
     live, step = np.arange(len(group)), 1
     while len(live := live[live + step < ends[live]]):
@@ -173,9 +218,11 @@ def block_pairs(group: np.ndarray, apart: np.ndarray, part: np.ndarray, componen
         most = np.floor((1 - similarity) * np.maximum(words[a], words[b]) + 1e-9)
         keep = np.abs(words[a] - words[b]) <= most
         a, b, most = a[keep], b[keep], most[keep]
-        keep = np.abs(signs[a] - signs[b]).sum(1, dtype=np.int32) <= 2 * most
-        one.append(a[keep])
-        two.append(b[keep])
+        for counts in (coarse, signs):  # sums of slots first, which are as sure and soon done
+            keep = np.abs(counts[a] - counts[b]).sum(1, dtype=np.int32) <= 2 * most
+            a, b, most = a[keep], b[keep], most[keep]
+        one.append(a)
+        two.append(b)
         step += 1
     return (np.concatenate(one), np.concatenate(two)) if one else (np.zeros(0, np.int64),) * 2
 
@@ -185,13 +232,12 @@ def _pairer(similarity: float):
 
     def pairs(table):
         columns = {n: table.column(n).combine_chunks() for n in table.column_names}
-        number = {n: columns[n].to_numpy(zero_copy_only=False) for n in ("key", "low", "high", "part", "words")}
+        number = {n: columns[n].to_numpy(zero_copy_only=False) for n in ("key", "low", "high", "part", "words", "component")}
         new = np.ones(table.num_rows, bool)
         new[1:] = np.any([number[n][1:] != number[n][:-1] for n in ("key", "low", "high")], axis=0)
-        component = columns["component"].dictionary_encode().indices.to_numpy(zero_copy_only=False)
         packed = np.frombuffer(b"".join(columns["signature"].to_pylist()), np.uint8).reshape(-1, SLOTS // 2)
         signs = np.stack([packed >> 4, packed & 15], 2).reshape(-1, SLOTS).astype(np.int8)
-        one, two = block_pairs(np.cumsum(new), number["low"] != number["high"], number["part"], component, number["words"].astype(np.int64), signs, similarity)
+        one, two = block_pairs(np.cumsum(new), number["low"] != number["high"], number["part"], number["component"], number["words"].astype(np.int64), signs, similarity)
         return pa.RecordBatch.from_arrays([columns["node"].take(pa.array(one)), columns["node"].take(pa.array(two))], ["one", "two"])
 
     def run(batches):
@@ -210,7 +256,7 @@ def _pairer(similarity: float):
     return run
 
 
-def _sketcher(shingle: int, sketches: int):
+def _sketcher(shingle: int, sketches: int, similarity: float):
     def run(batches):
         words = Words()
         for batch in batches:
@@ -222,7 +268,7 @@ def _sketcher(shingle: int, sketches: int):
                     "mark": batch.column(2),
                     "node": pa.array([node_of(w, i) for w, i in zip(texts, ids, strict=True)], pa.binary()),
                     "words": pa.array([len(w) for w in texts], pa.int32()),
-                    "keys": pa.array([sketch(w, shingle, sketches) for w in texts], pa.list_(pa.int64())),
+                    "keys": pa.array([np.unique(np.concatenate([sketch(w, shingle, sketches), single_keys(w, sketches, similarity)])) for w in texts], pa.list_(pa.int64())),
                 }
             )
 
@@ -268,13 +314,26 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` after more links: these are drawn between components, so that only merged ones are worked on."""
-    ends = links
+def _ends(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(a, b) with their components, of_a and of_b."""
     for end in ("a", "b"):
+        if labels is None:
+            links = links.withColumn(f"of_{end}", F.col(end))
+            continue
         own = labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
-        ends = ends.join(own, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
-    merged = components(written(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b").distinct()))
+        links = links.join(own, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    return links
+
+
+def _with_component(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("component", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more links: these are drawn between components, so that only merged ones are worked on."""
+    merged = components(written(_ends(links, labels).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b").distinct()))
     root = merged.select(F.col("node").alias("component"), F.col("component").alias("root"))
     old = labels.join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
     # A component is one of its nodes; other ends of links had no label so far.
@@ -284,9 +343,9 @@ def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
     """Class of every document: doc_id, class_id (smallest id of the class), class_size, n_words.
 
-    Two texts are linked if they share a sketch and the word edits between them are at most ``1 - similarity`` of
+    Two texts are linked if they share a key (all of up to ``SHORT`` words do that may be linked) and the word edits between them are at most ``1 - similarity`` of
     the longer one; classes are connected by links. Words are split at ASCII white space and lower-cased in A-Z.
-    Texts equal word for word are always one class, also those shorter than a shingle. Texts without words, null
+    Texts equal word for word are always one class. Texts without words, null
     ones too, stand alone. A null id is never the class id unless the class has no other. Other columns are ignored.
     """
     return _classed(docs, shingle, similarity, sketches).select("doc_id", "class_id", "class_size", "n_words")
@@ -321,7 +380,7 @@ def _open_pairs(current: DataFrame, rooms: DataFrame, tokens: DataFrame, similar
     members = current.join(rooms.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("node", F.lit(-1)), "parts").cast("int"))
     members = members.join(tokens.select("node", "signature"), "node")
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = members.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "words", "component", "signature")
+    members = members.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "words", F.xxhash64("component").alias("component"), "signature")
     members = members.repartition(shards, "key", "low", "high").sortWithinPartitions("key", "low", "high")
     pairs = members.mapInArrow(_pairer(similarity), "one binary, two binary")
     return pairs.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
@@ -329,12 +388,12 @@ def _open_pairs(current: DataFrame, rooms: DataFrame, tokens: DataFrame, similar
 
 def _classed(docs: DataFrame, shingle: int, similarity: float, sketches: int) -> DataFrame:
     columns = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
-    rows = written(columns.mapInArrow(_sketcher(shingle, sketches), "doc_id long, mark long, node binary, words int, keys array<long>"))
+    rows = written(columns.mapInArrow(_sketcher(shingle, sketches, similarity), "doc_id long, mark long, node binary, words int, keys array<long>"))
     columns = columns.drop("mark")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     single = rows.select("node", "words", "doc_id", "keys").join(nodes, (rows["node"] == nodes["node"]) & rows["doc_id"].eqNullSafe(nodes["doc_id"]), "left_semi")
-    entries = single.select("node", "words", "doc_id", F.explode("keys").alias("key")).distinct()
-    shared = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    entries = single.dropDuplicates(["node"]).select("node", "words", "doc_id", F.explode("keys").alias("key"))  # a text's keys differ
+    shared = entries.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1").select("key")
     entries = written(entries.join(shared, "key"))
 
     needed = entries.select("node", "doc_id").distinct()
@@ -343,44 +402,54 @@ def _classed(docs: DataFrame, shingle: int, similarity: float, sketches: int) ->
     tokens = written(tokens.join(needed.select("node").distinct(), "node", "left_semi"))
 
     shards = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    labels = checked = None
-    easy, before, number, linked = EASY * entries.count(), None, 0, True
+    entered, nodes_in = entries.count(), needed.count()
+    labels, checked, number, joined = None, None, 0, 0
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        one = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("left"))
+        two = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
+        whole = pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").repartition(shards, "a", "b")
+        return written(whole.mapInArrow(_aligner(similarity), "a binary, b binary"))
+
+    def joined_by(pairs: DataFrame) -> DataFrame | None:
+        links = aligned(pairs)
+        if not links.limit(1).count():
+            return labels
+        return components(links) if labels is None else extended(labels, links)
+
     while True:
-        current = entries.select("key", "node", "words")
-        if labels is not None:
-            current = current.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        else:
-            current = current.withColumn("component", F.col("node"))
-        current = written(current)
+        current = _with_component(entries.select("key", "node", "words"), labels)
         rooms = current.groupBy("key", "component").agg(F.count("*").alias("nodes")).groupBy("key")
         rooms = rooms.agg(F.sum("nodes").alias("nodes"), F.sum(F.col("nodes").cast("double") * F.col("nodes")).alias("known"))
         rooms = written(rooms.withColumn("open", F.col("nodes").cast("double") * F.col("nodes") - F.col("known")).where("open > 0"))
-        open_pairs = (rooms.agg(F.sum("open")).first()[0] or 0) / 2
-        settle = number > 0 and (not linked or open_pairs <= easy or before is not None and open_pairs > before / 2)
-        if not open_pairs:
+        still_open = (rooms.agg(F.sum("open")).first()[0] or 0) / 2
+        before, joined = joined, labels.where("node <> component").count() if labels is not None else 0
+        if not still_open or number and (still_open <= entered or joined - before <= MANY * nodes_in):
             break
-        if settle:
-            pairs = _open_pairs(current, rooms, tokens, similarity, shards)
-        else:
-            pairs = _leader_pairs(current, number, similarity)
+        pairs = _leader_pairs(current, number, similarity)
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = written(pairs)
         checked = pairs if checked is None else checked.union(pairs)
-        one = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("left"))
-        two = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
-        whole = pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").repartition(shards, "a", "b")
-        links = written(whole.mapInArrow(_aligner(similarity), "a binary, b binary"))
-        linked = bool(links.limit(1).count())
-        if linked:
-            labels = components(links) if labels is None else extended(labels, links)
-        if settle:
-            break
-        before, number = open_pairs, number + 1
-    classed = rows.select("doc_id", "mark", "node", F.col("words").alias("n_words"))
-    if labels is not None:
-        classed = classed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    else:
-        classed = classed.withColumn("component", F.col("node"))
+        labels = joined_by(pairs)
+        number += 1
+    if still_open:
+        pairs = _open_pairs(current, rooms, tokens, similarity, shards)
+        pairs = written(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
+        for some in (1, 32, 0):
+            left = pairs.count()
+            if not left:
+                break
+            if some and left > nodes_in:  # so many of each two components first: what they join needs no more
+                apart = F.pmod(F.xxhash64("a", "b"), F.lit(some))
+                first = _ends(pairs, labels).groupBy("of_a", "of_b", apart).agg(F.min(F.struct("a", "b")).alias("pair"))
+                first = written(first.select("pair.a", "pair.b"))
+                labels = joined_by(first)
+                pairs = pairs.join(first, ["a", "b"], "left_anti")
+                pairs = written(_ends(pairs, labels).where("of_a <> of_b").select("a", "b"))
+            else:
+                labels = joined_by(pairs)
+                break
+    classed = _with_component(rows.select("doc_id", "mark", "node", F.col("words").alias("n_words")), labels)
     sums = classed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return classed.join(sums, "component")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tabwright.llm.near_dedup import Words, near_duplicates, representatives, similar, sketch
+from tabwright.llm.near_dedup import Words, near_duplicates, representatives, short_keys, similar, sketch
 
 SCHEMA = "doc_id long, text string, node string, key int"
 
@@ -133,3 +133,59 @@ def test_pairs_in_the_bucket_of_a_large_class(spark):
     rows = [(n, " ".join(t), "x", 1) for n, t in enumerate(texts)]
     out = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), sketches=1).collect()
     assert {r.doc_id: r.class_id for r in out} == dict(enumerate(classes))
+
+
+def spread(words, number, even):
+    """``number`` words replaced, evenly or anywhere."""
+    words = list(words)
+    rng = random.Random(f"{words[:3]}{number}")
+    places = [(2 * n + 1) * len(words) // (2 * number) for n in range(number)] if even else rng.sample(range(len(words)), number)
+    for at in places:
+        words[at] = f"other{rng.randrange(10**9)}"
+    return words
+
+
+def test_pairs_at_the_limit(spark):
+    """Pairs of 5 to 40 words and of 41 to 300 at similarities of 0.80 to 0.90, edits evenly spread and anywhere."""
+    rng = random.Random(3)
+    texts = []
+    for size in [*range(5, 41), 41, 49, 50, 51, 60, 75, 100, 150, 200, 300]:
+        for share in (0.8, 0.85, 0.9):
+            number = max(1, int((1 - share) * size + 1e-9))
+            for even in (True, False):
+                body = [rng.choice("abcdefghijk") + str(rng.randrange(10**7)) for _ in range(size)]
+                texts += [body, spread(body, number, even)]
+    texts += [t for n in range(5, 41) for b in [[f"b{n}x{k}" for k in range(n)]] for t in (b, b[: n - n // 5])]  # words left out
+    for a, b in zip(texts[::2], texts[1::2], strict=True):
+        assert edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+    rows = [(n, " ".join(t), "x", 1) for n, t in enumerate(texts)]
+    out = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert {r.doc_id: r.class_id for r in out} == {n: n - n % 2 for n in range(len(texts))}
+
+
+def test_short_texts_that_may_be_linked_share_a_key():
+    rng = random.Random(11)
+    for _ in range(4000):
+        size = rng.randrange(1, 41)
+        a = [rng.randrange(40) for _ in range(size)]
+        b = [int(w[3:]) if isinstance(w, str) and w.startswith("new") else (50 + int(w[2:]) if isinstance(w, str) else w) for w in change(rng, a, rng.randrange(0, size // 5 + 2))]
+        x, y = np.array(a, np.uint32), np.array(b, np.uint32)
+        for similarity in (0.8, 0.7):
+            if max(len(a), len(b)) <= 50 and len(a) and a != b and similar(x, y, similarity):
+                assert short_keys(x, similarity) & short_keys(y, similarity), (a, b, similarity)
+
+
+def test_many_texts_that_are_almost_near(spark):
+    """Texts of one long passage that differ in a fifth of the words and more, with a few copies among them."""
+    rng = random.Random(17)
+    word = lambda: rng.choice("abcdefghijk") + str(rng.randrange(10**6))
+    passage = [word() for _ in range(120)]
+    texts, classes = [], []
+    for n in range(150):
+        own = [word() for _ in range(35)]
+        for text in [passage + own] + [passage + spread(own, 2, True)] * (n % 10 == 0):
+            classes.append(len(classes) if text[-35:] == own else len(classes) - 1)
+            texts.append(" ".join(text))
+    rows = [(n, t, "x", 1) for n, t in enumerate(texts)]
+    out = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert {r.doc_id: r.class_id for r in out} == dict(enumerate(classes))
