@@ -45,6 +45,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared scratch space whose rows are no longer read."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage at a reliable checkpoint, so that lost executors cost a re-read only."""
     context = df.sparkSession.sparkContext
