@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabwright.llm.ball_codes import CODES_SQL, compressed
 from tabwright.llm.bpe import encode_decode
+from tabwright.llm.fingerprints import simhash_components
 from tabwright.llm.languages import identify
 from tabwright.llm.graph_search import nearest
 from tabwright.llm.mixing import ORACLE as MIX_SQL
@@ -17,6 +19,7 @@ from tabwright.llm.pitman_yor import score_texts
 from tabwright.llm.suffix_dedup import remove_repeats
 from tabwright.llm.toxicity import score_toxicity
 from tabwright.llm.token_files import through_files
+from tabwright.llm.whitening import by_component, whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +76,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return through_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).drop("ids")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_component(whiten(table(spark, sf_dir, "embeddings")))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op13_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compressed(table(spark, sf_dir, "embeddings"))
+
+
 PRODUCT_SQL = """
 WITH v AS (
   SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS e FROM embeddings
@@ -85,5 +100,5 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_lm_score, op4_mix_sources, op5_language_id, op6_near_dedup, op7_graph_search, op8_toxicity, op9_mtree_search, op10_token_files)}
-ORACLES: dict[str, str] = {"op4_mix_sources": MIX_SQL, "op9_mtree_search": PRODUCT_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_lm_score, op4_mix_sources, op5_language_id, op6_near_dedup, op7_graph_search, op8_toxicity, op9_mtree_search, op10_token_files, op11_whitening, op12_simhash, op13_ball_codes)}
+ORACLES: dict[str, str] = {"op4_mix_sources": MIX_SQL, "op9_mtree_search": PRODUCT_SQL, "op13_ball_codes": CODES_SQL}
