@@ -15,7 +15,7 @@ from tabwright.operators.kernel_shap import kernel_shap
 from tabwright.operators.metrics import evaluate
 from tabwright.operators.neighbours import nearest_neighbours, vote
 from tabwright.operators.profile import bounded_sample
-from tabwright.operators.split import kfold
+from tabwright.operators.split import kfold, stratified_kfold
 from tabwright.operators.tree_shap import tree_shap
 from tabwright.plans.run import run
 from tabwright.plans.train import prepare_rows, split_rows, train_all
@@ -215,11 +215,22 @@ def cross_validation(spark, sf_dir):
 def tune_ridge(spark, sf_dir):
     folded = kfold(_parts(spark, sf_dir).withColumn("label", F.col("p_retailprice")), ["p_partkey"], 3).persist()
     frames = fold_frames(folded, lambda d: prep.fit_preprocessing(d, ["p_size"], ["p_brand"]), "regression", 3)
-    found = tune("Ridge", "regression", frames, "rmse", trials=4)
-    rows = [(i, float(p["alpha"]), float(s), p == found.params) for i, (p, s) in enumerate(found.trials)]
+    found = tune("Ridge", "regression", frames, "rmse", trials=4, prune=False)
+    rows = [(t.number, float(t.params["alpha"]), float(t.mean), t.params == found.params) for t in found.trials]
     return spark.createDataFrame(rows, "trial int, alpha double, rmse double, chosen boolean")
 
 
+@query("tune_search")
+def tune_search(spark, sf_dir):
+    """The default search, 20 trials over five folds, of a logistic regression on the graded documents."""
+    rows = _graded_documents(spark, sf_dir).withColumn("label", F.col("quality").cast("double"))
+    folded = stratified_kfold(rows, "label", ["doc_id"]).persist()
+    frames = fold_frames(folded, lambda d: prep.fit_preprocessing(d, _DOC_NUMBERS, _DOC_TEXTS), "classification", 5)
+    found = tune("LogisticRegression", "classification", frames, "f1_weighted", 2)
+    rows = [(t.number, float(t.params["C"]), t.state, len(t.folds), float(t.mean), t.params == found.params) for t in found.trials]
+    return spark.createDataFrame(rows, "trial int, C double, state string, folds int, f1 double, chosen boolean")
+
+
 @query("train_all")
 def train_models(spark, sf_dir):
     rows = _graded_documents(spark, sf_dir).persist()

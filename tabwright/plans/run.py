@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import partial
 
 from pyspark.sql import DataFrame, functions as F
@@ -25,6 +25,10 @@ from tabwright.sources.load import check_rows, check_types
 from tabwright.sources.store import Store
 
 
+# Fixed value: the default name of the search method means the Parzen estimator.
+SEARCH_METHODS = {"optuna": "tpe"}
+
+
 @dataclass
 class Outcome:
     run_id: str | None
@@ -129,7 +133,7 @@ def _execute(df: DataFrame, settings: dict, key: Sequence[str] | None, run_id: s
 
     roles = column_roles(plain, target)
     models = resolve_models(plain, target, task, settings["model_selection"]["list_of_models_to_train"])
-    cleaning = settings["data_cleaning"]
+    cleaning, tuning = settings["data_cleaning"], settings["hyperparameter_optimization"]
     report(45.0, "Training models")
     training = train_all(
         prepared,
@@ -138,11 +142,15 @@ def _execute(df: DataFrame, settings: dict, key: Sequence[str] | None, run_id: s
         models,
         lambda train: config_preprocessing(train, roles.numerical, roles.categorical, cleaning),
         metric,
-        trials=int(settings["hyperparameter_optimization"]["number_of_trials"]),
+        trials=int(tuning["number_of_trials"]),
         folds=int(data["cross_validation_folds"]),
         share=float(data["train_test_split"]),
         key=by,
         parallelism=int(settings["training_strategy"]["parallelism"]),
+        method=SEARCH_METHODS.get(tuning["optimization_method"], tuning["optimization_method"]),
+        prune=bool(tuning["early_stopping"]),
+        timeout=tuning["timeout"],
+        time_budget=settings["training_strategy"]["time_budget"],
     )
     importance = None
     best = training.best()
@@ -171,7 +179,13 @@ def _save(store: Store, run_id: str, dataset_id: str, outcome: Outcome) -> None:
             "best_metrics": best.metrics,
             "leaderboard": [r.asDict() for r in store.board(run_id).collect()],
             "trained": [
-                {"model": r.model, "params": r.params, "optimisation_score": r.optimisation_score, "error": r.error}
+                {
+                    "model": r.model,
+                    "params": r.params,
+                    "optimisation_score": r.optimisation_score,
+                    "error": r.error,
+                    "trials": [asdict(t) for t in r.trials],
+                }
                 for r in training.results
             ],
         },

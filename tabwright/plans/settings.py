@@ -33,8 +33,8 @@ DEFAULTS: dict = {
         "feature_selection": {"enabled": False, "method": "variance_threshold", "k_features": 20},
     },
     "model_selection": {"list_of_models_to_train": None},
-    "hyperparameter_optimization": {"number_of_trials": 20},
-    "training_strategy": {"parallelism": 4, "fit_on": "all"},
+    "hyperparameter_optimization": {"optimization_method": "optuna", "number_of_trials": 20, "timeout": None, "early_stopping": True},
+    "training_strategy": {"parallelism": 4, "fit_on": "all", "time_budget": None},
     "evaluation_metrics": {"primary_metric": None},
     "explainability": {"enable_shap": True, "rows": 200},
 }

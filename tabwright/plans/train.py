@@ -16,6 +16,7 @@ from tabwright.operators.board import board_rows
 from tabwright.operators.encode import target_indexer, target_labels, target_names
 from tabwright.operators.metrics import check_metric, evaluate, lower_is_better
 from tabwright.operators.split import holdout_split, kfold, stratified_kfold, stratified_split
+from tabwright.plans.search import Trial
 from tabwright.plans.tune import FOLDS, SEED, TRIALS, fold_frames, tune
 from tabwright.session import materialise
 from tabwright.sources.load import check_rows
@@ -35,6 +36,7 @@ class Trained:
     training_time: float
     optimisation_score: float | None = None
     error: str | None = None
+    trials: list[Trial] = field(default_factory=list)
 
 
 @dataclass
@@ -105,11 +107,17 @@ def train_all(
     seed: int = SEED,
     parallelism: int = 4,
     on_model: Callable[[int, str], None] | None = None,
+    method: str = "tpe",
+    prune: bool = True,
+    timeout: float | None = None,
+    time_budget: float | None = None,
 ) -> Training:
     """Tune each model on the train part, refit it there with the best parameters, score it on the test part.
 
-    If tuning fails the model is fitted with its defaults and the error text is kept.
+    If tuning fails the model is fitted with its defaults and the error text is kept. ``timeout`` ends each model's
+    search, ``time_budget`` all searches together; models after that are fitted with their defaults.
     """
+    begun = time.monotonic()
     metric = check_metric(metric, task)
     check_rows(df, folds=folds)
     rows, labels = prepare_rows(df, target, task, key)
@@ -128,18 +136,22 @@ def train_all(
             if on_model:
                 on_model(i, name)
             start = time.time()
-            params, score, error = {}, None, None
-            if trials:
+            params, score, error, tried = {}, None, None, []
+            limits = [t for t in (timeout, None if time_budget is None else time_budget - (time.monotonic() - begun)) if t is not None]
+            limit = min(limits, default=None)
+            if trials and limit is not None and limit <= 0:
+                error = "the time was up before the search"
+            elif trials:
                 try:
-                    tuned = tune(name, task, frames, metric, classes, trials, seed, parallelism)
-                    params, score = tuned.params, tuned.score
+                    tuned = tune(name, task, frames, metric, classes, trials, seed, parallelism, method, prune, limit)
+                    params, score, tried = tuned.params, tuned.score, tuned.trials
                 except Exception as failure:  # the model may still train with its defaults
                     error = f"{type(failure).__name__}: {failure}"[:2000]
             fitted = build_model(name, task, params, facts).fit(vectors)
             metrics = evaluate(scored_columns(fitted.transform(test_vectors)), task, classes)
             stages = [prep, fitted] + ([target_names(labels)] if labels else [])
             training.results.append(
-                Trained(name, PipelineModel(stages), fitted, metrics, params, time.time() - start, score, error)
+                Trained(name, PipelineModel(stages), fitted, metrics, params, time.time() - start, score, error, tried)
             )
     finally:
         train.unpersist()

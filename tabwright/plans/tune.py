@@ -13,8 +13,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from tabwright.models.build import TrainFacts, build_model, scored_columns
-from tabwright.models.catalog import draw_params
+from tabwright.models.catalog import RANGES
 from tabwright.operators.metrics import evaluate, lower_is_better
+from tabwright.plans.search import COMPLETE, Sampler, Trial, search
 
 # Trials per model, folds, and the seed.
 TRIALS = 20
@@ -36,7 +37,7 @@ class Tuning:
     model: str
     params: dict[str, Any] = field(default_factory=dict)
     score: float | None = None
-    trials: list[tuple[dict[str, Any], float]] = field(default_factory=list)
+    trials: list[Trial] = field(default_factory=list)
 
 
 def fold_frames(
@@ -86,28 +87,33 @@ def tune(
     trials: int = TRIALS,
     seed: int = SEED,
     parallelism: int = 4,
+    method: str = "tpe",
+    prune: bool = True,
+    timeout: float | None = None,
 ) -> Tuning:
-    """Score seeded draws from the model's ranges and keep the best mean over the folds.
+    """Search the model's ranges and keep the complete trial with the best mean over the folds.
 
-    Fits of different trials and folds are submitted at once, up to ``parallelism``; each is an
-    ordinary Spark job.
+    ``parallelism`` trials are asked for at once and their fits submitted side by side; each is an ordinary Spark job.
+    A model without parameters has one trial. A trial that fails is recorded with its error; if none is complete the
+    search fails. ``method`` is ``tpe`` or ``random``, ``prune`` ends trials below the median after a fold, and past
+    ``timeout`` seconds no more folds are begun.
     """
-    draws = draw_params(name, trials, seed)
-    jobs = [(t, f) for t in range(len(draws)) for f in range(len(frames))]
+    ranges = RANGES[name]
+    sampler = Sampler(ranges, f"{seed}-{name}", lower_is_better(metric), method)
 
     @inheritable_thread_target(frames[0].train.sparkSession)
-    def run(job: tuple[int, int]) -> float:
-        return _fold_score(name, task, draws[job[0]], frames[job[1]], metric, classes)
+    def run(job: tuple[Trial, int]) -> float | Exception:
+        trial, fold = job
+        try:
+            return _fold_score(name, task, trial.params, frames[fold], metric, classes)
+        except Exception as failure:  # other trials go on
+            return failure
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        scores = list(pool.map(run, jobs))
-    means = []
-    for t in range(len(draws)):
-        own = [s for (trial, _), s in zip(jobs, scores) if trial == t]
-        means.append(sum(own) / len(own))
-    usable = [t for t, mean in enumerate(means) if not math.isnan(mean)]
+        found = search(sampler, lambda jobs: list(pool.map(run, jobs)), trials if ranges else 1, len(frames), parallelism, prune, timeout)
+    usable = [t for t in found if t.state == COMPLETE and not math.isnan(t.mean)]
     if not usable:
-        raise ValueError(f"no trial of {name} has a {metric} score")
-    pick = min if lower_is_better(metric) else max
-    best = pick(usable, key=lambda t: means[t])
-    return Tuning(name, draws[best], means[best], list(zip(draws, means)))
+        why = next((t.error for t in found if t.error), "the time was up" if timeout is not None else f"there is no {metric}")
+        raise ValueError(f"no trial of {name} was scored: {why}")
+    best = sampler.ranked(usable)[0]
+    return Tuning(name, best.params, best.mean, found)
