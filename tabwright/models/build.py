@@ -20,6 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from tabwright.models.boosting import BoostedTrees
 from tabwright.models.catalog import check_model
 from tabwright.models.kernel import KernelMap
 from tabwright.models.knn import KNNClassifier
@@ -96,26 +97,48 @@ def _forest(task: str, params: Mapping[str, Any]) -> Estimator:
 
 
 def _boosted(name: str, task: str, params: Mapping[str, Any], facts: TrainFacts) -> Estimator:
-    """Gradient boosted trees; the two boosting libraries become presets of their depth and rate."""
-    if name.startswith("XGB"):
-        depth, rate = params.get("max_depth", 6), params.get("learning_rate", 0.3)
-    elif name.startswith("LGBM"):
-        depth, rate = params.get("max_depth", DEEPEST), params.get("learning_rate", 0.1)
-        depth = min(depth, math.ceil(math.log2(params.get("num_leaves", 31))))
-    else:
-        depth, rate = params.get("max_depth", 3), params.get("learning_rate", 0.1)
-    options = {
-        "maxIter": params.get("n_estimators", 100),
-        "maxDepth": depth,
-        "stepSize": rate,
-        "subsamplingRate": params.get("subsample", 1.0),
-        "featureSubsetStrategy": str(params["colsample_bytree"]) if params.get("colsample_bytree", 1.0) < 1.0 else "all",
-        "seed": SEED,
-    }
+    """Boosted trees: by depth with regularised Newton steps, by leaves, or plain gradient boosting."""
+    rounds, subsample = params.get("n_estimators", 100), params.get("subsample", 1.0)
     if task == "regression":
-        return GBTRegressor(**options)
-    trees = GBTClassifier(**options)
-    return trees if facts.classes <= 2 else Pipeline(stages=_one_vs_rest(trees, "features"))
+        loss = {"objective": "squared"}
+    else:
+        loss = {"objective": "logistic" if facts.classes <= 2 else "softmax", "classes": max(facts.classes, 2)}
+    if name.startswith("XGB"):
+        return BoostedTrees(
+            rounds=rounds,
+            subsample=subsample,
+            rate=params.get("learning_rate", 0.3),
+            maxDepth=params.get("max_depth", 6),
+            regLambda=params.get("reg_lambda", 1.0),
+            minGain=params.get("gamma", 0.0),
+            minWeight=params.get("min_child_weight", 1.0),
+            columnShare=params.get("colsample_bytree", 1.0),
+            seed=SEED,
+            **loss,
+        )
+    if name.startswith("LGBM"):
+        return BoostedTrees(
+            rounds=rounds,
+            subsample=subsample,
+            byGradient=params.get("data_sample_strategy", "bagging") == "goss",
+            rate=params.get("learning_rate", 0.1),
+            maxDepth=max(params.get("max_depth", 0), 0),
+            maxLeaves=params.get("num_leaves", 31),
+            regLambda=params.get("reg_lambda", 0.0),
+            minGain=params.get("min_split_gain", 0.0),
+            minWeight=params.get("min_child_weight", 1e-3),
+            minRows=params.get("min_child_samples", 20),
+            columnShare=params.get("colsample_bytree", 1.0),
+            seed=SEED,
+            **loss,
+        )
+    depth, rate = params.get("max_depth", 3), params.get("learning_rate", 0.1)
+    if loss["objective"] == "softmax":
+        return BoostedTrees(
+            rounds=rounds, subsample=subsample, rate=rate, maxDepth=depth, regLambda=0.0, minWeight=0.0, newton=False, seed=SEED, **loss
+        )
+    options = {"maxIter": rounds, "maxDepth": depth, "stepSize": rate, "subsamplingRate": subsample, "seed": SEED}
+    return GBTRegressor(**options) if task == "regression" else GBTClassifier(**options)
 
 
 def _one_vs_rest(classifier: Estimator, features: str) -> list[Estimator]:

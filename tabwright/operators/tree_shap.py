@@ -18,6 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
+from tabwright.models.boosting import BoostedTreesModel
 from tabwright.session import scratch_path
 
 TREE_MODELS = (
@@ -25,6 +26,7 @@ TREE_MODELS = (
     RandomForestRegressionModel,
     GBTClassificationModel,
     GBTRegressionModel,
+    BoostedTreesModel,
 )
 ROW_CHUNK = 512
 
@@ -46,6 +48,8 @@ def read_nodes(model: Model, spark) -> dict[int, dict[int, dict]]:
 
 def leaf_tables(model: Model, spark) -> tuple[list[Leaves], int, np.ndarray]:
     """Leaf tables by path length, number of outputs, and the expected output over the training rows."""
+    if isinstance(model, BoostedTreesModel):
+        return boosted_tables(model)[:3]
     trees = read_nodes(model, spark)
     classifies = isinstance(model, RandomForestClassificationModel)
     if classifies or isinstance(model, RandomForestRegressionModel):
@@ -100,16 +104,47 @@ def leaf_tables(model: Model, spark) -> tuple[list[Leaves], int, np.ndarray]:
     return tables, outputs, expected
 
 
-def shapley_rows(x: np.ndarray, tables: list[Leaves], outputs: int) -> np.ndarray:
+def boosted_tables(model: BoostedTreesModel) -> tuple[list[Leaves], int, np.ndarray, list[np.ndarray]]:
+    """As ``leaf_tables``, for margins, and per table whether a missing value of each path feature reaches the leaf."""
+    outputs, expected = len(model.start), np.array(model.start, float)
+    found: dict[int, list[tuple]] = {}
+    for trees in model.forest:
+        for k, tree in enumerate(trees):
+            stack = [(0, {})]
+            while stack:
+                node, path = stack.pop()
+                if tree["left"][node] < 0:
+                    value = np.zeros(outputs)
+                    value[k] = tree["value"][node]
+                    found.setdefault(len(path), []).append((path, value))
+                    expected += value * np.prod([p[2] for p in path.values()])
+                    continue
+                feature, cut, to_left = int(tree["feature"][node]), tree["cut"][node], tree["missing_left"][node]
+                for child, below in ((tree["left"][node], True), (tree["right"][node], False)):
+                    low, high, chance, missing = path.get(feature, (-np.inf, np.inf, 1.0, True))
+                    low, high = (low, min(high, cut)) if below else (max(low, cut), high)
+                    share = tree["rows"][child] / tree["rows"][node]
+                    stack.append((child, {**path, feature: (low, high, chance * share, missing and to_left == below)}))
+    tables, open_to_missing = [], []
+    for size, leaves in sorted(found.items()):
+        if size:
+            parts = [np.array([[p[i] for p in path.values()] for path, _ in leaves]) for i in range(4)]
+            tables.append((np.array([list(path) for path, _ in leaves]), *parts[:3], np.array([value for _, value in leaves])))
+            open_to_missing.append(parts[3])
+    return tables, outputs, expected, open_to_missing
+
+
+def shapley_rows(x: np.ndarray, tables: list[Leaves], outputs: int, open_to_missing: list[np.ndarray] | None = None) -> np.ndarray:
     """Shapley values as rows x features x outputs."""
     phi = np.zeros((x.shape[1], len(x), outputs))
-    for table in tables:
+    for n, table in enumerate(tables):
         size = table[0].shape[1]
+        missing = open_to_missing[n] if open_to_missing else np.zeros(table[0].shape, bool)
         points, weights = np.polynomial.legendre.leggauss((size + 1) // 2)
         points, weights = (points + 1) / 2, weights / 2
-        for feature, low, high, chance, value in zip(*table):
+        for feature, low, high, chance, value, passes in zip(*table, missing):
             at = x[:, feature]
-            met = ((at > low) & (at <= high)).astype(float)
+            met = np.where(np.isnan(at), passes, (at > low) & (at <= high)).astype(float)
             terms = chance[None, :, None] * (1 - points) + met[:, :, None] * points
             whole = terms.prod(axis=1)
             part = (met - chance) * ((whole * weights)[:, None, :] / terms).sum(axis=2)
@@ -119,10 +154,13 @@ def shapley_rows(x: np.ndarray, tables: list[Leaves], outputs: int) -> np.ndarra
 
 
 def tree_shap(df: DataFrame, model: Model, features: str = "features", output: str = "shap") -> DataFrame:
-    """Add ``output``: an array per feature of arrays per model output."""
+    """Add ``output``: an array per feature of arrays per model output. Boosted margins are explained, not chances."""
     spark = df.sparkSession
-    tables, outputs, _ = leaf_tables(model, spark)
-    shared = spark.sparkContext.broadcast(tables)
+    if isinstance(model, BoostedTreesModel):
+        tables, outputs, _, missing = boosted_tables(model)
+    else:
+        (tables, outputs, _), missing = leaf_tables(model, spark), None
+    shared = spark.sparkContext.broadcast((tables, missing))
 
     @F.pandas_udf("array<array<double>>")
     def explain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -130,7 +168,7 @@ def tree_shap(df: DataFrame, model: Model, features: str = "features", output: s
             rows = []
             for start in range(0, len(batch), ROW_CHUNK):
                 x = np.stack(batch.iloc[start : start + ROW_CHUNK].to_numpy())
-                rows += [[list(f) for f in r] for r in shapley_rows(x, shared.value, outputs)]
+                rows += [[list(f) for f in r] for r in shapley_rows(x, shared.value[0], outputs, shared.value[1])]
             yield pd.Series(rows)
 
     return df.withColumn(output, explain(vector_to_array(F.col(features))))
