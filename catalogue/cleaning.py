@@ -18,6 +18,7 @@ from catalogue.registry import (
     table,
 )
 from tabwright.operators import encode, features, prep, select
+from tabwright.operators.information import neighbour_information
 from tabwright.operators.outliers import remove_outliers
 from tabwright.session import scratch_path
 from tabwright.sources.load import NA_TOKENS, load
@@ -52,6 +53,19 @@ def load_csv(spark, sf_dir):
     return load(spark, path, "csv")
 
 
+@query(
+    "load_csv_quoted",
+    "SELECT doc_id, text || chr(10) || '\"' || lang || '\",' || chr(10) || 'end' AS body, lang, n_chars FROM documents",
+)
+def load_csv_quoted(spark, sf_dir):
+    """Write whole texts with line breaks, quotes and commas in them as CSV, and load them back."""
+    body = F.concat("text", F.lit('\n"'), "lang", F.lit('",\nend'))
+    path = scratch_path(spark, "documents-csv")
+    rows = table(spark, sf_dir, "documents").select("doc_id", body.alias("body"), "lang", "n_chars")
+    rows.write.option("header", "true").option("escape", '"').option("quoteAll", "true").csv(path)
+    return load(spark, path, "csv")
+
+
 # Outliers
 
 
@@ -242,6 +256,88 @@ def select_mutual_information_regression(spark, sf_dir):
     return found.withColumn("mi", F.round("mi", 6))
 
 
+# Information by neighbours against all pairs of rows
+
+_NEAR_COLUMNS = {
+    "p_size": "CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_size END",
+    "p_retailprice": "p_retailprice",
+    "p_partkey": "CASE WHEN p_size < 8 THEN NULL ELSE p_partkey END",
+}
+_NEAR_ROWS = f"SELECT p_partkey AS id, p_brand AS brand, p_retailprice AS price, {', '.join(f'{e} AS {c}' for c, e in _NEAR_COLUMNS.items())} FROM part"
+_PSI = "psi AS (SELECT CAST(i AS BIGINT) AS n, coalesce(sum(1.0 / (i - 1)) FILTER (WHERE i > 1) OVER (ORDER BY i), 0) - 0.5772156649015329 AS v FROM range(1, 1000001) t(i))"
+
+
+def _long(columns: list[str], scaled: bool) -> str:
+    value = "{c} / (SELECT coalesce(nullif(stddev_pop({c}), 0), 1) FROM rows)" if scaled else "CAST({c} AS DOUBLE)"
+    return " UNION ALL ".join(f"SELECT '{c}' AS feature, id, goal, {value.format(c=c)} AS x FROM rows WHERE {c} IS NOT NULL" for c in columns)
+
+
+def _classes_sql(name: str, source: str) -> str:
+    """CTEs ending in ``name``(feature, mi) of the long table ``source``(feature, id, goal, x)."""
+    return (
+        f"{name}_d AS MATERIALIZED (SELECT a.feature, a.id, a.goal, a.x, list_max(min(abs(b.x - a.x), 3)) AS r FROM {source} a "
+        f"JOIN {source} b ON a.feature = b.feature AND a.goal = b.goal AND a.id <> b.id GROUP BY ALL), "
+        f"{name}_c AS (SELECT a.feature, a.id, count(*) FILTER (a.goal = b.goal) AS near, count(*) AS within FROM {name}_d a "
+        f"JOIN {name}_d b ON a.feature = b.feature AND a.id <> b.id AND abs(b.x - a.x) <= a.r GROUP BY ALL), "
+        f"{name}_s AS (SELECT feature, id, count(*) OVER (PARTITION BY feature) AS total, count(*) OVER (PARTITION BY feature, goal) AS own FROM {name}_d), "
+        f"{name} AS (SELECT feature, greatest(avg(p.v + q.v - s.v - t.v), 0) AS mi FROM {name}_c JOIN {name}_s USING (feature, id) "
+        "JOIN psi p ON p.n = total JOIN psi q ON q.n = near JOIN psi s ON s.n = own JOIN psi t ON t.n = within GROUP BY feature)"
+    )
+
+
+def _share(columns: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) / count(*) AS share FROM rows" for c in columns)
+
+
+_NEAR_CLASS_SQL = (
+    f"WITH {_PSI}, rows AS MATERIALIZED (SELECT *, brand AS goal FROM ({_NEAR_ROWS})), long AS MATERIALIZED ({_long(list(_NEAR_COLUMNS), False)}), "
+    f"{_classes_sql('near', 'long')}, shares AS ({_share(list(_NEAR_COLUMNS))}), "
+    f"gaps AS ({' UNION ALL '.join(f'SELECT {chr(39)}{c}{chr(39)} AS feature, {c} IS NULL AS gap, goal, count(*) AS n FROM rows GROUP BY ALL' for c in _NEAR_COLUMNS)}), "
+    "holes AS (SELECT feature, sum(n / t * ln(n * t / (g * y))) AS mi FROM (SELECT *, sum(n) OVER (PARTITION BY feature) AS t, "
+    "sum(n) OVER (PARTITION BY feature, gap) AS g, sum(n) OVER (PARTITION BY feature, goal) AS y FROM gaps) GROUP BY feature) "
+    "SELECT feature, round(CAST(near.mi * share + holes.mi AS DOUBLE), 6) AS mi FROM near JOIN shares USING (feature) JOIN holes USING (feature)"
+)
+
+
+def _nearby(spark, sf_dir):
+    return table(spark, sf_dir, "part").selectExpr("p_brand", "p_retailprice AS price", *[f"{e} AS {c}" for c, e in _NEAR_COLUMNS.items()])
+
+
+@query("select_neighbour_information", _NEAR_CLASS_SQL)
+def select_neighbour_information(spark, sf_dir):
+    """Information between numbers, some with gaps and many equal, and the brand."""
+    found = neighbour_information(_nearby(spark, sf_dir), "p_brand", list(_NEAR_COLUMNS), "classification")
+    return found.withColumn("mi", F.round("mi", 6))
+
+
+_PLANE = ["p_size", "p_partkey"]
+_HOLED = [c for c in _PLANE if "NULL" in _NEAR_COLUMNS[c]]
+_NEAR_VALUE_SQL = (
+    f"WITH {_PSI}, rows AS MATERIALIZED (SELECT *, price / stddev_pop(price) OVER () AS goal FROM ({_NEAR_ROWS})), "
+    f"long AS MATERIALIZED ({_long(_PLANE, True)}), "
+    "d AS MATERIALIZED (SELECT a.feature, a.id, a.goal, a.x, min(greatest(abs(b.x - a.x), abs(b.goal - a.goal)), 3) AS r FROM long a "
+    "JOIN long b ON a.feature = b.feature AND a.id <> b.id GROUP BY ALL), "
+    "e AS (SELECT *, list_max(r) AS far, count(*) OVER (PARTITION BY feature) AS total FROM d), "
+    "n AS (SELECT a.feature, a.id, a.total, CASE WHEN any_value(a.far) > 0 THEN any_value(len(a.r)) "
+    "ELSE count(*) FILTER (b.id <> a.id AND b.x = a.x AND b.goal = a.goal) END AS near, "
+    "CASE WHEN any_value(a.far) > 0 THEN count(*) FILTER (abs(b.x - a.x) < a.far) ELSE count(*) FILTER (b.x = a.x) - 1 END AS nx, "
+    "CASE WHEN any_value(a.far) > 0 THEN count(*) FILTER (abs(b.goal - a.goal) < a.far) ELSE count(*) FILTER (b.goal = a.goal) - 1 END AS ny "
+    "FROM e a JOIN e b ON a.feature = b.feature GROUP BY a.feature, a.id, a.total), "
+    "near AS (SELECT feature, greatest(avg(p.v + q.v - s.v - t.v), 0) AS mi FROM n JOIN psi p ON p.n = total JOIN psi q ON q.n = near "
+    "JOIN psi s ON s.n = nx JOIN psi t ON t.n = ny GROUP BY feature), "
+    f"marked AS MATERIALIZED ({' UNION ALL '.join(f'SELECT {chr(39)}{c}{chr(39)} AS feature, id, {c} IS NULL AS goal, goal AS x FROM rows' for c in _HOLED)}), "
+    f"{_classes_sql('holes', 'marked')}, shares AS ({_share(_PLANE)}) "
+    "SELECT feature, round(CAST(near.mi * share + coalesce(holes.mi, 0) AS DOUBLE), 6) AS mi FROM near JOIN shares USING (feature) LEFT JOIN holes USING (feature)"
+)
+
+
+@query("select_neighbour_information_regression", _NEAR_VALUE_SQL)
+def select_neighbour_information_regression(spark, sf_dir):
+    """Information between numbers and the price, both scaled to unit spread."""
+    found = neighbour_information(_nearby(spark, sf_dir), "price", _PLANE, "regression")
+    return found.withColumn("mi", F.round("mi", 6))
+
+
 @query("select_elimination")
 def select_elimination(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_type", "p_retailprice")

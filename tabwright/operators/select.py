@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tabwright.functions.columns import as_double, ref
 from tabwright.functions.quantiles import exact_medians, exact_quantiles
 from tabwright.operators.encode import label_encode, target_indexer, target_labels, text_columns
+from tabwright.operators.information import neighbour_information
 from tabwright.session import materialise
 
 # Default number of features kept, and the forest of the elimination.
@@ -112,15 +113,19 @@ def clamp_k(k: int | None, features: int) -> int:
 def select_features(
     df: DataFrame, target: str, method: str = "variance_threshold", k: int | None = None, task: str = "classification"
 ) -> list[str]:
-    """Names of the chosen features in table order; fewer than two features are all kept."""
+    """Names of the chosen features in table order; fewer than two features are all kept.
+
+    ``mutual_information`` measures by nearest neighbours, ``binned_information`` by quantile bins, which is cheaper.
+    """
     columns = [c for c in df.columns if c != target]
     if len(columns) < 2:
         return columns
     k = clamp_k(k, len(columns))
     if method == "variance_threshold":
         return varying_columns(df, columns)
-    if method == "mutual_information":
-        best = mutual_information(df, target, columns, task).orderBy(F.desc("mi"), "feature").limit(k)
+    if method in ("mutual_information", "binned_information"):
+        measure = neighbour_information if method == "mutual_information" else mutual_information
+        best = measure(df, target, columns, task).orderBy(F.desc("mi"), "feature").limit(k)
         chosen = {r["feature"] for r in best.collect()}
         return [c for c in columns if c in chosen]
     if method == "recursive_feature_elimination":

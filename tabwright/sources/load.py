@@ -54,10 +54,33 @@ def load(
     return fold_nan((reader.schema(schema) if schema else reader).load(path))
 
 
+def open_quotes(spark: SparkSession, path: str, quote: str = '"') -> bool:
+    """Whether some line of the files ends inside quotes: the value goes on in the next line.
+
+    One scan without a shuffle. Doubled quotes inside a value count twice, so an odd number means an open one.
+    """
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit(quote), F.lit("")))
+    return bool(lines.where(quotes % 2 == 1).limit(1).count())
+
+
 def load_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options: str) -> DataFrame:
+    """CSV with a header; values in quotes may hold line breaks, rows with more fields than the header are an error.
+
+    Files with line breaks inside quotes can't be cut into parts: each is then read by one task, as nothing shows
+    whether a part begins inside quotes. Files without are cut as usual. Rows with fewer fields end in missing values.
+    """
     settings = {"header": "true", "inferSchema": "false", "escape": '"', **options}
-    raw = spark.read.options(**settings).csv(path)
-    texts = raw.select(*[F.when(~ref(c).isin(*NA_TOKENS), ref(c)).alias(c) for c in raw.columns])
+    if "multiLine" not in settings and open_quotes(spark, path, settings.get("quote", '"')):
+        settings["multiLine"] = "true"
+    names = spark.read.options(**settings).csv(path).columns
+    surplus = next(n for n in (f"_surplus{i}" for i in range(len(names) + 1)) if n not in names)
+    # The header gives the names; the place after the last one catches what has none.
+    wide = T.StructType([T.StructField(n, T.StringType()) for n in [*names, surplus]])
+    raw = spark.read.options(**settings).schema(wide).csv(path)
+    message = F.concat(F.lit(f"a row of {path} has more than {len(names)} fields; it begins with "), F.coalesce(ref(names[0]), F.lit("")))
+    fits = F.when(ref(surplus).isNotNull(), F.raise_error(message).cast("string"))
+    texts = raw.select(*[fits.otherwise(F.when(~ref(c).isin(*NA_TOKENS), ref(c))).alias(c) for c in names])
     if schema is not None:
         fields = schema.fields if isinstance(schema, T.StructType) else T._parse_datatype_string(schema).fields
         kinds = {f.name: f.dataType.simpleString() for f in fields}

@@ -190,6 +190,23 @@ def test_row_checks(spark):
         loading.check_types(spark.range(1).select(F.array("id").alias("a")))
 
 
+def test_quoted_line_breaks_and_surplus_fields(spark, tmp_path):
+    folder = tmp_path / "quoted"
+    folder.mkdir()
+    (folder / "a.csv").write_text('a,b\n1,"x\ny"\n2,"say ""hi"",\nok"\n3,plain\n4\n')
+    assert loading.open_quotes(spark, str(folder))
+    rows = loading.load(spark, str(folder), "csv").collect()
+    assert sorted(map(tuple, rows)) == [(1, "x\ny"), (2, 'say "hi",\nok'), (3, "plain"), (4, None)]
+    (tmp_path / "one.csv").write_text('a,b\n1,"x ""y"" z"\n2,u\n')
+    assert not loading.open_quotes(spark, f"{tmp_path}/one.csv")  # still cut into parts
+    assert [tuple(r) for r in loading.load(spark, f"{tmp_path}/one.csv").collect()] == [(1, 'x "y" z'), (2, "u")]
+    (tmp_path / "wide.csv").write_text("a,b\n1,2\n3,4,5\n")
+    with pytest.raises(Exception, match="has more than 2 fields; it begins with 3"):
+        loading.load(spark, f"{tmp_path}/wide.csv")
+    with pytest.raises(Exception, match="has more than 2 fields"):
+        loading.load(spark, f"{tmp_path}/wide.csv", schema="a int, b int").collect()
+
+
 def test_preview_and_shape(mixed):
     rows = loading.preview(mixed, order=["id"]).collect()
     assert len(rows) == 15 and rows[0]["f1"] == "" and rows[1]["id"] == "1"
