@@ -15,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.session import scratch_path
+from tabwright.session import remove_path, scratch_path
 
 BLOCK_BYTES = 16 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -103,6 +103,13 @@ def kept(kind: str, key, make: Callable[[], object]):
     return store[kind][1]
 
 
+def unused_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores in front until no column is called that, in any case of letters."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
+
+
 def written(df: DataFrame) -> DataFrame:
     """A frame's rows from a table written to the shared scratch folder: computed once, lineage cut."""
     path = scratch_path(df.sparkSession, "rows")
@@ -110,6 +117,34 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared scratch folder that are deleted once nothing reads them any more.
+
+    Only delete a table when all that was derived from it is written: lost executors read it again until then.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, "rows")
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *frames: DataFrame | None) -> None:
+        """Delete the tables of frames that ``write`` gave; others are left alone."""
+        for frame in frames:
+            held = self.paths.pop(id(frame), None)
+            if held is not None:
+                remove_path(self.spark, held[1])
+
+    def clear(self) -> None:
+        self.drop(*[frame for frame, _ in self.paths.values()])
+
+
 class Blocks:
     """The packed documents and how many shards suit their size.
 
@@ -120,11 +155,12 @@ class Blocks:
         spark = docs.sparkSession
         self.name = f"blocks_{uuid.uuid4().hex}"
         extra = F.to_json(F.struct(*[F.col(f"`{c}`") for c in carry])) if carry else F.lit("")
+        self.path = scratch_path(spark, "blocks")
         packed = docs.select(F.col("doc_id").cast("long"), "text", extra.alias("extra")).mapInArrow(_packer(block_bytes), BLOCK_SCHEMA)
         files = max(128, int(spark.conf.get("spark.sql.shuffle.partitions")))
         (
             packed.write.bucketBy(files, "block")
-            .option("path", scratch_path(spark, "blocks"))
+            .option("path", self.path)
             .option("compression", "none")
             .format("parquet")
             .saveAsTable(self.name)
@@ -137,3 +173,9 @@ class Blocks:
     def answer(self, replies: DataFrame, function, schema: str) -> DataFrame:
         """Each block with the replies about it; both sides are grouped by the block's number."""
         return self.table.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(function, schema)
+
+    def drop(self) -> None:
+        """Delete the blocks, once all results made from them are written."""
+        spark = self.table.sparkSession
+        spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove_path(spark, self.path)

@@ -14,8 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.llm.blocks import written
-
+from tabwright.llm.blocks import unused_name, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -25,6 +24,8 @@ UNIT = 1 << 24
 SOURCE = ["no_source", "source_key"]
 CELL = [*SOURCE, "octave", "top"]
 GROUP = [*CELL, "prefix"]
+LOOKUP_ROWS = 200_000  # rows of a lookup table that is broadcast; its rows are a few numbers each
+SALTS = 64
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -64,6 +65,19 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], cap: int, seed: s
     return filled.withColumn("target", target).select(*SOURCE, "source_size", "target", rate.alias("rate"), offset.cast("long").alias("offset"))
 
 
+def looked_up(rows: DataFrame, facts: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with the row of ``facts`` of their key, wherever the key is hot.
+
+    Up to ``LOOKUP_ROWS`` facts are broadcast. More of them are repeated for each of ``SALTS`` salts, by which the rows are
+    dealt as well.
+    """
+    if facts.count() <= LOOKUP_ROWS:
+        return rows.join(F.broadcast(facts), key)
+    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("hash"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("salt", salt).join(salted, [*key, "salt"]).drop("salt")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken.
 
@@ -82,7 +96,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     digits = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("cell_rows") / share))).cast("int")
     before = F.sum("cell_rows").over(Window.partitionBy(*SOURCE).orderBy("octave", "top")) - F.col("cell_rows")
     cells = cells.select(*CELL, digits.alias("digits"), before.alias("before_cell"))
-    prefixed = sized.join(cells, CELL).withColumn("prefix", F.expr("substring(hash, 1, digits)"))
+    prefixed = looked_up(sized, written(cells), CELL).withColumn("prefix", F.expr("substring(hash, 1, digits)"))
     groups = prefixed.groupBy(*GROUP).agg(F.count("*").alias("group_rows"))
     before = F.sum("group_rows").over(Window.partitionBy(*CELL).orderBy("prefix")) - F.col("group_rows")
     groups = groups.select(*GROUP, before.alias("before_group"))
@@ -92,7 +106,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     passed = lambda at: F.shiftright(at * F.col("rate") + F.col("offset"), 24)
     copies = passed(rank) - passed(rank - 1)
     return (
-        ranked.join(targets, SOURCE)
+        looked_up(ranked, targets, SOURCE)
         .withColumn("copies", copies)
         .select(
             "doc_id",
@@ -107,19 +121,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
 
 
 def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it. Equal ids of one source are told apart by number."""
-    key = ["mix_id", "mix_source"]
+    """The rows of ``docs``, each as often as the mix takes it. Equal ids of one source are told apart by number.
+
+    Rows of null id or text are mixed like any other; an empty table gives no row. All columns are kept as they are.
+    """
+    mix_id, mix_source, mix_copies, mix_count, mix_copy = (unused_name(n, docs.columns) for n in ("mix_id", "mix_source", "mix_copies", "mix_count", "mix_copy"))
+    key = [mix_id, mix_source]
     keyed = {
-        "mix_id": F.struct(F.col("doc_id").cast("long").alias("doc_id")),
-        "mix_source": F.struct(F.col("source").cast("string").alias("source")),
+        mix_id: F.struct(F.col("doc_id").cast("long").alias("doc_id")),
+        mix_source: F.struct(F.col("source").cast("string").alias("source")),
     }
     taken = mix(docs, weights, cap, seed).withColumns(keyed).groupBy(*key)
-    taken = taken.agg(F.array_sort(F.collect_list(F.struct("size", "copies")))["copies"].alias("mix_copies"))
+    taken = taken.agg(F.array_sort(F.collect_list(F.struct("size", "copies")))["copies"].alias(mix_copies))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    joined = docs.withColumns(keyed).join(taken.where(F.exists("mix_copies", lambda c: c > 0)), key)
+    joined = docs.withColumns(keyed).join(taken.where(F.exists(mix_copies, lambda c: c > 0)), key)
     number = F.row_number().over(Window.partitionBy(*key).orderBy(size))
-    counted = joined.withColumn("mix_count", F.element_at("mix_copies", number)).where("mix_count > 0")
-    return counted.withColumn("mix_copy", F.explode(F.expr("sequence(1L, mix_count)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    counted = joined.withColumn(mix_count, F.element_at(mix_copies, number)).where(F.col(mix_count) > 0)
+    copied = counted.withColumn(mix_copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(mix_count))))
+    return copied.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = f"""

@@ -68,3 +68,42 @@ def test_empty_and_wordless(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
     out = mix(spark.createDataFrame([(1, " ", "a", 1, "x"), (2, None, None, 1, "x")], SCHEMA)).collect()
     assert sorted((r.doc_id, r.size, r.target, r.taken) for r in out) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
+
+
+def test_columns_of_any_name_are_kept(spark):
+    data = [(n, "a b c " * (n % 7), "s", f"own {n}", "mine", n) for n in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, mix_id string, MIX_count string, mix_copy int")
+    out = draw(df).collect()
+    assert out and all((r.mix_id, r.MIX_count, r.mix_copy) == (f"own {r.doc_id}", "mine", r.doc_id) for r in out)
+
+
+def test_a_hot_source_is_spread(spark):
+    """One source of equal documents, without broadcasts by estimate: no partition holds more than a few shares."""
+    from pyspark.sql import functions as F
+
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        docs = spark.range(20_000).selectExpr("id AS doc_id", "'the same words' AS text", "'one' AS source")
+        held = [r["n"] for r in mix(docs).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(held) == 20_000 and len(held) == 16 and max(held) < 4 * 20_000 / 16
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_many_sources_by_salted_lookups(spark, monkeypatch):
+    from tabwright.llm import mixing
+
+    df = spark.createDataFrame(rows(), SCHEMA).repartition(5)
+    plain = sorted(map(repr, mix(df).collect()))
+    monkeypatch.setattr(mixing, "LOOKUP_ROWS", 2)
+    assert sorted(map(repr, mix(df).collect())) == plain
+
+
+def test_very_long_and_empty_texts(spark):
+    docs = spark.createDataFrame([(1, "word " * 300_000, "a"), (2, "", "a"), (3, None, "b"), (4, "w " * 10, "b")], "doc_id long, text string, source string")
+    out = {r.doc_id: r for r in mix(docs).collect()}
+    assert out[1].size == 300_000 and out[2].size == out[3].size == 0 and {r.doc_id for r in out.values()} == {1, 2, 3, 4}
