@@ -1,4 +1,4 @@
 """The queries by group."""
 
-from catalogue import cleaning, modelling, profiling, scoring  # noqa: F401
+from catalogue import cleaning, modelling, profiling, scoring, serving  # noqa: F401
 from catalogue.registry import ORACLES, QUERIES  # noqa: F401

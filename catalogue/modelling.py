@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalogue.registry import query, table
+from tabwright.models.boosting import BoostedTrees
 from tabwright.models.build import TrainFacts, build_model, scored_columns
 from tabwright.models.catalog import list_models
 from tabwright.operators import explain, prep
@@ -248,6 +249,22 @@ def train_models(spark, sf_dir):
     return training.board()
 
 
+@query("automl_explained")
+def automl_explained(spark, sf_dir):
+    """A whole run with boosted trees, whose importances come from Shapley values of the best model."""
+    outcome = run(
+        _graded_documents(spark, sf_dir),
+        {
+            "dataset_settings": {"target_column": "quality", "cross_validation_folds": 3},
+            "model_selection": {"list_of_models_to_train": ["XGBClassifier"]},
+            "hyperparameter_optimization": {"number_of_trials": 0},
+            "explainability": {"rows": None},
+        },
+        key=["doc_id"],
+    )
+    return outcome.importance
+
+
 @query("automl_run")
 def automl_run(spark, sf_dir):
     """Clean, build features, tune, rank and explain on the graded documents."""
@@ -274,6 +291,21 @@ _OLS = (
 )
 _BACKGROUND = 100
 
+# All cuts of both columns with missing values on either side; the leaf's weight is its rows and one.
+_BOOST_SQL = (
+    "WITH r AS (SELECT CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_custkey % 40 AS DOUBLE) END AS a, CAST(o_orderkey % 17 AS DOUBLE) AS b, "
+    "CAST(o_totalprice / 1000 + 100 * ((o_custkey % 40) > 22)::INT + 30 * (o_orderkey % 6 = 0)::INT AS DOUBLE) AS y FROM orders), "
+    "g AS (SELECT a, b, avg(y) OVER () - y AS g FROM r), "
+    "l AS (SELECT 'a' AS feature, a AS v, g FROM g UNION ALL SELECT 'b', b, g FROM g), "
+    "s AS (SELECT feature, v, sum(g) AS g, count(*) AS n FROM l GROUP BY ALL), "
+    "t AS (SELECT feature, sum(g) AS g, sum(n) AS n, coalesce(sum(g) FILTER (v IS NULL), 0) AS mg, coalesce(sum(n) FILTER (v IS NULL), 0) AS mn FROM s GROUP BY 1), "
+    "c AS (SELECT feature, v AS cut, sum(g) OVER w AS lg, sum(n) OVER w AS ln FROM s WHERE v IS NOT NULL WINDOW w AS (PARTITION BY feature ORDER BY v)), "
+    "d AS (SELECT feature, cut, m AS missing_left, lg + CASE WHEN m THEN mg ELSE 0 END AS lg, ln + CASE WHEN m THEN mn ELSE 0 END AS ln, g, n, mn "
+    "FROM c JOIN t USING (feature), (SELECT unnest([true, false]) AS m)), "
+    "e AS (SELECT feature, cut, missing_left, mn, ln, n, 0.5 * (lg * lg / (ln + 1) + (g - lg) * (g - lg) / (n - ln + 1) - g * g / (n + 1)) AS gain FROM d WHERE ln > 0 AND ln < n) "
+    "SELECT feature, cut, CASE WHEN mn > 0 THEN missing_left ELSE ln >= n - ln END AS missing_left, round(gain, 2) AS gain FROM e ORDER BY e.gain DESC LIMIT 1"
+)
+
 
 def _ols(spark, sf_dir):
     train = _part_vectors(spark, sf_dir, ["p_partkey", "p_size"])
@@ -322,6 +354,20 @@ def explain_tree_shap(spark, sf_dir):
     )
 
 
+@query("boost_split", _BOOST_SQL)
+def boost_split(spark, sf_dir):
+    """The first split of a boosted tree over the orders' prices and dates, against a search over all cuts."""
+    rows = table(spark, sf_dir, "orders").selectExpr(
+        "CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_custkey % 40 AS DOUBLE) END AS a",
+        "CAST(o_orderkey % 17 AS DOUBLE) AS b",
+        "CAST(o_totalprice / 1000 + 100 * ((o_custkey % 40) > 22)::INT + 30 * (o_orderkey % 6 = 0)::INT AS DOUBLE) AS label",
+    )
+    train = VectorAssembler(inputCols=["a", "b"], outputCol="features", handleInvalid="keep").transform(rows)
+    (tree,) = BoostedTrees(rounds=1, maxDepth=1, rate=1.0).fit(train).forest[0]
+    cut = (("a", "b")[tree["feature"][0]], float(tree["cut"][0]), bool(tree["missing_left"][0]), round(float(tree["gain"][0]), 2))
+    return spark.createDataFrame([cut], "feature string, cut double, missing_left boolean, gain double")
+
+
 @query("explain_forest")
 def explain_forest(spark, sf_dir):
     """Mean absolute Shapley values of a forest over all graded documents."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalogue.registry import query, table
 from tabwright.operators import board, metrics, split
-from tabwright.sources.store import Store, latest
+from tabwright.sources.store import Store, latest, merged_changes
 from tabwright.session import scratch_path
 
 # Splits
@@ -209,6 +209,21 @@ def best_model(spark, sf_dir):
 # Run log
 
 
+_CHANGED = ("click", "error", "purchase", "signup", "view")
+
+
+@query(
+    "run_states",
+    "WITH c AS (SELECT user_id, event_type AS field, value, event_id FROM events), "
+    "l AS (SELECT user_id, field, value FROM c QUALIFY row_number() OVER (PARTITION BY user_id, field ORDER BY event_id DESC) = 1) "
+    "SELECT user_id, " + ", ".join(f"max(value) FILTER (WHERE field = '{f}') AS {f}" for f in _CHANGED) + " FROM l GROUP BY user_id",
+)
+def run_states(spark, sf_dir):
+    """Single changes merged per field, with the users as runs and the kinds of event as fields."""
+    events = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("field"), F.col("value").cast("string").alias("value"), "event_id")
+    return merged_changes(events, ["user_id"], dict.fromkeys(_CHANGED, "double"), ["event_id"])
+
+
 @query(
     "run_latest",
     "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",

@@ -153,7 +153,7 @@ def _one_vs_rest(classifier: Estimator, features: str) -> list[Estimator]:
 
 
 def _kernel_machine(name: str, params: Mapping[str, Any], facts: TrainFacts) -> Estimator:
-    """A linear model on random kernel features. The support vector regressor's loss becomes Huber's."""
+    """A linear model on kernel features. The support vector regressor's loss becomes Huber's."""
     mapped = KernelMap(
         inputCol="features", outputCol="kernel_features", kernel=params.get("kernel", "rbf"), gamma=params.get("gamma", "scale")
     )

@@ -102,9 +102,8 @@ RANGES: dict[str, dict[str, Range]] = {
     "XGBRegressor": _XGB,
     "LGBMClassifier": _LGBM,
     "LGBMRegressor": _LGBM,
-    # The sigmoid kernel is not positive definite and has no random feature map, so it is not drawn.
-    "SVC": {"C": _log(1e-3, 100.0), "kernel": _one_of("rbf", "poly"), "gamma": _one_of("scale", "auto")},
-    "SVR": {"C": _log(1e-3, 100.0), "kernel": _one_of("rbf", "poly"), "epsilon": _real(0.01, 1.0)},
+    "SVC": {"C": _log(1e-3, 100.0), "kernel": _one_of("rbf", "poly", "sigmoid"), "gamma": _one_of("scale", "auto")},
+    "SVR": {"C": _log(1e-3, 100.0), "kernel": _one_of("rbf", "poly", "sigmoid"), "epsilon": _real(0.01, 1.0)},
     "KNeighborsClassifier": {"n_neighbors": _whole(1, 25), "weights": _one_of("uniform", "distance")},
     "Ridge": {"alpha": _log(1e-4, 100.0)},
     "Lasso": {"alpha": _log(1e-4, 100.0)},

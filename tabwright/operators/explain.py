@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml import Model, PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabwright.functions.small import local_copy, local_frame, task_count
@@ -19,6 +20,7 @@ EXPLAINED_ROWS = 200
 BACKGROUND_ROWS = 100
 TOP_K = 20
 RUN_TOP_K = 30
+SAMPLE_SEED = 42
 
 
 def mean_absolute(values: DataFrame, names: Sequence[str], column: str = "shap") -> DataFrame:
@@ -50,6 +52,12 @@ def top_features(importance: DataFrame, k: int = TOP_K) -> DataFrame:
     return importance.orderBy(F.desc("importance"), "feature").limit(k)
 
 
+def steady_rows(vectors: DataFrame, rows: int) -> DataFrame:
+    """That many rows, the same ones however the table is cut: the first in an order by hash of the features."""
+    values = vector_to_array(F.col("features"))
+    return vectors.orderBy(F.xxhash64(F.lit(SAMPLE_SEED), values), values).limit(rows)
+
+
 def feature_importance(
     vectors: DataFrame,
     model: Model,
@@ -65,13 +73,13 @@ def feature_importance(
     names = feature_names(vectors)
     chosen = vectors.select("features")
     if rows is not None:
-        chosen = local_copy(chosen.limit(rows), rows).repartition(task_count(vectors.sparkSession))
+        chosen = local_copy(steady_rows(chosen, rows), rows).repartition(task_count(vectors.sparkSession))
     try:
         if isinstance(model, TREE_MODELS):
             explained = tree_shap(chosen, model)
         else:
             keyed = materialise(chosen.withColumn("_row", F.monotonically_increasing_id()))
-            sample = local_copy(vectors.select("features").limit(background_rows), background_rows)
+            sample = local_copy(steady_rows(vectors.select("features"), background_rows), background_rows)
             explained = kernel_shap(keyed, model, sample, "_row")
         importance = local_copy(mean_absolute(explained, names))
     except ValueError:

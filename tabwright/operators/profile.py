@@ -21,7 +21,8 @@ from tabwright.functions.columns import (
 from tabwright.functions.counting import top_values, value_counts
 from tabwright.functions.ordering import ORDER, order_hash, rank_cuts
 from tabwright.functions.quantiles import exact_quantiles
-from tabwright.functions.small import broadcast_if_small, local_frame
+from tabwright.functions.small import local_frame
+from tabwright.session import materialise
 
 # Limits of the task rule, of the bounded sample and of the charts.
 CLASS_LIMIT = 20
@@ -30,7 +31,7 @@ SAMPLE_ROWS = 10_000
 SAMPLE_SEED = 42
 CHART_COLUMNS = 12
 
-DUPLICATE_HASHES = 2_000_000
+DUPLICATE_HASHES = 1_000_000
 QUARTILES = (0.25, 0.5, 0.75)
 CLASS_LEVELS_SHOWN = 10_000
 
@@ -102,7 +103,10 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     rows = df.select(*[ref(c) for c in columns]) if columns else df
     hashed = rows.withColumn("_hash", F.xxhash64(*[ref(c) for c in rows.columns]))
     repeated = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash")
-    suspects = hashed.join(broadcast_if_small(repeated, DUPLICATE_HASHES), "_hash", "left_semi")
+    repeated = materialise(repeated)
+    if repeated.count() <= DUPLICATE_HASHES:  # eight bytes each
+        repeated = F.broadcast(repeated)
+    suspects = hashed.join(repeated, "_hash", "left_semi")
     copies = suspects.groupBy(*[ref(c) for c in rows.columns]).agg(F.count(F.lit(1)).alias("_copies"))
     return copies.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"))
 
@@ -447,6 +451,8 @@ def profile(
     if task == "classification":
         classes = class_distribution(df, target)
         result["n_classes"] = classes.count()
+        # More classes than these are not listed; ``class_distribution`` gives them all.
+        result["class_distribution_cut"] = result["n_classes"] > CLASS_LEVELS_SHOWN
         result["class_distribution"] = {str(r["class"]): r["share"] for r in classes.take(CLASS_LEVELS_SHOWN)}
     return result
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass
+import json
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import partial
 
 from pyspark.sql import DataFrame, functions as F
@@ -22,7 +23,7 @@ from tabwright.plans.settings import merged
 from tabwright.plans.train import ROW_ID, Training, train_all
 from tabwright.session import materialise
 from tabwright.sources.load import check_rows, check_types
-from tabwright.sources.store import Store
+from tabwright.sources.store import MANY_FILES, Store
 
 
 # Fixed value: the default name of the search method means the Parzen estimator.
@@ -87,23 +88,34 @@ def run(
     store: Store | None = None,
     dataset_id: str = "",
     key: Sequence[str] | None = None,
+    resume: str | None = None,
 ) -> Outcome:
     """Train and rank models on one table.
 
     ``key`` names columns that identify a row and are not features; without it rows are numbered.
-    With a ``store`` the run's status, model, leaderboard, report and importances are saved.
+    With a ``store`` the run's status, model, leaderboard, report and importances are saved, and the prepared rows and
+    each trained model as soon as they stand. ``resume`` names a run of the store that ended before it was complete: it
+    goes on with its own settings, rows and models, and trains the models that are missing.
     """
     settings = merged(config)
-    run_id = store.start_run(dataset_id, settings) if store else None
+    if resume is not None:
+        run_id = resume
+        state = store.run(resume) if store else None
+        if state is None or state["status"] == "completed":
+            raise ValueError(f"there is no run {resume} to go on with")
+        settings, dataset_id = json.loads(state["config"]), state["dataset_id"]
+    else:
+        run_id = store.start_run(dataset_id, settings) if store else None
 
     def report(progress: float, message: str, **more) -> None:
         if store:
             store.update_run(run_id, status="running", progress=progress, message=message, **more)
 
     try:
-        outcome = _execute(df, settings, key, run_id, report)
+        outcome = _execute(df, settings, key, run_id, report, store)
         if store:
             _save(store, run_id, dataset_id, outcome)
+            store.compact(MANY_FILES)
         return outcome
     except Exception as failure:
         if store:
@@ -111,7 +123,7 @@ def run(
         raise
 
 
-def _execute(df: DataFrame, settings: dict, key: Sequence[str] | None, run_id: str | None, report) -> Outcome:
+def _execute(df: DataFrame, settings: dict, key: Sequence[str] | None, run_id: str | None, report, store: Store | None) -> Outcome:
     report(5.0, "Loading dataset")
     data = settings["dataset_settings"]
     target = data["target_column"] or df.columns[-1]
@@ -127,7 +139,7 @@ def _execute(df: DataFrame, settings: dict, key: Sequence[str] | None, run_id: s
     metric = check_metric(settings["evaluation_metrics"]["primary_metric"], task)
     report(15.0, "Profiling complete", problem_type=task)
 
-    prepared = materialise(prepare_features(df, target, task, settings, by))
+    prepared = _kept(store, run_id, lambda: prepare_features(df, target, task, settings, by))
     plain = prepared.drop(*by)
     report(30.0, "Feature processing complete")
 
@@ -151,6 +163,8 @@ def _execute(df: DataFrame, settings: dict, key: Sequence[str] | None, run_id: s
         prune=bool(tuning["early_stopping"]),
         timeout=tuning["timeout"],
         time_budget=settings["training_strategy"]["time_budget"],
+        done=store.trained(run_id, len(models)) if store else None,
+        on_trained=(lambda i, t: store.save_trained(run_id, i, t.record(), t.pipeline)) if store else None,
     )
     importance = None
     best = training.best()
@@ -160,6 +174,16 @@ def _execute(df: DataFrame, settings: dict, key: Sequence[str] | None, run_id: s
     return Outcome(run_id, task, target, models, training, importance)
 
 
+def _kept(store: Store | None, run_id: str | None, make: Callable[[], DataFrame]) -> DataFrame:
+    """The prepared rows, written: with the run, so that a later start finds the same ones, or as a checkpoint."""
+    if store is None:
+        return materialise(make())
+    path = store.prepared_path(run_id)
+    if not store.has(path):
+        make().write.mode("overwrite").parquet(path)
+    return store.spark.read.parquet(path)
+
+
 def _save(store: Store, run_id: str, dataset_id: str, outcome: Outcome) -> None:
     training, best = outcome.training, outcome.training.best()
     store.save_model(run_id, best.pipeline)
@@ -178,16 +202,7 @@ def _save(store: Store, run_id: str, dataset_id: str, outcome: Outcome) -> None:
             "best_model": best.model,
             "best_metrics": best.metrics,
             "leaderboard": [r.asDict() for r in store.board(run_id).collect()],
-            "trained": [
-                {
-                    "model": r.model,
-                    "params": r.params,
-                    "optimisation_score": r.optimisation_score,
-                    "error": r.error,
-                    "trials": [asdict(t) for t in r.trials],
-                }
-                for r in training.results
-            ],
+            "trained": [r.record() for r in training.results],
         },
     )
     store.update_run(
@@ -199,3 +214,4 @@ def _save(store: Store, run_id: str, dataset_id: str, outcome: Outcome) -> None:
         best_score=best.metrics.get(training.metric),
         metrics=best.metrics,
     )
+    store.forget_journal(run_id)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from pyspark.ml import PipelineModel
@@ -38,6 +38,16 @@ class Trained:
     error: str | None = None
     trials: list[Trial] = field(default_factory=list)
 
+    def record(self) -> dict:
+        """All but the fitted stages."""
+        plain = ("model", "metrics", "params", "training_time", "optimisation_score", "error")
+        return {**{n: getattr(self, n) for n in plain}, "trials": [asdict(t) for t in self.trials]}
+
+    @classmethod
+    def again(cls, record: dict, pipeline: PipelineModel) -> Trained:
+        trials = [Trial(**t) for t in record["trials"]]
+        return cls(pipeline=pipeline, fitted=pipeline.stages[1], **{**record, "trials": trials})
+
 
 @dataclass
 class Training:
@@ -111,11 +121,15 @@ def train_all(
     prune: bool = True,
     timeout: float | None = None,
     time_budget: float | None = None,
+    done: Mapping[int, tuple[dict, PipelineModel]] | None = None,
+    on_trained: Callable[[int, Trained], None] | None = None,
 ) -> Training:
     """Tune each model on the train part, refit it there with the best parameters, score it on the test part.
 
     If tuning fails the model is fitted with its defaults and the error text is kept. ``timeout`` ends each model's
-    search, ``time_budget`` all searches together; models after that are fitted with their defaults.
+    search, ``time_budget`` all searches together; models after that are fitted with their defaults. ``done`` holds
+    records and pipelines of models of an earlier, ended run by position: they are taken as they are. ``on_trained`` is
+    told of each other one.
     """
     begun = time.monotonic()
     metric = check_metric(metric, task)
@@ -133,6 +147,9 @@ def train_all(
     frames = fold_frames(train, fit_prep, task, folds) if trials else []
     try:
         for i, name in enumerate(models):
+            if i in (done or {}) and done[i][0]["model"] == name:
+                training.results.append(Trained.again(*done[i]))
+                continue
             if on_model:
                 on_model(i, name)
             start = time.time()
@@ -150,9 +167,12 @@ def train_all(
             fitted = build_model(name, task, params, facts).fit(vectors)
             metrics = evaluate(scored_columns(fitted.transform(test_vectors)), task, classes)
             stages = [prep, fitted] + ([target_names(labels)] if labels else [])
-            training.results.append(
+            trained = (
                 Trained(name, PipelineModel(stages), fitted, metrics, params, time.time() - start, score, error, tried)
             )
+            training.results.append(trained)
+            if on_trained:
+                on_trained(i, trained)
     finally:
         train.unpersist()
         test_vectors.unpersist()

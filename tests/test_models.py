@@ -89,8 +89,8 @@ def test_kernel_map_approximates_the_kernel(blobs):
         model = KernelMap(inputCol="features", outputCol="m", kernel=kernel, gamma="0.2", components=4096).fit(blobs)
         m = np.stack([r["m"].toArray() for r in model.transform(blobs).select("m").limit(40).collect()])
         assert np.abs(m @ m.T - exact).max() < 0.15 * max(1, np.abs(exact).max())
-    with pytest.raises(ValueError, match="no random feature map"):
-        KernelMap(inputCol="features", outputCol="m", kernel="sigmoid").fit(blobs)
+    with pytest.raises(ValueError, match="is not known"):
+        KernelMap(inputCol="features", outputCol="m", kernel="cubic").fit(blobs)
 
 
 def _brute(x, k):
@@ -222,6 +222,46 @@ def test_whole_run_is_saved_and_scores_new_rows(spark, tmp_path, encoding, fit_o
     assert {r["predicted"] for r in predicted} <= {"yes", "no"}
 
 
+def test_an_ended_run_goes_on_with_the_next_model(spark, tmp_path, monkeypatch):
+    from tabwright.plans import train
+
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(float(a), float(b), "yes" if a + b / 3 > 0 else "no") for a, b in rng.normal(size=(160, 2))], "a double, b double, y string")
+    config = {
+        "dataset_settings": {"cross_validation_folds": 2},
+        "model_selection": {"list_of_models_to_train": ["GaussianNB", "LogisticRegression"]},
+        "hyperparameter_optimization": {"number_of_trials": 2},
+        "explainability": {"enable_shap": False},
+    }
+    store, plain, fitted = Store(spark, str(tmp_path)), train.build_model, []
+
+    def lost(name, *rest):
+        if name == "LogisticRegression":
+            raise SystemExit("the driver is gone")
+        return plain(name, *rest)
+
+    monkeypatch.setattr(train, "build_model", lost)
+    with pytest.raises(SystemExit):
+        run(df, config, store)
+    run_id = store.current_run()["run_id"]
+    assert store.run(run_id)["status"] == "running" and list(store.trained(run_id, 2)) == [0]
+
+    def counted(name, *rest):
+        fitted.append(name)
+        return plain(name, *rest)
+
+    monkeypatch.setattr(train, "build_model", counted)
+    outcome = run(df, None, store, resume=run_id)
+    assert fitted == ["LogisticRegression"] and outcome.run_id == run_id
+    assert store.run(run_id)["status"] == "completed" and store.board(run_id).count() == 2
+    assert [t["model"] for t in store.report(run_id)["trained"]] == ["GaussianNB", "LogisticRegression"]
+    again = run(df, config, Store(spark, f"{tmp_path}/other"))
+    scores = lambda o: {r.model: (r.metrics, r.params) for r in o.training.results}
+    assert scores(again) == scores(outcome)
+    with pytest.raises(ValueError, match="no run"):
+        run(df, None, store, resume=run_id)
+
+
 def test_failed_run_is_recorded(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     with pytest.raises(ValueError, match="no column z"):

@@ -130,6 +130,39 @@ def test_store_keeps_the_last_state(spark, tmp_path):
     assert store.exports(second) == {} and set(store.exports(first)) == {"pipeline", "report", "leaderboard", "importance"}
 
 
+def test_two_writers_lose_nothing(spark, tmp_path):
+    one, two = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    run_id = one.start_run("data")
+    one.update_run(run_id, status="running", progress=5.0)
+    two.update_run(run_id, message="from two", best_score=0.5)
+    one.update_run(run_id, progress=15.0)
+    two.update_run(run_id, best_score=None)
+    expected = {"status": "running", "progress": 15.0, "message": "from two", "best_score": None, "dataset_id": "data"}
+    state = one.run(run_id)
+    assert {k: state[k] for k in expected} == expected
+    files = lambda: len(list((tmp_path / "runs").glob("*.parquet")))
+    assert files() == 5 and one.compact(9) == 0
+    assert one.compact() == 5 and files() == 1
+    assert two.run(run_id) == state and two.current_run() == state
+    late = Store(spark, str(tmp_path))
+    late.update_run(run_id, status="completed")
+    assert one.run(run_id)["status"] == "completed" and one.run(run_id)["message"] == "from two"
+    with pytest.raises(ValueError, match="no field stat"):
+        one.update_run(run_id, stat="x")
+    assert Store(spark, f"{tmp_path}/none").compact() == 0
+
+
+def test_an_older_change_read_later_does_not_win(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path))
+    run_id = store.start_run()
+    store.update_run(run_id, status="completed")
+    store.compact()
+    slow = Store(spark, str(tmp_path))
+    monkeypatch.setattr("tabwright.sources.store.time.time_ns", lambda: 5)  # a writer that began long ago
+    slow.update_run(run_id, status="running", message="old")
+    assert store.run(run_id)["status"] == "completed" and store.run(run_id)["message"] == "Waiting"
+
+
 def test_latest_of_a_busy_key(spark):
     log = spark.range(1000).select((F.col("id") % 3 == 0).alias("k"), "id", (F.col("id") * 2).alias("v"))
     assert {r["k"]: r["v"] for r in latest(log, ["k"], "id").collect()} == {True: 1998, False: 1996}
