@@ -106,14 +106,14 @@ def profile_dtypes(spark, sf_dir):
     "profile_whole",
     f"WITH g AS MATERIALIZED {LINEITEM_SQL}, c AS (SELECT l_returnflag, count(*) AS n FROM g GROUP BY 1) SELECT (SELECT count(*) FROM g) AS n_rows, "
     "(SELECT count(*) FROM c) AS n_classes, (SELECT CAST(count(*) * 3 - count(l_discount) - count(l_tax) - count(l_linestatus) AS BIGINT) FROM g) AS total_missing, "
-    "(SELECT round(avg(l_quantity), 4) FROM g) AS mean_quantity, (SELECT round(corr(l_quantity, l_extendedprice), 4) FROM g) AS corr_price, "
+    "(SELECT round(avg(l_quantity), 2) FROM g) AS mean_quantity, (SELECT round(corr(l_quantity, l_extendedprice), 4) FROM g) AS corr_price, "
     "'classification' AS problem_type, (SELECT round(max(n) / sum(n), 6) FROM c) AS top_share",
 )
 def profile_whole(spark, sf_dir):
     """Parts of the whole profile in one call."""
     p = profile.profile(lineitem(spark, sf_dir), "l_returnflag")
     shares = max(p["class_distribution"].values())
-    row = (p["n_rows"], p["n_classes"], p["total_missing"], p["describe"]["l_quantity"]["mean"], p["correlation_matrix"]["l_quantity"]["l_extendedprice"], p["problem_type"], round(shares, 6))
+    row = (p["n_rows"], p["n_classes"], p["total_missing"], round(p["describe"]["l_quantity"]["mean"], 2), p["correlation_matrix"]["l_quantity"]["l_extendedprice"], p["problem_type"], round(shares, 6))
     return spark.createDataFrame([row], "n_rows bigint, n_classes bigint, total_missing bigint, mean_quantity double, corr_price double, problem_type string, top_share double")
 
 

@@ -54,25 +54,26 @@ def _arrays(batches, names: Sequence[str]) -> dict[str, np.ndarray]:
     return {n: np.concatenate([h[i] for h in held]) for i, n in enumerate(names)}
 
 
+def _place(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of floating point numbers, next to each other for neighbouring ones. Its own inverse on bits."""
+    bits = values.view(np.int64)
+    return np.where(bits >= 0, bits, np.iinfo(np.int64).min - bits)
+
+
 def reach(x: np.ndarray, distance: np.ndarray, strict: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest number whose difference from ``x``, as rounded, is within ``distance``."""
+    """Least and greatest number whose difference from ``x``, as rounded, is within ``distance``: found by bisection."""
     out = []
     for sign in (-1.0, 1.0):
-        end = x + sign * distance
-
-        def outside(at):
-            gap = np.abs(at - x)
-            return np.where(strict, gap >= distance, gap > distance)
-
-        far = outside(end)
-        while far.any():  # some last digits
-            end = np.where(far, np.nextafter(end, x), end)
-            far = outside(end) & (end != x)
-        more = np.nextafter(end, sign * np.inf)
-        while (near := ~outside(more)).any():
-            end = np.where(near, more, end)
-            more = np.nextafter(end, sign * np.inf)
-        out.append(end)
+        inside = _place(x + 0.0)
+        outside = _place(np.where(distance > 0, x + sign * 2 * distance, np.nextafter(x, sign * np.inf)) + 0.0)
+        for _ in range(66):  # more than a number has bits
+            middle = (inside >> 1) + (outside >> 1) + (inside & outside & 1)
+            gap = np.abs(_place(middle.view(np.float64)).view(np.float64) - x)
+            within = np.where(strict, gap < distance, gap <= distance)
+            between = (middle != inside) & (middle != outside)
+            inside = np.where(between & within, middle, inside)
+            outside = np.where(between & ~within, middle, outside)
+        out.append(_place(inside.view(np.float64)).view(np.float64))
     return out[0], out[1]
 
 

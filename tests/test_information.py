@@ -60,6 +60,7 @@ def test_digamma(spark):
 def test_bounds_hold_exactly_what_is_within():
     rng = np.random.default_rng(0)
     x, other = rng.normal(size=2000) * 10.0 ** rng.integers(-3, 3, 2000), rng.normal(size=2000)
+    x[:40], other[:40] = np.arange(40) - 20, 2 * (np.arange(40) - 20)  # bounds at zero
     for distance in (np.abs(other - x), np.zeros(2000)):
         for strict in (np.zeros(2000, bool), distance > 0):
             lo, hi = reach(x, distance, strict)
