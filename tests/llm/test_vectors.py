@@ -61,6 +61,18 @@ def test_products_are_exact(spark):
     assert found(top_products(df)) == {q: r for q, r in expected.items() if r}
 
 
+def test_large_products_are_exact_and_larger_ones_left_out(spark):
+    big = float(1 << 22)
+    data = [(n, [big + n, -big, float(n)]) for n in range(0, 200)] + [(300, [1e30, 0.0, 0.0]), (350, [-1e30, 1e30, 0.0]), (400, [3e38, 0.0, 0.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in data if i < 300}
+    expected = {}
+    for q in range(0, 200, 50):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q)
+        expected[q] = [(i, -s) for s, i in scored[:5]]
+    assert min(s for r in expected.values() for _, s in r) > 2**60 and found(top_products(df)) == expected
+
+
 def test_graph_finds_nearest(spark):
     def cosine(a, b):
         a, b = np.array(a), np.array(b)
