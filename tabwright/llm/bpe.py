@@ -11,6 +11,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,13 @@ from tabwright.llm.blocks import kept, record, text_bytes
 
 # How byte-level vocabularies split text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The same where some letters or numbers count as other signs.
+STRICT_PATTERN = (
+    r"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--[{newer}]]+| ?[\p{{N}}--[{newer}]]+| ?[[^\s\p{{L}}\p{{N}}][{newer}]]+|\s+(?!\S)|\s+"
+)
 PART_BYTES = 8 << 20
 CACHE_WORDS = 600_000
+LONG_WORD = 64  # characters of a word whose ids are kept; longer ones are rare unless there is no white space
 RESULT = [
     ("doc_id", pa.int64()),
     ("n_tokens", pa.int64()),
@@ -41,10 +47,39 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
+@lru_cache(maxsize=1)
+def newer_signs() -> str:
+    """Letters and numbers that the tokenizers library doesn't know as such yet, as ranges of a character class.
+
+    They are found by its own word splitter: a letter goes into one word with an ``a`` before it, a number with a ``1``.
+    """
+    from tokenizers import pre_tokenizers
+
+    splitter = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    newer: list[int] = []
+    for kind, lead in ((r"\p{L}", "1a"), (r"\p{N}", "a1")):
+        signs = regex.findall(kind, every)
+        for at in range(0, len(signs), 1 << 14):
+            some = signs[at : at + (1 << 14)]
+            ends = {start: end for _, (start, end) in splitter.pre_tokenize_str("".join(lead + s for s in some))}
+            newer += [ord(s) for n, s in enumerate(some) if ends.get(3 * n + 1, 0) < 3 * n + 3]
+    runs: list[list[int]] = []
+    for c in sorted(newer):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
 class PairIndexEncoder:
-    """Encodes and decodes with a vocabulary file of a byte-level BPE tokenizer."""
+    """Encodes and decodes with a vocabulary file of a byte-level BPE tokenizer.
+
+    ``newer``: what ``newer_signs`` gives, for words as the library splits them.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, newer: str = ""):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         letters = byte_letters()
@@ -59,6 +94,9 @@ class PairIndexEncoder:
         self.added = {t: number.to_bytes(4, "little") for t, number in added.items()}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.words = regex.compile(WORD_PATTERN)
+        self.newer = regex.compile(f"[{newer}]") if newer else None
+        self.beyond = regex.compile(f"[{newer[:10]}-\\U0010ffff]") if newer else None
+        self.strict = regex.compile(STRICT_PATTERN.format(newer=newer)) if newer else None
         self.of_byte = np.zeros(256, np.int32)
         for letter, byte in letters.items():
             self.of_byte[byte] = vocab[letter]
@@ -145,11 +183,15 @@ class PairIndexEncoder:
 
     def split(self, text: str) -> list[str]:
         """Words and added tokens of a text, in order."""
+        words = self.words
+        # Few texts have signs from the first newer one on, fewer have a newer one.
+        if self.newer is not None and self.beyond.search(text) and self.newer.search(text):
+            words = self.strict
         if self.split_added is None or not any(t in text for t in self.added):
-            return self.words.findall(text)
+            return words.findall(text)
         out = []
         for n, part in enumerate(self.split_added.split(text)):
-            out += [part] if n % 2 else self.words.findall(part)
+            out += [part] if n % 2 else words.findall(part)
         return out
 
     def encode(self, texts: Iterable[str], cache: dict[str, bytes]) -> list[bytes]:
@@ -159,15 +201,16 @@ class PairIndexEncoder:
         cache.update(self.added)
         split = [self.split(t) for t in texts]
         fresh = list({w for words in split for w in words if w not in cache})
-        cache.update(zip(fresh, self.encode_words([w.encode() for w in fresh]), strict=True))
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
+        found = dict(zip(fresh, self.encode_words([w.encode() for w in fresh]), strict=True))
+        cache.update({w: ids for w, ids in found.items() if len(w) <= LONG_WORD})
+        return [b"".join([cache[w] if w in cache else found[w] for w in words]) for words in split]
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that ids stand for."""
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _encoder(path: str, with_ids: bool, with_text: bool):
+def _encoder(path: str, newer: str, with_ids: bool, with_text: bool):
     def parts(batches):
         ids, texts, size = [], [], 0
         for batch in batches:
@@ -181,7 +224,7 @@ def _encoder(path: str, with_ids: bool, with_text: bool):
         yield ids, texts
 
     def run(batches):
-        encoder, cache = kept("pair index", path, lambda: (PairIndexEncoder(path), {}))
+        encoder, cache = kept("pair index", (path, newer), lambda: (PairIndexEncoder(path, newer), {}))
         for doc_ids, texts in parts(batches):
             encoded = encoder.encode(texts, cache)
             decoded = [encoder.decode(e).decode("utf-8", "replace") for e in encoded]
@@ -207,4 +250,4 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False, with_text:
     the text. Rows keep no order; repeated rows give repeated rows; other columns are ignored.
     """
     kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encoder(path, with_ids, with_text), kinds)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encoder(path, newer_signs(), with_ids, with_text), kinds)

@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tabwright.llm.bpe import PairIndexEncoder, encode_decode
+from tabwright.llm.bpe import PairIndexEncoder, encode_decode, newer_signs
 from tabwright.llm.queries import QUERIES, vocabulary
-from tabwright.llm.token_files import FILE_SCHEMA, compress, expand_symbols, read_document, read_files, write_files
+from tabwright.llm.token_files import FILE_SCHEMA, compress, expand_symbols, read_document, read_files, through_files, write_files
 
 SCHEMA = "doc_id long, text string, ids string, start int"
 ODD = [None, "", " ", "<|endoftext|>", "A<|endoftext|>b <|ENDOFTEXT|> <|startoftext|>x", "aaaa" * 300, "\n\n\t  x \x01 y\x01z", "the., a,b 3.14 vié, vié.́ x", "été É ǅ İ", "x" * 200_000]
@@ -37,6 +37,25 @@ def test_bpe_equals_the_library(spark):
     assert sorted((tuple(r) for r in out.drop("ids", "decoded").collect()), key=str) == sorted(expected, key=str)
 
 
+def test_words_split_as_the_library_does():
+    """Also letters and numbers that are newer than the library: all of these, and every seventh code point."""
+    path, newer = vocabulary("byte_bpe_50k.json"), newer_signs()
+    library, encoder = Tokenizer.from_file(path), PairIndexEncoder(path, newer)
+    odd = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c % 7 == 0 or encoder.newer.match(chr(c)))]
+    assert "\\U00000558" in newer and len(odd) > 160_000
+    texts = ["".join(f"a{chr(c)}'s 1{chr(c)} {chr(c)}.{chr(c)}" for c in odd[at : at + 500]) for at in range(0, len(odd), 500)]
+    texts += ["a\u0558's", "x \ua7ce\u0558 it's", "\U00010940" * 5, "old text only, it's fine"]
+    for text, ids in zip(texts, encoder.encode(texts, {}), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_words_are_not_kept():
+    encoder, cache = PairIndexEncoder(vocabulary("byte_bpe_50k.json")), {}
+    text = "x" * 300_000 + " short " + "y" * 65
+    assert encoder.decode(encoder.encode([text], cache)[0]).decode() == text
+    assert encoder.encode([text], cache) == encoder.encode([text], {}) and max(map(len, cache)) <= 64
+
+
 def test_decode_shows_broken_characters():
     encoder = PairIndexEncoder(vocabulary("byte_bpe_50k.json"))
     half = encoder.encode(["é"], {})[0]
@@ -71,6 +90,7 @@ def test_token_files_equal_the_library(spark, tmp_path, parts):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert encode_decode(empty, vocabulary("byte_bpe_50k.json")).count() == 0
+    assert through_files(empty, vocabulary("word_bpe_49k.json")).count() == 0
 
 
 def test_grammar_round_trip_and_gain():
