@@ -9,20 +9,23 @@ of them that may be linked is missed. Texts that are equal word for word are one
 candidates. Large classes form in rounds: within a bucket every node is compared with the bucket's leaders, and
 verified links join nodes to components. Leaders are drawn over the components of a bucket; the first round takes one
 leader for each node, the others all of them. Rounds go on while they join many nodes. Then all pairs of nodes in one
-bucket and different components are settled: block by block, those are found whose lengths and word counts in ``SLOTS``
-slots allow a link. Some of each two components are aligned first; then all that are in different components still. Alignment allows as many word edits as ``1 - SIMILARITY`` of the longer
+bucket and different components are settled: those are found whose lengths and word counts in ``SLOTS`` slots allow a link, by bands of length and block by block. Some of each two components are aligned first; then all that are in different components still. Alignment allows as many word edits as ``1 - SIMILARITY`` of the longer
 text: the band of the table of furthest-reaching paths.
 """
 
 from __future__ import annotations
 
+import json
+import math
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.blocks import expand, squeeze, text_bytes, written
+from tabwright.llm.blocks import NO_ID, Blocks, Scratch, expand, squeeze, unpack, unused_name
 
 SHINGLE = 5
 PICKED = 2
@@ -32,8 +35,12 @@ SHORT = 50
 SIMILARITY = 0.8
 MANY = 0.005  # share of the nodes that a round joins if another one is worth it
 BLOCK = 4096  # nodes of a bucket that are compared in one group with as many others
-SLOTS = 512
+SHARD_ROWS = 50_000  # rows of a task that compares blocks
+SHARD_PAIRS = 250  # pairs of a task that aligns
+SLOTS = 128  # of the counts that go along to blocks
+FINE_SLOTS = 512  # of those that pairs are checked by before their words are sent
 CACHE_WORDS = 500_000
+LONG_WORD = 64
 ODD = np.random.default_rng(2024).integers(0, 2**63, (2, 64), np.uint64) | np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -54,9 +61,14 @@ class Words:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known = self.known
-        for word in set(words).difference(known):
+        fresh = set(words).difference(known)
+        for word in fresh:
             known[word] = xxhash.xxh32_intdigest(word)
-        return np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
+        hashes = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
+        for word in fresh:
+            if len(word) > LONG_WORD:  # rare, unless a text has no white space
+                del known[word]
+        return hashes
 
 
 def node_of(words: np.ndarray, doc_id) -> bytes:
@@ -131,12 +143,61 @@ def single_keys(words: np.ndarray, sketches: int = SKETCHES, similarity: float =
     keys = short_keys(words, similarity) if len(words) <= SHORT else set()
     if len(words) > similarity * SHORT:  # may be linked to a text that isn't short
         kmers = labelled(words, GRAM)
-        for n in range(sketches if len(kmers) else 0):
-            values = (kmers ^ ODD[0, n]) * ODD[1, n]
-            keys.add(int(kmers[(values ^ (values >> np.uint64(32))).argmin()]))
+        for at in range(0, sketches if len(kmers) else 0, 8):
+            odd = ODD[:, at : min(at + 8, sketches)]
+            values = (kmers ^ odd[0][:, None]) * odd[1][:, None]
+            values ^= values >> np.uint64(32)
+            keys.update(kmers[values.argmin(1)].tolist())
     return np.fromiter(keys, np.uint64, len(keys)).view(np.int64)
 
 
+def most_shared(a: np.ndarray, b: np.ndarray, gram: int) -> int:
+    """Number of runs of ``gram`` words that both texts have, each as often as in both."""
+    runs = []
+    for words in (a, b):
+        wide = words.astype(np.uint64) + np.uint64(1)
+        count = max(0, len(words) - gram + 1)
+        sums = wide[:count].copy()
+        for n in range(1, gram):
+            sums = mixed(sums) * BASE + wide[n : n + count]
+        runs.append(sums)
+    values, counts = np.unique(np.concatenate(runs), return_counts=True)
+    in_a = np.bincount(np.searchsorted(values, runs[0]), minlength=len(values))
+    return int(np.minimum(in_a, counts - in_a).sum())
+
+
+def plain_edits(a: np.ndarray, b: np.ndarray) -> int:
+    """Edits of one way from ``a`` to ``b``, which may not be the shortest: words replaced, or all words between the
+    anchors changed. Anchors are words found once in both texts, in an order common to both."""
+    most = max(len(a), len(b))
+    if len(a) == len(b):
+        most = int((a != b).sum())
+    once = [np.unique(x, return_index=True, return_counts=True) for x in (a, b)]
+    once = [(values[counts == 1], places[counts == 1]) for values, places, counts in once]
+    _, one, two = np.intersect1d(once[0][0], once[1][0], assume_unique=True, return_indices=True)
+    one, two = once[0][1][one], once[1][1][two]
+    two = two[np.argsort(one)]
+    one = np.sort(one)
+    # The longest run of anchors that rise in both: ends of runs by length, and for each anchor the one before.
+    ends, last, before = [], [], np.full(len(two), -1)
+    for n, place in enumerate(two.tolist()):
+        at = bisect_left(ends, place)
+        before[n] = last[at - 1] if at else -1
+        if at == len(ends):
+            ends.append(place)
+            last.append(n)
+        else:
+            ends[at], last[at] = place, n
+    chain = []
+    n = last[-1] if last else -1
+    while n >= 0:
+        chain.append(n)
+        n = before[n]
+    chain = np.array(chain[::-1], int)
+    gaps = [np.diff(np.concatenate([[-1], x[chain], [len(text)]])) - 1 for x, text in ((one, a), (two, b))]
+    return min(most, int(np.maximum(*gaps).sum()))
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Whether word edits are at most ``1 - similarity`` of the longer text's words."""
     most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
@@ -146,6 +207,11 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     in_a = np.bincount(np.searchsorted(values, a), minlength=len(values))
     if max(len(a), len(b)) - int(np.minimum(in_a, counts - in_a).sum()) > most:
         return False  # even in any order too few words agree
+    for gram in (2, 3):  # an edit changes as many runs of words as a run has words
+        if most_shared(a, b, gram) < max(len(a), len(b)) - gram + 1 - gram * most:
+            return False
+    if plain_edits(a, b) <= most:
+        return True
     short = min(len(a), len(b))
     differ = np.flatnonzero(a[:short] != b[:short])
     if not len(differ):
@@ -196,24 +262,24 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return False
 
 
-def signature(words: np.ndarray) -> bytes:
+def signature(words: np.ndarray, slots: int = SLOTS) -> bytes:
     """Word counts in slots, four bits each and at most 15. An edit changes their sum of differences by two at most."""
-    slots = (mixed(words.astype(np.uint64) * BASE + np.uint64(7)) >> np.uint64(20)).astype(np.int64) % SLOTS
-    counts = np.minimum(np.bincount(slots, minlength=SLOTS), 15).astype(np.uint8)
+    places = (mixed(words.astype(np.uint64) * BASE + np.uint64(7)) >> np.uint64(20)).astype(np.int64) % slots
+    counts = np.minimum(np.bincount(places, minlength=slots), 15).astype(np.uint8)
     return (counts[::2] << 4 | counts[1::2]).tobytes()
 
 
-def block_pairs(group: np.ndarray, apart: np.ndarray, part: np.ndarray, component: np.ndarray, words: np.ndarray, signs: np.ndarray, similarity: float):
-    """Places of the pairs that may be linked: of one group, which is a run, in different components, and of different
-    parts where ``apart``. ``signs``: counts of ``signature``."""
+def block_pairs(group: np.ndarray, apart: np.ndarray, part: np.ndarray, guest: np.ndarray, component: np.ndarray, words: np.ndarray, signs: np.ndarray, similarity: float):
+    """Places of the pairs that may be linked: of one group, which is a run, in different components, not both guests, and
+    of different parts where ``apart``. ``signs``: counts of ``signature``."""
     heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     ends = np.repeat(np.concatenate([heads[1:], [len(group)]]), np.diff(np.concatenate([heads, [len(group)]])))
-    coarse = signs.reshape(-1, SLOTS // 8, 8).sum(2, dtype=np.int8)  # at most 8 * 15
+    coarse = signs.reshape(-1, SLOTS // 8, 8).sum(2, dtype=np.int16)  # at most 8 * 15
     one, two = [], []
     live, step = np.arange(len(group)), 1
     while len(live := live[live + step < ends[live]]):
         a, b = live, live + step
-        keep = (component[a] != component[b]) & ~(apart[a] & (part[a] == part[b]))
+        keep = (component[a] != component[b]) & ~(apart[a] & (part[a] == part[b])) & ~(guest[a] & guest[b])
         a, b = a[keep], b[keep]
         most = np.floor((1 - similarity) * np.maximum(words[a], words[b]) + 1e-9)
         keep = np.abs(words[a] - words[b]) <= most
@@ -228,24 +294,26 @@ def block_pairs(group: np.ndarray, apart: np.ndarray, part: np.ndarray, componen
 
 
 def _pairer(similarity: float):
-    """Rows in order of key, low, high: pairs of nodes that may be linked. Groups are not cut by batches."""
+    """Rows in order of blocks: pairs of nodes that may be linked. Blocks are not cut by batches.
+
+    ``tag`` holds the part of its bucket that a node is in, whether it is a guest, and whether two parts meet.
+    """
 
     def pairs(table):
         columns = {n: table.column(n).combine_chunks() for n in table.column_names}
-        number = {n: columns[n].to_numpy(zero_copy_only=False) for n in ("key", "low", "high", "part", "words", "component")}
+        block, tag, words, component = (columns[n].to_numpy() for n in ("block", "tag", "words", "component"))
         new = np.ones(table.num_rows, bool)
-        new[1:] = np.any([number[n][1:] != number[n][:-1] for n in ("key", "low", "high")], axis=0)
-        packed = np.frombuffer(b"".join(columns["signature"].to_pylist()), np.uint8).reshape(-1, SLOTS // 2)
-        signs = np.stack([packed >> 4, packed & 15], 2).reshape(-1, SLOTS).astype(np.int8)
-        one, two = block_pairs(np.cumsum(new), number["low"] != number["high"], number["part"], number["component"], number["words"].astype(np.int64), signs, similarity)
+        new[1:] = block[1:] != block[:-1]
+        signs = counts_of(columns["signature"])
+        one, two = block_pairs(np.cumsum(new), tag & 1 > 0, tag >> 2, tag & 2 > 0, component, words.astype(np.int64), signs, similarity)
         return pa.RecordBatch.from_arrays([columns["node"].take(pa.array(one)), columns["node"].take(pa.array(two))], ["one", "two"])
 
     def run(batches):
         left = None
         for batch in batches:
             table = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
-            ids = [table.column(n).to_numpy() for n in ("key", "low", "high")]
-            last = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0))
+            block = table.column("block").to_numpy()
+            last = np.flatnonzero(block[1:] != block[:-1])
             cut = int(last[-1]) + 1 if len(last) else 0
             left = table.slice(cut)
             if cut:
@@ -256,37 +324,99 @@ def _pairer(similarity: float):
     return run
 
 
-def _sketcher(shingle: int, sketches: int, similarity: float):
-    def run(batches):
-        words = Words()
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = [words.of(t) for t in text_bytes(batch.column(1))]
+# A document's number names its block and its place there, so that its text is found again without a shuffle of texts.
+PLACES = 20  # bits of the place in a block, which has fewer documents than bytes / 16
+MADE = 14  # bits of the block's place among its task's
+
+
+def first_number(block: int) -> int:
+    return (block >> 32) << MADE + PLACES | (block & (1 << 32) - 1) << PLACES
+
+
+def block_of(number):
+    """Column of the block that a column of document numbers names."""
+    made = F.shiftright(number, PLACES).bitwiseAND(F.lit((1 << MADE) - 1))
+    return F.shiftleft(F.shiftright(number, MADE + PLACES), 32).bitwiseOR(made)
+
+
+NODES = "number long, doc_id long, mark long, node binary, words int"
+
+
+def _nodes(batches):
+    """Each document of a block: its number, and the node it belongs to."""
+    words = Words()
+    for batch in batches:
+        for block, ids, lens, text, extra in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block & (1 << 32) - 1 >= 1 << MADE:
+                raise ValueError("a task has too many blocks; read the documents in smaller parts")
+            ids, bounds, data = unpack(ids, lens, text)
+            texts = [words.of(data[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+            known = [None if i == NO_ID else int(i) for i in ids]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": pa.array(ids, pa.int64()),
-                    "mark": batch.column(2),
-                    "node": pa.array([node_of(w, i) for w, i in zip(texts, ids, strict=True)], pa.binary()),
+                    "number": pa.array(first_number(block) + np.arange(len(ids)), pa.int64()),
+                    "doc_id": pa.array(known, pa.int64()),
+                    "mark": pa.array([json.loads(line)["mark"] for line in expand(extra).split(b"\n")], pa.int64()),
+                    "node": pa.array([node_of(w, i) for w, i in zip(texts, known, strict=True)], pa.binary()),
                     "words": pa.array([len(w) for w in texts], pa.int32()),
-                    "keys": pa.array([np.unique(np.concatenate([sketch(w, shingle, sketches), single_keys(w, sketches, similarity)])) for w in texts], pa.list_(pa.int64())),
                 }
             )
 
-    return run
 
+def _wanted_texts(packed, wanted, make):
+    """``make`` of the words of each wanted document of one block, with its number."""
+    if not packed.num_rows or not wanted.num_rows:
+        return
+    block, ids, lens, text = (packed.column(c)[0].as_py() for c in ("block", "ids", "lens", "text"))
+    _, bounds, data = unpack(ids, lens, text)
+    words, first = Words(), first_number(block)
+    for number in sorted(wanted.column("number").to_pylist()):
+        at = number - first
+        yield number, make(words.of(data[bounds[at] : bounds[at + 1]]))
 
-def _tokens(batches):
-    words = Words()
-    for batch in batches:
-        texts = [words.of(t) for t in text_bytes(batch.column(1))]
-        yield pa.RecordBatch.from_pydict(
+
+def _sketcher(shingle: int, sketches: int, similarity: float):
+    def keys(words):
+        return np.unique(np.concatenate([sketch(words, shingle, sketches), single_keys(words, sketches, similarity)]))
+
+    def run(packed, wanted):
+        found = list(_wanted_texts(packed, wanted, lambda w: (len(w), signature(w), signature(w, FINE_SLOTS), keys(w))))
+        return pa.table(
             {
-                "node": pa.array([node_of(w, i) for w, i in zip(texts, batch.column(0).to_pylist(), strict=True)], pa.binary()),
-                "tokens": pa.array([squeeze(w.tobytes()) for w in texts], pa.binary()),
-                "signature": pa.array([signature(w) for w in texts], pa.binary()),
+                "node": pa.array([n for n, _ in found], pa.int64()),
+                "words": pa.array([w for _, (w, *_) in found], pa.int32()),
+                "signature": pa.array([s for _, (_, s, *_) in found], pa.binary()),
+                "fine": pa.array([s for _, (_, _, s, _) in found], pa.binary()),
+                "keys": pa.array([k for _, (*_, k) in found], pa.list_(pa.int64())),
             }
         )
 
+    return run
+
+
+def _tokens(packed, wanted):
+    found = list(_wanted_texts(packed, wanted, lambda w: squeeze(w.tobytes())))
+    return pa.table({"node": pa.array([n for n, _ in found], pa.int64()), "tokens": pa.array([t for _, t in found], pa.binary())})
+
+
+def counts_of(signatures: pa.Array, slots: int = SLOTS) -> np.ndarray:
+    packed = np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, slots // 2)
+    return np.stack([packed >> 4, packed & 15], 2).reshape(-1, slots).astype(np.int16)
+
+
+def _likely(similarity: float):
+    """Pairs that may be linked by their lengths and by the counts in their signatures."""
+
+    def run(batches):
+        for batch in batches:
+            words = [batch.column(n).to_numpy().astype(np.int64) for n in ("words_a", "words_b")]
+            most = np.floor((1 - similarity) * np.maximum(*words) + 1e-9)
+            one, two = (counts_of(batch.column(n), FINE_SLOTS) for n in ("left", "right"))
+            keep = (np.abs(words[0] - words[1]) <= most) & (np.abs(one - two).sum(1, dtype=np.int32) <= 2 * most)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
 
 def _aligner(similarity: float):
     def align(batches):
@@ -300,18 +430,25 @@ def _aligner(similarity: float):
     return align
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Component of every node of (a, b) links: the smallest node of it. Columns node, component."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")))
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Component of every node of (a, b) links: the smallest node of it. Columns node, component.
+
+    With ``scratch`` the result is one of its tables, and those of the rounds are deleted.
+    """
+    scratch = scratch or Scratch(links.sparkSession)
+    both = scratch.write(links.select("a", "b").union(links.select("b", "a")).distinct())
+    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
         step = labels.join(near, "node").select("node", F.least("component", "least").alias("next"), "component")
         jump = labels.select(F.col("node").alias("next"), F.col("component").alias("root"))
-        new = written(step.join(jump, "next").select("node", F.least("next", "root").alias("component"), F.col("component").alias("old")))
-        labels = new.select("node", "component")
+        new = scratch.write(step.join(jump, "next").select("node", F.least("next", "root").alias("component"), F.col("component").alias("old")))
         if not new.where("component <> old").limit(1).count():
+            scratch.drop(both, new)
             return labels
+        after = scratch.write(new.select("node", "component"))
+        scratch.drop(labels, new)
+        labels = after
 
 
 def _ends(links: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -331,13 +468,16 @@ def _with_component(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+def extended(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """``labels`` after more links: these are drawn between components, so that only merged ones are worked on."""
-    merged = components(written(_ends(links, labels).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b").distinct()))
+    between = scratch.write(_ends(links, labels).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b").distinct())
+    merged = components(between, scratch)
     root = merged.select(F.col("node").alias("component"), F.col("component").alias("root"))
     old = labels.join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
     # A component is one of its nodes; other ends of links had no label so far.
-    return written(old.union(merged.join(labels.select("node"), "node", "left_anti").select("node", "component")))
+    new = scratch.write(old.union(merged.join(labels.select("node"), "node", "left_anti").select("node", "component")))
+    scratch.drop(between, merged, labels)
+    return new
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
@@ -356,9 +496,10 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     first = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "mark")
     kept = _classed(docs, shingle, similarity, sketches).groupBy("component").agg(F.min(first).alias("first"))
     kept = kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.mark").alias("kept_mark"))
-    marked = docs.withColumn("text_mark", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("text_mark") == F.col("kept_mark"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_mark"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = unused_name("mark", docs.columns)
+    marked = docs.withColumn(own, F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col(own) == F.col("kept_mark"))
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", own]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _leader_pairs(current: DataFrame, number: int, similarity: float) -> DataFrame:
@@ -374,54 +515,106 @@ def _leader_pairs(current: DataFrame, number: int, similarity: float) -> DataFra
     return pairs.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
 
 
-def _open_pairs(current: DataFrame, rooms: DataFrame, tokens: DataFrame, similarity: float, shards: int) -> DataFrame:
+def _open_pairs(current: DataFrame, rooms: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
     """All pairs of one bucket in different components that may be linked by their lengths and signatures."""
-    parts = F.ceil(F.col("nodes") / F.lit(BLOCK)).cast("int")
-    members = current.join(rooms.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("node", F.lit(-1)), "parts").cast("int"))
-    members = members.join(tokens.select("node", "signature"), "node")
+    # Lengths of two texts that may be linked lie in one band or in bands next to each other. Each node is also a guest
+    # of the next band; guests are compared with the band's own nodes.
+    band = F.floor(F.log(F.greatest("words", F.lit(1))) / F.lit(math.log(1 / max(similarity, 0.01)) + 1e-6)).cast("int")
+    rows = current.join(rooms.select("key"), "key").withColumn("band", band)
+    rows = rows.select("key", "node", "words", "component", F.inline(F.array(*[F.struct((F.col("band") + n).alias("band"), F.lit(n).alias("guest")) for n in (0, 1)])))
+    group = ["key", "band"]
+    alive = rows.groupBy(*group).agg(F.count("*").alias("nodes"), F.sum("guest").alias("guests"), F.min("component").alias("low"), F.max("component").alias("high"))
+    alive = alive.where("guests < nodes and low <> high").select(*group, F.ceil(F.col("nodes") / F.lit(BLOCK)).cast("int").alias("parts"))
+    members = rows.join(alive, group).withColumn("part", F.pmod(F.xxhash64("node", F.lit(-1)), "parts").cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = members.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "words", F.xxhash64("component").alias("component"), "signature")
-    members = members.repartition(shards, "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    pairs = members.mapInArrow(_pairer(similarity), "one binary, two binary")
+    # Two groups of one hash are compared with each other as well, which does no harm.
+    block = F.xxhash64(*group, F.least("part", "other"), F.greatest("part", "other"))
+    tag = F.col("part") * 4 + F.col("guest") * 2 + (F.col("part") != F.col("other")).cast("int")
+    members = members.select(block.alias("block"), tag.alias("tag"), "node", "words", F.xxhash64("component").alias("component"))
+    members = members.join(sketched.select("node", "signature"), "node")
+    shards = max(1, -(-members.count() // SHARD_ROWS))
+    members = members.repartition(shards, "block").sortWithinPartitions("block").select("block", "tag", "node", "words", "component", "signature")
+    pairs = members.mapInArrow(_pairer(similarity), "one long, two long")
     return pairs.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
 
 
 def _classed(docs: DataFrame, shingle: int, similarity: float, sketches: int) -> DataFrame:
-    columns = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
-    rows = written(columns.mapInArrow(_sketcher(shingle, sketches, similarity), "doc_id long, mark long, node binary, words int, keys array<long>"))
-    columns = columns.drop("mark")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    single = rows.select("node", "words", "doc_id", "keys").join(nodes, (rows["node"] == nodes["node"]) & rows["doc_id"].eqNullSafe(nodes["doc_id"]), "left_semi")
-    entries = single.dropDuplicates(["node"]).select("node", "words", "doc_id", F.explode("keys").alias("key"))  # a text's keys differ
-    shared = entries.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1").select("key")
-    entries = written(entries.join(shared, "key"))
-
-    needed = entries.select("node", "doc_id").distinct()
-    sources = columns.join(needed.select(F.col("doc_id").alias("wanted")).distinct(), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    tokens = sources.mapInArrow(_tokens, "node binary, tokens binary, signature binary").dropDuplicates(["node"])
-    tokens = written(tokens.join(needed.select("node").distinct(), "node", "left_semi"))
-
-    shards = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    entered, nodes_in = entries.count(), needed.count()
+    """doc_id, mark (of its text), component, class_id, class_size and n_words of every document, written."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    blocks = Blocks(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("mark")), carry=["mark"])
+    rows = scratch.write(blocks.table.mapInArrow(_nodes, NODES))
+    first = F.min("number").alias("first")
+    nodes = scratch.write(rows.groupBy("node").agg(first, F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+
+    wanted = nodes.select(F.col("first").alias("number")).withColumn("block", block_of(F.col("number")))
+    sketched = blocks.answer(wanted, _sketcher(shingle, sketches, similarity), "node long, words int, signature binary, fine binary, keys array<long>")
+    sketched = scratch.write(sketched)
+    every = sketched.select("node", "words", F.explode("keys").alias("key"))  # a text's keys differ
+    shared = every.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1").select("key")
+    entries = scratch.write(every.join(shared, "key"))
+
+    labels = _linked(entries, sketched, blocks, similarity, scratch)
+    component = F.col("first") if labels is None else F.coalesce("component", "first")
+    of_node = nodes if labels is None else nodes.join(labels.withColumnRenamed("node", "first"), "first", "left")
+    of_node = of_node.select("node", "copies", "doc_id", component.alias("component"))
+    sums = of_node.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    of_node = scratch.write(of_node.drop("doc_id").join(sums, "component"))
+    classed = rows.select("doc_id", "mark", "node", F.col("words").alias("n_words"))
+    result = Scratch(spark).write(with_facts(classed, of_node, "node").drop("node", "copies"))
+    scratch.clear()
+    blocks.drop()
+    return result
+
+
+HEAVY = 1000
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``facts``, which hold each key once with its number of ``copies`` in the rows.
+
+    Keys with a ``HEAVY``-th of the rows or more, of which there are no more than that, are joined by broadcast.
+    """
+    total = facts.agg(F.sum("copies")).first()[0] or 0
+    heavy = F.col("copies") * HEAVY >= F.lit(total)
+    few = F.broadcast(facts.where(heavy))
+    rest = rows.join(few.select(key), key, "left_anti").join(facts.where(~heavy), key)
+    return rows.join(few, key).unionByName(rest)
+
+
+def _linked(entries: DataFrame, sketched: DataFrame, blocks: Blocks, similarity: float, scratch: Scratch) -> DataFrame | None:
+    """Component of every node with links (node, component); None without links."""
+    entered, nodes_in = entries.count(), entries.select("node").distinct().count()
     labels, checked, number, joined = None, None, 0, 0
 
     def aligned(pairs: DataFrame) -> DataFrame:
+        sides = [sketched.select(F.col("node").alias(n), F.col("words").alias(f"words_{n}"), F.col("fine").alias(s)) for n, s in (("a", "left"), ("b", "right"))]
+        both = pairs.join(sides[0], "a").join(sides[1], "b")
+        likely = scratch.write(both.mapInArrow(_likely(similarity), "a long, b long"))
+        wanted = likely.select(F.col("a").alias("number")).union(likely.select("b")).distinct().withColumn("block", block_of(F.col("number")))
+        tokens = scratch.write(blocks.answer(wanted, _tokens, "node long, tokens binary"))
         one = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("left"))
         two = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
-        whole = pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").repartition(shards, "a", "b")
-        return written(whole.mapInArrow(_aligner(similarity), "a binary, b binary"))
+        shards = max(1, -(-likely.count() // SHARD_PAIRS))
+        whole = likely.join(one, "a").join(two, "b").select("a", "b", "left", "right").repartition(shards, "a", "b")
+        links = scratch.write(whole.mapInArrow(_aligner(similarity), "a long, b long"))
+        scratch.drop(likely, tokens)
+        return links
 
     def joined_by(pairs: DataFrame) -> DataFrame | None:
-        links = aligned(pairs)
-        if not links.limit(1).count():
-            return labels
-        return components(links) if labels is None else extended(labels, links)
+        links, after = aligned(pairs), labels
+        if links.limit(1).count():
+            after = components(links, scratch) if labels is None else extended(labels, links, scratch)
+        scratch.drop(links)
+        return after
 
+    rooms = None
     while True:
         current = _with_component(entries.select("key", "node", "words"), labels)
-        rooms = current.groupBy("key", "component").agg(F.count("*").alias("nodes")).groupBy("key")
-        rooms = rooms.agg(F.sum("nodes").alias("nodes"), F.sum(F.col("nodes").cast("double") * F.col("nodes")).alias("known"))
-        rooms = written(rooms.withColumn("open", F.col("nodes").cast("double") * F.col("nodes") - F.col("known")).where("open > 0"))
+        counts = current.groupBy("key", "component").agg(F.count("*").alias("nodes")).groupBy("key")
+        counts = counts.agg(F.sum("nodes").alias("nodes"), F.sum(F.col("nodes").cast("double") * F.col("nodes")).alias("known"))
+        scratch.drop(rooms)
+        rooms = scratch.write(counts.withColumn("open", F.col("nodes").cast("double") * F.col("nodes") - F.col("known")).where("open > 0"))
         still_open = (rooms.agg(F.sum("open")).first()[0] or 0) / 2
         before, joined = joined, labels.where("node <> component").count() if labels is not None else 0
         if not still_open or number and (still_open <= entered or joined - before <= MANY * nodes_in):
@@ -429,27 +622,27 @@ def _classed(docs: DataFrame, shingle: int, similarity: float, sketches: int) ->
         pairs = _leader_pairs(current, number, similarity)
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = written(pairs)
+        pairs = scratch.write(pairs)
         checked = pairs if checked is None else checked.union(pairs)
         labels = joined_by(pairs)
         number += 1
     if still_open:
-        pairs = _open_pairs(current, rooms, tokens, similarity, shards)
-        pairs = written(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
+        pairs = _open_pairs(current, rooms, sketched, similarity)
+        pairs = scratch.write(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
         for some in (1, 32, 0):
             left = pairs.count()
             if not left:
                 break
             if some and left > nodes_in:  # so many of each two components first: what they join needs no more
                 apart = F.pmod(F.xxhash64("a", "b"), F.lit(some))
-                first = _ends(pairs, labels).groupBy("of_a", "of_b", apart).agg(F.min(F.struct("a", "b")).alias("pair"))
-                first = written(first.select("pair.a", "pair.b"))
-                labels = joined_by(first)
-                pairs = pairs.join(first, ["a", "b"], "left_anti")
-                pairs = written(_ends(pairs, labels).where("of_a <> of_b").select("a", "b"))
+                part = _ends(pairs, labels).groupBy("of_a", "of_b", apart).agg(F.min(F.struct("a", "b")).alias("pair"))
+                part = scratch.write(part.select("pair.a", "pair.b"))
+                labels = joined_by(part)
+                rest = _ends(pairs.join(part, ["a", "b"], "left_anti"), labels)
+                after = scratch.write(rest.where("of_a <> of_b").select("a", "b"))
+                scratch.drop(pairs, part)
+                pairs = after
             else:
                 labels = joined_by(pairs)
                 break
-    classed = _with_component(rows.select("doc_id", "mark", "node", F.col("words").alias("n_words")), labels)
-    sums = classed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return classed.join(sums, "component")
+    return labels

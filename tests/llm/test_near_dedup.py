@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tabwright.llm.near_dedup import Words, near_duplicates, representatives, short_keys, similar, sketch
+from tabwright.llm.near_dedup import Words, near_duplicates, plain_edits, representatives, short_keys, similar, sketch
 
 SCHEMA = "doc_id long, text string, node string, key int"
 
@@ -189,3 +189,47 @@ def test_many_texts_that_are_almost_near(spark):
     rows = [(n, t, "x", 1) for n, t in enumerate(texts)]
     out = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
     assert {r.doc_id: r.class_id for r in out} == dict(enumerate(classes))
+
+
+def test_quick_edits_are_never_too_few():
+    rng = random.Random(4)
+    for _ in range(300):
+        a = [rng.randrange(60) for _ in range(rng.randrange(0, 50))]
+        b = change(rng, a, rng.randrange(0, 9)) if a and rng.random() < 0.8 else [rng.randrange(60) for _ in range(rng.randrange(0, 50))]
+        numbers = {w: n for n, w in enumerate(dict.fromkeys([*a, *b]))}
+        x, y = (np.array([numbers[w] for w in t], np.uint32) for t in (a, b))
+        assert max(len(a), len(b)) >= plain_edits(x, y) >= edits(a, b)
+    words = np.arange(100, dtype=np.uint32)
+    assert plain_edits(words, words) == 0 and plain_edits(words, np.delete(words, [5, 50])) == 2 and plain_edits(words, np.insert(words, 7, 999)) == 1
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_buckets_of_any_size_are_settled_alike(spark, monkeypatch, block):
+    """Unrelated texts around one phrase, with a few near copies among them."""
+    from tabwright.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(12)
+    phrase, texts = "the very same words".split(), []
+    for n in range(90):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(3, 30))]
+        texts.append([*own[:2], *phrase, *own[2:]])
+        if n % 9 == 0:
+            copy = list(texts[-1])
+            copy[-1] = "other"
+            texts.append(copy)
+    rng.shuffle(texts)
+    df = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.class_id for r in near_duplicates(df).collect()}
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if edits(texts[a], texts[b]) <= 0.2 * max(len(texts[a]), len(texts[b])) + 1e-9:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    assert found == dict(enumerate(root)) and len(set(root)) < len(texts)
+
+
+def test_columns_of_any_name_are_kept(spark):
+    df = spark.createDataFrame([(1, "a b c", "mine", 5), (2, "x y z", "too", 6), (3, "a b c", "gone", 7)], "doc_id long, text string, mark string, text_mark int")
+    assert sorted(map(tuple, representatives(df).collect())) == [(1, "a b c", "mine", 5), (2, "x y z", "too", 6)]
