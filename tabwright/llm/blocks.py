@@ -145,27 +145,40 @@ class Scratch:
         self.drop(*[frame for frame, _ in self.paths.values()])
 
 
-class Blocks:
-    """The packed documents and how many shards suit their size.
-
-    ``carry`` names columns to pack as one line of JSON a document, for results that keep them.
-    """
+class Bucketed:
+    """A frame in a table of the shared scratch folder, in buckets of one column: grouping by it needs no shuffle."""
 
-    def __init__(self, docs: DataFrame, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES, shard_bytes: int = 8 << 20, least_shards: int = 256):
-        spark = docs.sparkSession
+    def __init__(self, df: DataFrame, column: str):
+        spark = df.sparkSession
         self.name = f"blocks_{uuid.uuid4().hex}"
-        extra = F.to_json(F.struct(*[F.col(f"`{c}`") for c in carry])) if carry else F.lit("")
         self.path = scratch_path(spark, "blocks")
-        packed = docs.select(F.col("doc_id").cast("long"), "text", extra.alias("extra")).mapInArrow(_packer(block_bytes), BLOCK_SCHEMA)
         files = max(128, int(spark.conf.get("spark.sql.shuffle.partitions")))
         (
-            packed.write.bucketBy(files, "block")
+            df.write.bucketBy(files, column)
             .option("path", self.path)
             .option("compression", "none")
             .format("parquet")
             .saveAsTable(self.name)
         )
         self.table = spark.table(self.name)
+
+    def drop(self) -> None:
+        """Delete the table, once all results made from it are written."""
+        spark = self.table.sparkSession
+        spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove_path(spark, self.path)
+
+
+class Blocks(Bucketed):
+    """The packed documents and how many shards suit their size.
+
+    ``carry`` names columns to pack as one line of JSON a document, for results that keep them.
+    """
+
+    def __init__(self, docs: DataFrame, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES, shard_bytes: int = 8 << 20, least_shards: int = 256):
+        extra = F.to_json(F.struct(*[F.col(f"`{c}`") for c in carry])) if carry else F.lit("")
+        packed = docs.select(F.col("doc_id").cast("long"), "text", extra.alias("extra")).mapInArrow(_packer(block_bytes), BLOCK_SCHEMA)
+        super().__init__(packed, "block")
         self.texts = self.table.drop("extra")
         size = self.table.agg(F.sum(F.length("text"))).first()[0] or 0
         self.shards = max(least_shards, int(size // shard_bytes))
@@ -173,9 +186,3 @@ class Blocks:
     def answer(self, replies: DataFrame, function, schema: str) -> DataFrame:
         """Each block with the replies about it; both sides are grouped by the block's number."""
         return self.table.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(function, schema)
-
-    def drop(self) -> None:
-        """Delete the blocks, once all results made from them are written."""
-        spark = self.table.sparkSession
-        spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        remove_path(spark, self.path)

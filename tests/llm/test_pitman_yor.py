@@ -91,3 +91,12 @@ def test_numbers():
     assert np.allclose(lgamma(np.array([0.5, 1, 7.3, 1e6])), [math.lgamma(x) for x in (0.5, 1, 7.3, 1e6)])
     log = predictive(np.array([3, 0]), np.array([1, 0]), 3, 1, np.log([0.4, 0.6]), 0.5, 1.0)
     assert np.exp(log).sum() == pytest.approx(1)
+
+
+def test_score_depends_on_the_word_before(spark):
+    learnt = [(n, "red fish swim past green birds", 1, "x") for n in range(30) if zlib.crc32(str(n).encode()) % 10]
+    held = [n for n in range(30, 200) if zlib.crc32(str(n).encode()) % 10 == 0][:2]
+    rows = learnt + [(held[0], "red fish swim past green birds", 1, "x"), (held[1], "birds past red green swim fish", 1, "x")]
+    out = {r.doc_id: r for r in score_texts(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert out[held[0]].base_score == pytest.approx(out[held[1]].base_score)
+    assert out[held[0]].score > out[held[1]].score + 3
