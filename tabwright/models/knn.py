@@ -20,6 +20,12 @@ from tabwright.session import materialise
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 QUERY_CHUNK = 256
+DISTANCE_BYTES = 64 * 1024 * 1024  # largest matrix of distances that a task makes at once
+
+
+def query_chunk(rows: int) -> int:
+    """How many queries meet all training rows at once: their matrix of distances is bounded."""
+    return max(1, min(QUERY_CHUNK, DISTANCE_BYTES // (8 * max(rows, 1))))
 
 
 class _KNNParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol):
@@ -95,6 +101,7 @@ class KNNModel(Model, _KNNParams, MLWritable, MLReadable):
         ids = np.array([r["id"] for r in rows])
         label = np.array([r["label"] for r in rows]).astype(int)
         shared = dataset.sparkSession.sparkContext.broadcast((train, ids, label))
+        chunk = query_chunk(len(rows))
         k, classes, by_distance = self.getOrDefault("k"), self.getOrDefault("classes"), self.getOrDefault("weights") == "distance"
 
         @F.pandas_udf("array<double>")
@@ -102,8 +109,8 @@ class KNNModel(Model, _KNNParams, MLWritable, MLReadable):
             train, ids, label = shared.value
             for batch in batches:
                 result = []
-                for start in range(0, len(batch), QUERY_CHUNK):
-                    query = np.stack(batch.iloc[start : start + QUERY_CHUNK].to_numpy())
+                for start in range(0, len(batch), chunk):
+                    query = np.stack(batch.iloc[start : start + chunk].to_numpy())
                     for near, away in k_nearest(query, train, ids, k):
                         weight = np.ones(len(near))
                         if by_distance:

@@ -8,6 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from tabwright.models import knn
 from tabwright.models.build import TrainFacts, build_model, scored_columns
 from tabwright.models.catalog import list_models
 from tabwright.models.kernel import KernelMap
@@ -114,6 +115,18 @@ def test_neighbours_are_exact_with_a_third_of_the_rows_equal(spark, monkeypatch,
     assert [found[i] for i in range(300)] == _brute(x, 5)
 
 
+def test_neighbour_model_bounds_its_distances(blobs, monkeypatch):
+    assert knn.query_chunk(100) == knn.QUERY_CHUNK
+    for rows in (10_000, 1_400_000, 5_000_000):
+        assert knn.query_chunk(rows) * rows * 8 <= knn.DISTANCE_BYTES
+    model = KNNClassifier(k=7).fit(blobs.where("id % 3 <> 0"))
+    asked = blobs.where("id % 3 = 0").orderBy("id")
+    whole = [(r.prediction, r.probability) for r in model.transform(asked).collect()]
+    monkeypatch.setattr(knn, "DISTANCE_BYTES", 1)
+    assert knn.query_chunk(100) == 1
+    assert [(r.prediction, r.probability) for r in model.transform(asked).collect()] == whole
+
+
 @pytest.mark.parametrize("weights", ["uniform", "distance"])
 def test_neighbour_model_gives_the_same_on_both_paths(blobs, tmp_path, weights):
     model = KNNClassifier(k=7, weights=weights).fit(blobs.where("id % 3 <> 0"))
