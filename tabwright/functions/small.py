@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tabwright.session import materialise
 
 BROADCAST_ROWS = 100_000
+TASK_ROWS = 65_536  # most rows that a task of a training holds
 
 
 def local_frame(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType | str) -> DataFrame:
@@ -45,6 +47,15 @@ def task_count(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(df: DataFrame, limit: int = TASK_ROWS) -> DataFrame:
+    """The rows in even partitions of about ``limit``; as they are if there are no more of them.
+
+    Files of few columns are read by few tasks, whatever the training then holds per row.
+    """
+    parts = math.ceil(df.count() / limit)
+    return df.repartition(parts) if parts > 1 else df
+
+
 def settled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A frame that later uses do not compute again: driver rows if small, else a checkpoint."""
     copy = local_copy(df, limit)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabwright.functions.columns import as_double, ref
 from tabwright.functions.quantiles import exact_medians, exact_quantiles
+from tabwright.functions.small import spread
 from tabwright.operators.encode import label_encode, target_indexer, target_labels, text_columns
 from tabwright.operators.information import neighbour_information
 from tabwright.session import materialise
@@ -95,7 +96,8 @@ def forest_elimination(df: DataFrame, target: str, columns: Sequence[str], k: in
     else:
         filled = filled.withColumn("label", as_double(target))
         forest = RandomForestRegressor(featureSubsetStrategy="all", **options)
-    filled = materialise(filled.select("label", *safe.values()))
+    # The forest holds the number of draws of each row for every tree, so a task must not have many rows.
+    filled = materialise(spread(filled.select("label", *safe.values())))
     left = list(columns)
     while len(left) > k:
         vectors = VectorAssembler(inputCols=[safe[c] for c in left], outputCol="features").transform(filled)

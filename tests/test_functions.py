@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from tabwright.functions import ordering
 from tabwright.functions.counting import top_values, value_counts
 from tabwright.functions.quantiles import exact_medians, exact_quantiles
+from tabwright.functions.small import TASK_ROWS, spread
+from tabwright.operators import select
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
 
@@ -65,3 +67,23 @@ def test_rank_cuts_with_few_rows_per_cell(spark, monkeypatch):
     cuts = {r["cut"]: r["bound"] for r in ordering.rank_cuts(hashed, wanted).collect()}
     ordered = sorted(r[0] for r in hashed.collect())
     assert cuts == {0: ordered[0], 1: ordered[776], 2: ordered[1999]}
+
+
+def test_spread_bounds_the_rows_of_a_task(spark):
+    one = spark.range(1_000).coalesce(1)
+    parts = spread(one, 300).rdd.glom().map(len).collect()
+    assert sum(parts) == 1_000 and max(parts) <= 300
+    assert spread(one, 1_000).rdd.getNumPartitions() == 1
+
+
+def test_elimination_spreads_the_rows_of_its_forest(spark, monkeypatch):
+    seen = []
+
+    def kept(df):
+        seen.append(df.rdd.getNumPartitions())
+        return df.limit(100)
+
+    monkeypatch.setattr(select, "materialise", kept)
+    rows = spark.range(2 * TASK_ROWS).coalesce(1).select("id", (F.col("id") % 7).alias("b"), (F.col("id") % 3).alias("y"))
+    assert len(select.forest_elimination(rows, "y", ["id", "b"], 1, "regression")) == 1
+    assert seen == [2]
