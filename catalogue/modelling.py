@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalogue.registry import query, table
+from tabwright.functions.small import spread
 from tabwright.models.boosting import BoostedTrees
 from tabwright.models.build import TrainFacts, build_model, scored_columns
 from tabwright.models.catalog import list_models
@@ -172,7 +173,7 @@ def _model_run(name: str, task: str):
             rows, target, numbers, texts, key = _parts(spark, sf_dir), "p_retailprice", ["p_size"], ["p_brand", "p_type"], "p_partkey"
         ready, labels = prepare_rows(rows.persist(), target, task, [key])
         train, test = split_rows(ready, task, [key], 0.2, 5)
-        train = train.persist()
+        train, test = spread(train).persist(), spread(test).persist()
         stages = prep.fit_preprocessing(train, numbers, texts)
         vectors = stages.transform(train).select("features", "label").persist()
         facts = TrainFacts.of(vectors, task)
@@ -206,7 +207,7 @@ _FOLDS_SQL = (
 def cross_validation(spark, sf_dir):
     """Fold scores of a linear regression whose preprocessing is learned within each fold."""
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("x"), F.col("p_retailprice").alias("label"))
-    folded = kfold(rows, ["p_partkey"]).persist()
+    folded = spread(kfold(rows, ["p_partkey"])).persist()
     frames = fold_frames(folded, lambda d: prep.fit_preprocessing(d, ["x"], []), "regression", 5)
     scores = cross_validate("LinearRegression", "regression", {}, frames, "rmse", 0)
     return spark.createDataFrame([(i, round(s, 5)) for i, s in enumerate(scores)], "fold int, rmse double")
@@ -214,7 +215,8 @@ def cross_validation(spark, sf_dir):
 
 @query("tune_ridge")
 def tune_ridge(spark, sf_dir):
-    folded = kfold(_parts(spark, sf_dir).withColumn("label", F.col("p_retailprice")), ["p_partkey"], 3).persist()
+    folded = kfold(_parts(spark, sf_dir).withColumn("label", F.col("p_retailprice")), ["p_partkey"], 3)
+    folded = spread(folded).persist()
     frames = fold_frames(folded, lambda d: prep.fit_preprocessing(d, ["p_size"], ["p_brand"]), "regression", 3)
     found = tune("Ridge", "regression", frames, "rmse", trials=4, prune=False)
     rows = [(t.number, float(t.params["alpha"]), float(t.mean), t.params == found.params) for t in found.trials]
@@ -225,7 +227,7 @@ def tune_ridge(spark, sf_dir):
 def tune_search(spark, sf_dir):
     """The default search, 20 trials over five folds, of a logistic regression on the graded documents."""
     rows = _graded_documents(spark, sf_dir).withColumn("label", F.col("quality").cast("double"))
-    folded = stratified_kfold(rows, "label", ["doc_id"]).persist()
+    folded = spread(stratified_kfold(rows, "label", ["doc_id"])).persist()
     frames = fold_frames(folded, lambda d: prep.fit_preprocessing(d, _DOC_NUMBERS, _DOC_TEXTS), "classification", 5)
     found = tune("LogisticRegression", "classification", frames, "f1_weighted", 2)
     rows = [(t.number, float(t.params["C"]), t.state, len(t.folds), float(t.mean), t.params == found.params) for t in found.trials]

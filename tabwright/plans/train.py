@@ -11,6 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from tabwright.functions.columns import as_double, fold_nan, ref
+from tabwright.functions.small import spread
 from tabwright.models.build import TrainFacts, build_model, scored_columns
 from tabwright.operators.board import board_rows
 from tabwright.operators.encode import target_indexer, target_labels, target_names
@@ -136,7 +137,7 @@ def train_all(
     check_rows(df, folds=folds)
     rows, labels = prepare_rows(df, target, task, key)
     train, test = split_rows(rows, task, list(key or [ROW_ID]), share, folds, seed)
-    train, test = train.persist(), test.persist()
+    train, test = spread(train).persist(), spread(test).persist()
     prep = fit_prep(train)
     vectors = prep.transform(train).select("features", "label").persist()
     test_vectors = prep.transform(test).select("features", "label").persist()

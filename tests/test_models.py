@@ -280,3 +280,32 @@ def test_failed_run_is_recorded(spark, tmp_path):
     with pytest.raises(ValueError, match="no column z"):
         run(spark.range(20), {"dataset_settings": {"target_column": "z"}}, store)
     assert store.current_run()["status"] == "failed" and "no column z" in store.current_run()["message"]
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_training_spreads_the_rows_of_few_files(spark, tmp_path, monkeypatch, whole):
+    """A model sees even partitions, whether it is trained alone or among others."""
+    from catalogue import QUERIES, modelling
+    from tabwright.functions.small import TASK_ROWS
+    from tabwright.operators import prep
+    from tabwright.plans import train
+
+    class Seen(Exception):
+        pass
+
+    class Stub:
+        def fit(self, vectors):
+            raise Seen(vectors.rdd.getNumPartitions())
+
+    for module in (modelling, train):
+        monkeypatch.setattr(module, "build_model", lambda *_: Stub())
+    rows = spark.range(2 * TASK_ROWS).coalesce(1).selectExpr(
+        "id AS p_partkey", "CAST(id % 50 AS INT) AS p_size", "CONCAT('b', id % 3) AS p_brand", "CONCAT('t', id % 2) AS p_type", "id % 9 + 0.5D AS p_retailprice"
+    )
+    with pytest.raises(Seen) as seen:
+        if whole:
+            train.train_all(rows, "p_retailprice", "regression", ["Ridge"], lambda d: prep.fit_preprocessing(d, ["p_size"], ["p_brand"]), trials=0, key=["p_partkey"])
+        else:
+            rows.write.parquet(f"{tmp_path}/part.parquet")
+            QUERIES["model_board_SVR"](spark, str(tmp_path))
+    assert seen.value.args[0] >= 2
