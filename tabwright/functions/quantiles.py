@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -98,16 +100,17 @@ def _narrow(df: DataFrame, slots: list[_Slot], bracket_rows: int) -> bool:
                 wanted += [start, stop]
         sketches.append(F.percentile_approx(F.when(b.holds(), as_double(b.column)), wanted, SKETCH_ACCURACY))
     bounds = df.agg(*sketches).first()
-    tallies, guesses = [], []
-    for s in full:
-        i, j = places[id(s)]
-        low, high = bounds[i][j], bounds[i][j + 1]
-        value = as_double(s.bracket.column)
-        guesses.append((low, high))
+    guesses = [(bounds[i][j], bounds[i][j + 1]) for i, j in (places[id(s)] for s in full)]
+    # Slots of a column with few values share their bounds, which are counted once.
+    counted = {key: k for k, key in enumerate(dict.fromkeys((s.bracket.column, *g) for s, g in zip(full, guesses)))}
+    tallies = []
+    for c, low, high in counted:
+        value = as_double(c)
         tallies += [F.count_if(value < F.lit(low)), F.count_if(value.between(F.lit(low), F.lit(high)))]
     tally = df.agg(*[t.alias(f"t{k}") for k, t in enumerate(tallies)]).first()
     shrunk = False
-    for k, (s, (low, high)) in enumerate(zip(full, guesses)):
+    for s, (low, high) in zip(full, guesses):
+        k = counted[s.bracket.column, low, high]
         below, inside = tally[2 * k], tally[2 * k + 1]
         if below <= s.rank_low and s.rank_high < below + inside < below + s.bracket.inside:
             s.bracket = _Bracket(s.bracket.column, low, high, below, inside)
@@ -116,31 +119,41 @@ def _narrow(df: DataFrame, slots: list[_Slot], bracket_rows: int) -> bool:
 
 
 def _ranked_values(df: DataFrame, slots: list[_Slot]) -> dict[tuple[str, float], float]:
-    """Read the order statistics of every slot from the value counts inside its bracket."""
+    """Read the order statistics of every slot from the value counts inside its bracket.
+
+    A bracket of one value needs no counting, and rows outside all brackets are left out before they are laid out.
+    """
     brackets = list(dict.fromkeys(s.bracket for s in slots))
+    values = {(i, r - b.below): b.low + 0.0 for i, b in enumerate(brackets) if not b.open for s in slots if s.bracket == b for r in (s.rank_low, s.rank_high)}
+    spans = {i: b for i, b in enumerate(brackets) if b.open}
+    if spans:
+        values |= _counted_values(df, slots, spans)
+    result = {}
+    for s in slots:
+        i = brackets.index(s.bracket)
+        low, high = values[i, s.rank_low - s.bracket.below], values[i, s.rank_high - s.bracket.below]
+        result[s.bracket.column, s.prob] = low + (high - low) * s.weight
+    return result
+
+
+def _counted_values(df: DataFrame, slots: list[_Slot], brackets: dict[int, _Bracket]) -> dict[tuple[int, int], float]:
+    """The values at the wanted places inside each bracket."""
+    inside = reduce(or_, (b.holds() for b in brackets.values()))
     entries = F.array(
         *[
             F.when(b.holds(), F.struct(F.lit(i).alias("b"), as_double(b.column).alias("value")))
-            for i, b in enumerate(brackets)
+            for i, b in brackets.items()
         ]
     )
-    counted = df.select(F.inline(entries)).where(F.col("b").isNotNull()).groupBy("b", "value").agg(
+    counted = df.where(inside).select(F.inline(entries)).where(F.col("b").isNotNull()).groupBy("b", "value").agg(
         F.count(F.lit(1)).alias("n")
     )
     upto = Window.partitionBy("b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     last = (F.sum("n").over(upto) - 1).alias("last")
     ranked = counted.select("b", "value", "n", last).withColumn("first", F.col("last") - F.col("n") + 1)
-    ranks = {i: sorted({r - b.below for s in slots if s.bracket == b for r in (s.rank_low, s.rank_high)}) for i, b in enumerate(brackets)}
+    ranks = {i: sorted({r - b.below for s in slots if s.bracket == b for r in (s.rank_low, s.rank_high)}) for i, b in brackets.items()}
     wanted = F.create_map(*[part for i, rs in ranks.items() for part in (F.lit(i), F.array(*[F.lit(r) for r in rs]))])
     hits = ranked.where(
         F.exists(wanted[F.col("b")], lambda r: (r >= F.col("first")) & (r <= F.col("last")))
     ).collect()
-    values = {
-        (h["b"], r): h["value"] for h in hits for r in ranks[h["b"]] if h["first"] <= r <= h["last"]
-    }
-    result = {}
-    for s in slots:
-        i = brackets.index(s.bracket)
-        low, high = values[i, s.rank_low - s.bracket.below], values[i, s.rank_high - s.bracket.below]
-        result[s.bracket.column, s.prob] = low + (high - low) * s.weight
-    return result
+    return {(h["b"], r): h["value"] for h in hits for r in ranks[h["b"]] if h["first"] <= r <= h["last"]}

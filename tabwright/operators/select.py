@@ -58,8 +58,8 @@ def mutual_information(df: DataFrame, target: str, columns: Sequence[str], task:
     """
     columns = list(columns)
     coded = label_encode(df.where(ref(target).isNotNull()), [c for c in text_columns(df) if c in columns])
-    binned = _bins(coded, columns)
-    goal = ref(target).cast("string") if task == "classification" else _bins(coded, [target])[target].cast("string")
+    binned = _bins(coded, columns if task == "classification" else list(dict.fromkeys([*columns, target])))
+    goal = (ref(target) if task == "classification" else binned[target]).cast("string")
     cells = (
         coded.select(goal.alias("_class"), *[binned[c].alias(c) for c in columns])
         .unpivot(["_class"], [ref(c) for c in columns], "feature", "bin")

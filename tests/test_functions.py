@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabwright.functions import ordering
+from tabwright.functions import ordering, quantiles
 from tabwright.functions.counting import top_values, value_counts
 from tabwright.functions.quantiles import exact_medians, exact_quantiles
 from tabwright.functions.small import TASK_ROWS, spread
@@ -87,3 +87,29 @@ def test_elimination_spreads_the_rows_of_its_forest(spark, monkeypatch):
     rows = spark.range(2 * TASK_ROWS).coalesce(1).select("id", (F.col("id") % 7).alias("b"), (F.col("id") % 3).alias("y"))
     assert len(select.forest_elimination(rows, "y", ["id", "b"], 1, "regression")) == 1
     assert seen == [2]
+
+
+def test_ranking_lays_out_no_rows_outside_the_brackets(spark, monkeypatch):
+    """A column of few values has brackets of one value, which need no counting; of others only the rows inside are laid out."""
+    laid = []
+    inline = F.inline
+
+    def seen(column):
+        laid.append(column)
+        return inline(column)
+
+    monkeypatch.setattr(quantiles.F, "inline", seen)
+    rows = spark.range(40_000).selectExpr("CAST(id % 3 AS DOUBLE) AS few", "CAST(id AS DOUBLE) AS many")
+    probs = [0.1, 0.5, 0.9]
+    assert exact_quantiles(rows, ["few"], probs, bracket_rows=100) == {"few": [0.0, 1.0, 2.0]}
+    assert not laid
+    brackets = []
+    counted = quantiles._counted_values
+
+    def kept(df, slots, spans):
+        brackets.extend(spans.values())
+        return counted(df, slots, spans)
+
+    monkeypatch.setattr(quantiles, "_counted_values", kept)
+    assert exact_quantiles(rows, ["many"], probs, bracket_rows=100)["many"] == pytest.approx([p * 39_999 for p in probs])
+    assert len(laid) == 1 and sum(b.inside for b in brackets) < 400
