@@ -1,9 +1,11 @@
 """Exact k nearest neighbours as a Spark join, pruned with the triangle inequality.
 
-Training vectors are grouped into cells around a bounded number of pivots and packed into blocks
-of bounded size. A query visits only the cells that can hold one of its neighbours. Queries are
-packed as well, so the join moves pairs of blocks and each pair yields only the ``k`` best per
-query. A cell that holds much of the table has many blocks and so spreads over many tasks.
+Training vectors are grouped into cells around a bounded number of pivots; a query visits only the
+cells that can hold one of its neighbours. Both sides are cut into shares of bounded bytes and each
+share of queries meets each share of training vectors once, so a vector is sent as often as the
+other side has shares, however many cells are visited. A cell that holds much of the table is in
+several shares. Up to ``SHARES`` times ``SHARE_BYTES`` on a side the number of shares is fixed, and
+what is sent grows as the tables do.
 """
 
 from __future__ import annotations
@@ -13,12 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tabwright.functions.small import local_frame
 
 TRAIN_BLOCK = 4_096
 QUERY_BLOCK = 512
+SHARES = 8
+SHARE_BYTES = 64 * 1024 * 1024  # most bytes of vectors that a task holds of either side
 MAX_PIVOTS = 256
 SLACK = 1e-9
 
@@ -97,8 +102,17 @@ def nearest_neighbours(
     high = np.array([cells[c]["high"] for c in used])
     need = k + int(exclude_self)
 
-    @F.pandas_udf("array<int>")
-    def visits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # Blocks of cells are dealt to the shares of the training rows in turn, so that a crowded cell is in several.
+    shares = sides(rows, len(pivots[0]))
+    parts = sides(asked.count(), len(pivots[0]))
+    block_count = [math.ceil(n / TRAIN_BLOCK) for n in sizes]
+    first = np.cumsum([0, *block_count[:-1]])
+    held = np.zeros((len(used), shares), bool)
+    for j, n in enumerate(block_count):
+        held[j, (first[j] + np.arange(min(n, shares))) % shares] = True
+
+    @F.pandas_udf("struct<cells binary, shares array<int>>")
+    def visits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             d = np.sqrt(squared_distances(np.stack(batch.to_numpy()), centres))
             reach = d + high
@@ -106,49 +120,93 @@ def nearest_neighbours(
             enough = np.argmax(np.cumsum(sizes[order], axis=1) >= min(need, sizes.sum()), axis=1)
             bound = reach[np.arange(len(d)), order[np.arange(len(d)), enough]] * (1 + 1e-6) + 1e-6
             keep = (d - high <= bound[:, None]) & (low - d <= bound[:, None])
-            yield pd.Series([[used[j] for j in np.flatnonzero(row)] for row in keep])
-
-    block_count = {c: math.ceil(cells[c]["n"] / TRAIN_BLOCK) for c in used}
-    blocks_of = F.create_map(*[x for c in used for x in (F.lit(c), F.lit(block_count[c]))])
-    pack = [F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("flat")]
-    train_blocks = (
-        placed.withColumn("block", F.pmod(F.xxhash64("id"), blocks_of[F.col("cell")]).cast("int"))
-        .groupBy("cell", "block")
-        .agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-        .select("cell", "block", *[c.alias(f"t_{n}") for c, n in zip(pack, ("ids", "flat"))])
+            met = keep.astype(np.int32) @ held.astype(np.int32) > 0
+            yield pd.DataFrame(
+                {"cells": [r.tobytes() for r in np.packbits(keep, axis=1)], "shares": [np.flatnonzero(r).astype("int32") for r in met]}
+            )
+
+    at = F.create_map(*[x for j, c in enumerate(used) for x in (F.lit(c), F.lit(j))])[F.col("cell")]
+    block = F.pmod(F.xxhash64("id"), F.array(*[F.lit(n) for n in block_count])[F.col("at")])
+    share = F.pmod(F.array(*[F.lit(int(f)) for f in first])[F.col("at")] + block, F.lit(shares))
+    train_side = placed.withColumn("at", at).select(
+        "id", "v", "at", F.explode(F.sequence(share * parts, share * parts + (parts - 1))).alias("slot")
     )
-    spread = asked.select("id", "v", F.explode(visits("v")).alias("cell"))
-    load = {r["cell"]: r["n"] for r in spread.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts_of = F.create_map(*[x for c in used for x in (F.lit(c), F.lit(math.ceil(load.get(c, 1) / QUERY_BLOCK)))])
-    query_blocks = (
-        spread.withColumn("part", F.pmod(F.xxhash64("id"), parts_of[F.col("cell")]).cast("int"))
-        .groupBy("cell", "part")
-        .agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-        .select("cell", *[c.alias(f"q_{n}") for c, n in zip(pack, ("ids", "flat"))])
-        .withColumn("block", F.explode(F.sequence(F.lit(0), blocks_of[F.col("cell")] - 1)))
+    query_side = (
+        asked.select("id", "v", visits("v").alias("_m"))
+        .select("id", "v", "_m.cells", F.explode("_m.shares").alias("share"))
+        .select("id", "v", "cells", (F.col("share") * parts + F.pmod(F.xxhash64("id"), F.lit(parts))).alias("slot"))
+    )
+    slots = 2 * shares * parts
+    meet = _best_of_share(k, len(used), exclude_self)
+    candidates = (
+        query_side.repartition(slots, "slot")
+        .groupBy("slot")
+        .cogroup(train_side.repartition(slots, "slot").groupBy("slot"))
+        .applyInArrow(meet, "id bigint, neighbour_id bigint, distance double")
+        .withColumnRenamed("id", query_id)
     )
-
-    def best_of_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for q_ids, q_flat, t_ids, t_flat in zip(batch["q_ids"], batch["q_flat"], batch["t_ids"], batch["t_flat"]):
-                q_ids, t_ids = np.asarray(q_ids), np.asarray(t_ids)
-                q, t = np.asarray(q_flat).reshape(len(q_ids), -1), np.asarray(t_flat).reshape(len(t_ids), -1)
-                hits = list(k_nearest(q, t, t_ids, k, q_ids if exclude_self else None))
-                yield pd.DataFrame(
-                    {
-                        query_id: np.repeat(q_ids, [len(h) for h, _ in hits]),
-                        "neighbour_id": np.concatenate([t_ids[h] for h, _ in hits]),
-                        "distance": np.concatenate([d for _, d in hits]),
-                    }
-                )
-
-    pairs = query_blocks.join(train_blocks, ["cell", "block"]).select("q_ids", "q_flat", "t_ids", "t_flat")
-    candidates = pairs.mapInPandas(best_of_blocks, f"{query_id} bigint, neighbour_id bigint, distance double")
     order = Window.partitionBy(query_id).orderBy("distance", "neighbour_id")
     ranked = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(query_id, "rank", "neighbour_id", "distance")
 
 
+def sides(rows: int, width: int) -> int:
+    """Into how many shares one side is cut: as many as keep the cores busy, more once a share would exceed its bytes."""
+    return max(1, min(SHARES, math.ceil(rows / TRAIN_BLOCK)), math.ceil(rows * (width + 2) * 8 / SHARE_BYTES))
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    flat = pa.concat_arrays([c.flatten() for c in table.column("v").chunks])
+    return flat.to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+
+def _best_of_share(k: int, cells: int, exclude_self: bool):
+    """The ``k`` best of a share of the training rows for each of the queries that came to it.
+
+    Only queries with a training row as near as their ``k``-th best so far are measured again term by term.
+    """
+
+    def run(asked: pa.Table, train: pa.Table) -> pa.Table:
+        found = {"id": np.zeros(0, np.int64), "neighbour_id": np.zeros(0, np.int64), "distance": np.zeros(0)}
+        if asked.num_rows and train.num_rows:
+            q, t = _matrix(asked), _matrix(train)
+            q_ids, t_ids = (x.column("id").to_numpy() for x in (asked, train))
+            packed = np.frombuffer(b"".join(asked.column("cells").to_pylist()), np.uint8).reshape(len(q), -1)
+            cell = train.column("at").to_numpy()
+            best, near = np.full((len(q), k), np.inf), np.zeros((len(q), k), np.int64)
+            for c in np.unique(cell):
+                inside = np.flatnonzero(cell == c)
+                wanted = np.flatnonzero(packed[:, c >> 3] & (128 >> (c & 7)))
+                for rows in (inside[i : i + TRAIN_BLOCK] for i in range(0, len(inside), TRAIN_BLOCK)):
+                    some, ids = t[rows], t_ids[rows]
+                    for start in range(0, len(wanted), QUERY_BLOCK):
+                        _closer(q, wanted[start : start + QUERY_BLOCK], q_ids, some, ids, k, exclude_self, best, near)
+            row, place = np.nonzero(np.isfinite(best))
+            found = {"id": q_ids[row], "neighbour_id": near[row, place], "distance": best[row, place]}
+        return pa.table(found)
+
+    return run
+
+
+def _closer(q, at, q_ids, train, ids, k: int, exclude_self: bool, best: np.ndarray, near: np.ndarray) -> None:
+    """Put those of ``train`` that are nearer than the known neighbours of the queries ``at`` among them."""
+    fast = squared_distances(q[at], train)
+    if exclude_self:
+        fast[q_ids[at][:, None] == ids[None, :]] = np.inf
+    scale = np.abs(q[at]).max(initial=0.0) + np.abs(train).max(initial=0.0)
+    tolerance = SLACK * (1.0 + scale * scale * q.shape[1])
+    bound = best[at, -1] ** 2 + tolerance
+    if len(train) > k:
+        bound = np.minimum(bound, np.partition(fast, k - 1, axis=1)[:, k - 1] + tolerance) if np.isinf(bound).any() else bound
+    hits = (fast <= bound[:, None]) & np.isfinite(fast)
+    for i in np.flatnonzero(hits.any(axis=1)):
+        row, some = at[i], np.flatnonzero(hits[i])
+        exact = np.concatenate([best[row], np.sqrt(((train[some] - q[row]) ** 2).sum(axis=1))])
+        both = np.concatenate([near[row], ids[some]])
+        order = np.lexsort((both, exact))[:k]
+        best[row], near[row] = exact[order], both[order]
+
+
 def vote(neighbours: DataFrame, labels: DataFrame, query_id: str, classes: int, weights: str = "uniform") -> DataFrame:
     """``(query_id, prediction, scores)`` from neighbours and their ``(neighbour_id, label)``.
 
