@@ -137,7 +137,7 @@ def nearest_neighbours(
         .select("id", "v", "cells", (F.col("share") * parts + F.pmod(F.xxhash64("id"), F.lit(parts))).alias("slot"))
     )
     slots = 2 * shares * parts
-    meet = _best_of_share(k, len(used), exclude_self)
+    meet = _best_of_share(k, exclude_self)
     candidates = (
         query_side.repartition(slots, "slot")
         .groupBy("slot")
@@ -160,7 +160,7 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
 
 
-def _best_of_share(k: int, cells: int, exclude_self: bool):
+def _best_of_share(k: int, exclude_self: bool):
     """The ``k`` best of a share of the training rows for each of the queries that came to it.
 
     Only queries with a training row as near as their ``k``-th best so far are measured again term by term.
@@ -196,8 +196,8 @@ def _closer(q, at, q_ids, train, ids, k: int, exclude_self: bool, best: np.ndarr
     scale = np.abs(q[at]).max(initial=0.0) + np.abs(train).max(initial=0.0)
     tolerance = SLACK * (1.0 + scale * scale * q.shape[1])
     bound = best[at, -1] ** 2 + tolerance
-    if len(train) > k:
-        bound = np.minimum(bound, np.partition(fast, k - 1, axis=1)[:, k - 1] + tolerance) if np.isinf(bound).any() else bound
+    if len(train) > k and np.isinf(bound).any():
+        bound = np.minimum(bound, np.partition(fast, k - 1, axis=1)[:, k - 1] + tolerance)
     hits = (fast <= bound[:, None]) & np.isfinite(fast)
     for i in np.flatnonzero(hits.any(axis=1)):
         row, some = at[i], np.flatnonzero(hits[i])

@@ -2,6 +2,7 @@ from itertools import combinations
 from math import factorial
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -115,6 +116,25 @@ def test_neighbours_are_exact_with_a_third_of_the_rows_equal(spark, monkeypatch,
     assert [found[i] for i in range(300)] == _brute(x, 5)
 
 
+def test_queries_are_sent_once_for_each_share(spark, monkeypatch):
+    """However many cells a query visits, the shares of the training rows bound how often it is sent."""
+
+    def met(k, exclude_self):
+        def run(asked, train):
+            rows = asked.num_rows
+            return pa.table({"id": asked.column("id"), "neighbour_id": np.full(rows, train.num_rows), "distance": np.zeros(rows)})
+
+        return run
+
+    monkeypatch.setattr(neighbours, "TRAIN_BLOCK", 4)
+    monkeypatch.setattr(neighbours, "_best_of_share", met)
+    x = np.random.default_rng(3).normal(size=(400, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, v array<double>")
+    rows = nearest_neighbours(df, df, 399, "id", "id", "v").groupBy("id").agg(F.count("*").alias("sent"), F.sum("neighbour_id").alias("seen")).collect()
+    assert len(rows) == 400
+    assert all(r["sent"] == neighbours.SHARES and r["seen"] == 400 for r in rows)
+
+
 def test_neighbour_model_bounds_its_distances(blobs, monkeypatch):
     assert knn.query_chunk(100) == knn.QUERY_CHUNK
     for rows in (10_000, 1_400_000, 5_000_000):
