@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,22 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
+def gathered(table: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of ``table``, each from its beginning on and so long, one after another."""
+    before = np.cumsum(sizes) - sizes
+    return table[np.arange(sizes.sum()) + np.repeat(begins - before, sizes)]
+
+
+def parts_of(batch: pa.RecordBatch, most: int):
+    """The rows of a batch in order, cut where a part has so many bytes of text, or more by its last row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+    number = (np.cumsum(sizes) - sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def record(fields, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[name], kind) for name, kind in fields], [name for name, _ in fields])
 

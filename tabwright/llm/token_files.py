@@ -12,22 +12,29 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabwright.llm.bpe import byte_letters
-from tabwright.llm.blocks import expand_array, kept, record, squeeze_array, text_bytes
+from tabwright.llm.blocks import expand_array, gathered, kept, parts_of, record, squeeze_array
 from tabwright.session import scratch_path
 
 SHARD_IDS = 1 << 20
 ROUNDS = 6
 LEAST = 16
+SLOT_BITS = 18
 CACHE_WORDS = 600_000
-# Lower-case letters up to white space, a full stop or a comma; a single one of these; whatever else is not space.
+LONG_WORD = 64  # bytes of a word whose ids are kept
+PART_BYTES = 8 << 20  # of texts that are split and encoded together
+# Lower-case letters, of which a word's ids need the merges alone.
 NORMAL = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+"
-LETTERS = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++(?![^\s.,])|[.,](?!\S)|\S+"
+LETTER, SIGN, APOSTROPHE = 1, 2, 3
+KINDS = np.array([SIGN if b < 128 else 0 for b in range(256)], np.uint8)  # of a byte of a word
+KINDS[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = LETTER
+KINDS[ord("'")] = APOSTROPHE
 FILE = [
     ("shard", pa.int64()),
     ("first", pa.int64()),
@@ -42,6 +49,22 @@ FILE = [
 FILE_SCHEMA = ", ".join(f"{name} {'binary' if kind == pa.binary() else 'long'}" for name, kind in FILE)
 
 
+def found(keys: np.ndarray, wanted: np.ndarray, bits: int = SLOT_BITS) -> np.ndarray:
+    """Where each wanted number is among the sorted keys; of numbers that aren't there, any place.
+
+    Keys lie in slots by a hash; those whose slot another one took are searched for by halving.
+    """
+    odd, shift, own = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - bits), np.arange(len(keys), dtype=np.int32)
+    slots, slot = np.zeros(1 << bits, np.int32), keys.view(np.uint64) * odd >> shift
+    slots[slot] = own
+    at = slots[wanted.view(np.uint64) * odd >> shift]
+    lost = np.flatnonzero(slots[slot] != own)
+    if len(lost):
+        rest = np.flatnonzero(keys[at] != wanted)
+        at[rest] = lost[np.minimum(np.searchsorted(keys[lost], wanted[rest]), len(lost) - 1)]
+    return at
+
+
 def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, least: int = LEAST):
     """Sequence, where documents begin in it, rules (two symbols each) and expansion lengths of the rules.
 
@@ -75,7 +98,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, least: i
         first_of[keys >> 32], second_of[keys & 0xFFFFFFFF] = True, True
         place = np.flatnonzero(inner & first_of[sequence[:-1]] & second_of[sequence[1:]])
         wanted = pairs[place]
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        at = found(keys, wanted)
         real = keys[at] == wanted
         place, at = place[real], at[real]
         # Of a run of overlapping candidates the local tops go; equal neighbours alternate from the left.
@@ -125,12 +148,36 @@ def expand_all(sequence: np.ndarray, base: int, rules: np.ndarray, lengths: np.n
     sizes = np.concatenate([np.ones(base, np.int64), lengths])
     begins = np.cumsum(sizes) - sizes
     size = sizes[sequence]
-    before = np.cumsum(size) - size
-    return table[np.arange(size.sum()) + np.repeat(begins[sequence] - before, size)], size
+    return gathered(table, begins[sequence], size), size
+
+
+def words_of(texts: pa.Array, whole: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts, cut at white space, and where each text's words begin and end.
+
+    They are cut where letters and other signs of ASCII or Latin-1 meet as well, but in texts marked ``whole`` and after an
+    apostrophe, which may belong to the letters behind it.
+    """
+    split = pc.ascii_split_whitespace(texts)
+    flat = split.flatten()
+    offsets = np.frombuffer(flat.buffers()[1], np.int32)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
+    data = np.frombuffer(flat.buffers()[2] or b"", np.uint8)[: offsets[-1]]
+    bounds = offsets[split.offsets.to_numpy()]
+    kinds = KINDS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # two signs among the letters
+    kinds[lead], kinds[lead + 1] = LETTER, LETTER
+    starts = np.zeros(len(data) + 1, bool)
+    starts[1:-1] = (kinds[:-1] == LETTER) & (kinds[1:] >= SIGN) | (kinds[:-1] == SIGN) & (kinds[1:] == LETTER)
+    if whole.any():
+        starts[:-1] &= ~np.repeat(whole, np.diff(bounds))
+    starts[offsets] = True  # an empty word has no place of its own
+    places = np.flatnonzero(starts)
+    words = pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(data)])
+    return words, np.searchsorted(places, bounds)
 
 
 class WordEncoder(dict):
-    """Ids of words by the tokenizers library, each word looked up once.
+    """Ids of words by the tokenizers library, each distinct word of some texts looked up once.
 
     The vocabulary drops white space and splits at every change between letters and other signs, so a text's ids
     are those of its words. Words in normal form already need the library's merges alone, the others all of it.
@@ -147,7 +194,6 @@ class WordEncoder(dict):
         self.normal = re.compile(NORMAL).fullmatch
         self.written = {byte: letter for letter, byte in byte_letters().items()}  # as the vocabulary writes bytes
         self.packed = [n.to_bytes(4, "little") for n in range(max(self.library.get_vocab().values()) + 1)]
-        self.words = re.compile(LETTERS)
 
     def __missing__(self, word: bytes) -> bytes:
         packed = self.packed
@@ -156,25 +202,29 @@ class WordEncoder(dict):
             ids = b"".join([packed[t.id] for t in self.merge(letters)])
         else:
             ids = b"".join([packed[n] for n in self.library.encode(word.decode(), add_special_tokens=False).ids])
-        self[word] = ids
+        if len(word) <= LONG_WORD:  # longer ones are rare, unless a text has no white space
+            self[word] = ids
         return ids
 
-    def split(self, text: bytes) -> list[bytes]:
-        # Added tokens are found before lower-casing, so texts that may hold one stay as they are.
-        return self.words.findall(text if b"<|" in text else text.lower())
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each text has; a null text has none."""
         if len(self) > CACHE_WORDS:
             self.clear()
-        return [b"".join(map(self.__getitem__, self.split(t))) for t in texts]
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        # Added tokens are found before lower-casing, so texts that may hold one stay as they are.
+        whole = pc.match_substring(texts, "<|")
+        words, bounds = words_of(pc.if_else(whole, texts, pc.ascii_lower(texts)), whole.to_numpy(zero_copy_only=False))
+        coded = words.dictionary_encode()
+        packed = [self[w] for w in coded.dictionary.to_pylist()]
+        lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        word = coded.indices.to_numpy()
+        sizes = lengths[word]
+        ids = gathered(np.frombuffer(b"".join(packed), "<u4"), (np.cumsum(lengths) - lengths)[word], sizes)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(sizes)])[bounds])
 
 
 def _writer(path: str, end_id: int, shard_ids: int):
-    tail = end_id.to_bytes(4, "little")
-
-    def shard_row(number, docs, encoded):
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
-        ids = np.frombuffer(b"".join(encoded), "<u4")
+    def shard_row(number, docs, ids, sizes):
         sequence, begins, base, rules, lengths = compress(ids, np.cumsum(sizes) - sizes)
         return record(
             FILE,
@@ -191,19 +241,24 @@ def _writer(path: str, end_id: int, shard_ids: int):
 
     def write(batches):
         encoder = kept("word encoder", path, lambda: WordEncoder(path))
-        number, docs, encoded, size = 0, [], [], 0
+        number, docs, ids, sizes, size = 0, [], [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(text_bytes(part.column(1))), strict=True):
-                    docs.append(doc_id)
-                    encoded.append(ids + tail)
-                    size += len(ids) // 4 + 1
-                    if size >= shard_ids:
-                        yield shard_row(number, docs, encoded)
-                        number, docs, encoded, size = number + 1, [], [], 0
+            for part in parts_of(batch, PART_BYTES):
+                encoded, own = encoder.encode(part.column(1))
+                ends = np.cumsum(own)
+                encoded, own = np.insert(encoded, ends, end_id), own + 1
+                ends, begin, at = np.cumsum(own), 0, 0
+                # A shard ends with the document that fills it.
+                while (stop := int(np.searchsorted(ends, (ends[at - 1] if at else 0) + shard_ids - size)) + 1) <= len(own):
+                    docs += part.column(0)[at:stop].to_pylist()
+                    yield shard_row(number, docs, np.concatenate([*ids, encoded[begin : ends[stop - 1]]]), np.concatenate([*sizes, own[at:stop]]))
+                    number, docs, ids, sizes, size, begin, at = number + 1, [], [], [], 0, int(ends[stop - 1]), stop
+                docs += part.column(0)[at:].to_pylist()
+                ids.append(encoded[begin:])
+                sizes.append(own[at:])
+                size += len(encoded) - begin
         if docs:
-            yield shard_row(number, docs, encoded)
+            yield shard_row(number, docs, np.concatenate(ids), np.concatenate(sizes))
 
     return write
 

@@ -5,12 +5,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from tabwright.llm.bpe import PairIndexEncoder, encode_decode, newer_signs
 from tabwright.llm.queries import QUERIES, vocabulary
-from tabwright.llm.token_files import FILE_SCHEMA, compress, expand_symbols, read_document, read_files, through_files, write_files
+from tabwright.llm.token_files import FILE_SCHEMA, WordEncoder, compress, expand_symbols, read_document, read_files, through_files, write_files
 
 SCHEMA = "doc_id long, text string, ids string, start int"
 ODD = [None, "", " ", "<|endoftext|>", "A<|endoftext|>b <|ENDOFTEXT|> <|startoftext|>x", "aaaa" * 300, "\n\n\t  x \x01 y\x01z", "the., a,b 3.14 vié, vié.́ x", "été É ǅ İ", "x" * 200_000]
@@ -87,6 +88,36 @@ def test_token_files_equal_the_library(spark, tmp_path, parts):
     assert [zlib.crc32(i.astype("<u4").tobytes()) for i in ids] == [e[3] for e in expected[skip : skip + len(ids)]]
 
 
+def test_words_cut_at_signs_are_the_library_s():
+    path = vocabulary("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), WordEncoder(path)
+    rng = random.Random(4)
+    signs = [*"abzAZ019'\"!.,<>|=_-", "'s", "'re", "'LL", "é", "É", "ß", "×", "÷", "ÿ", "\u0301", "\u0338", "\u0345", "Σ", "ς", "ж", "漢", "🎉", " ", "\n", "\x1c", "\x85", "\xa0", "\u200b", "İ", "ǅ", "½", "٣"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += [None, "x<|endoftext|>'s a.<|startoftext|>", "<|ENDOFTEXT|>b.c", "don't,'tis 'twas!'re..."]
+    for part in (texts, texts[::-1], [t for t in texts if t and "<|" in t], [None, ""], []):
+        ids, sizes = encoder.encode(pa.array(part, pa.string()))
+        expected = [library.encode(t or "", add_special_tokens=False).ids for t in part]
+        assert sizes.tolist() == [len(e) for e in expected]
+        assert ids.tolist() == [i for e in expected for i in e]
+
+
+def test_each_distinct_word_is_looked_up_once():
+    class Counted(WordEncoder):
+        asked = 0
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+    encoder = Counted(vocabulary("word_bpe_49k.json"))
+    ids, sizes = encoder.encode(pa.array(["the end, the end. " * 50] * 200, pa.string()))
+    assert sizes.tolist() == [300] * 200 and len(ids) == 60_000
+    assert encoder.asked == 4
+    encoder.encode(pa.array(["x" * 300_000], pa.string()))
+    assert max(map(len, encoder)) <= 64
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert encode_decode(empty, vocabulary("byte_bpe_50k.json")).count() == 0
