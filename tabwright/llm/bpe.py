@@ -10,8 +10,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from collections import defaultdict
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.blocks import kept, record, text_bytes
+from tabwright.llm.blocks import gathered, kept, parts_of, record, text_bytes
 
 # How byte-level vocabularies split text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -27,7 +29,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 STRICT_PATTERN = (
     r"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--[{newer}]]+| ?[\p{{N}}--[{newer}]]+| ?[[^\s\p{{L}}\p{{N}}][{newer}]]+|\s+(?!\S)|\s+"
 )
-PART_BYTES = 8 << 20
+PART_BYTES = 2 << 20
 CACHE_WORDS = 600_000
 LONG_WORD = 64  # characters of a word whose ids are kept; longer ones are rare unless there is no white space
 RESULT = [
@@ -199,11 +201,16 @@ class PairIndexEncoder:
         if len(cache) > CACHE_WORDS:
             cache.clear()
         cache.update(self.added)
-        split = [self.split(t) for t in texts]
-        fresh = list({w for words in split for w in words if w not in cache})
+        # Each distinct word is held once; texts are numbers of words, which take a tenth of the words themselves.
+        number = defaultdict(count().__next__)
+        placed = [np.fromiter(map(number.__getitem__, words), np.int32, len(words)) for words in map(self.split, texts)]
+        fresh = [w for w in number if w not in cache]
         found = dict(zip(fresh, self.encode_words([w.encode() for w in fresh]), strict=True))
+        packed = [cache[w] if w in cache else found[w] for w in number]
         cache.update({w: ids for w, ids in found.items() if len(w) <= LONG_WORD})
-        return [b"".join([cache[w] if w in cache else found[w] for w in words]) for words in split]
+        lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        table, begins = np.frombuffer(b"".join(packed), "<u4"), np.cumsum(lengths) - lengths
+        return [gathered(table, begins[at], lengths[at]).tobytes() for at in placed]
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that ids stand for."""
@@ -211,22 +218,11 @@ class PairIndexEncoder:
 
 
 def _encoder(path: str, newer: str, with_ids: bool, with_text: bool):
-    def parts(batches):
-        ids, texts, size = [], [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                ids.append(doc_id)
-                texts.append(text.decode())
-                size += len(text)
-                if size >= PART_BYTES:
-                    yield ids, texts
-                    ids, texts, size = [], [], 0
-        yield ids, texts
-
     def run(batches):
         encoder, cache = kept("pair index", (path, newer), lambda: (PairIndexEncoder(path, newer), {}))
-        for doc_ids, texts in parts(batches):
-            encoded = encoder.encode(texts, cache)
+        for part in (p for batch in batches for p in parts_of(batch, PART_BYTES)):
+            doc_ids = part.column(0).to_pylist()
+            encoded = encoder.encode((t.decode() for t in text_bytes(part.column(1))), cache)
             decoded = [encoder.decode(e).decode("utf-8", "replace") for e in encoded]
             sha = lambda data: hashlib.sha256(data).hexdigest()
             yield record(

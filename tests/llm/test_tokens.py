@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -57,6 +58,16 @@ def test_long_words_are_not_kept():
     assert encoder.encode([text], cache) == encoder.encode([text], {}) and max(map(len, cache)) <= 64
 
 
+def test_a_part_holds_each_distinct_word_once():
+    encoder = PairIndexEncoder(vocabulary("byte_bpe_50k.json"))
+    text = "some words that come again and again " * 110  # of 8 MB of them no list of words is made
+    tracemalloc.start()
+    ids = encoder.encode((text for _ in range(2000)), {})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) == 2000 and len(set(ids)) == 1 and peak < 16 * len(text) * 2000 // 5
+
+
 def test_decode_shows_broken_characters():
     encoder = PairIndexEncoder(vocabulary("byte_bpe_50k.json"))
     half = encoder.encode(["é"], {})[0]
