@@ -36,9 +36,12 @@ SIMILARITY = 0.8
 MANY = 0.005  # share of the nodes that a round joins if another one is worth it
 BLOCK = 4096  # nodes of a bucket that are compared in one group with as many others
 SHARD_ROWS = 50_000  # rows of a task that compares blocks
-SHARD_PAIRS = 250  # pairs of a task that aligns
-SLOTS = 128  # of the counts that go along to blocks
-FINE_SLOTS = 512  # of those that pairs are checked by before their words are sent
+CELL_PAIRS = 8192  # pairs that are aligned in one group, in the mean
+SLOTS = 512  # of the counts of words that go along to blocks
+SUMMED = (32, 4, 1)  # slots whose sums are compared, one after another: fewer are soon done, and as sure
+PAIRS = 4096  # whose counts are compared at once
+FEW = 256  # words for each edit that is looked for along diagonals, before the band is filled by columns
+BAND_ROWS = 4096  # rows of the band that are made at once
 CACHE_WORDS = 500_000
 LONG_WORD = 64
 ODD = np.random.default_rng(2024).integers(0, 2**63, (2, 64), np.uint64) | np.uint64(1)
@@ -198,6 +201,39 @@ def plain_edits(a: np.ndarray, b: np.ndarray) -> int:
     return min(most, int(np.maximum(*gaps).sum()))
 
 
+def band_edits(a: list[int], b: list[int], most: int) -> int:
+    """Edits between ``a`` and ``b``, exact if they are at most ``most``, else any larger number.
+
+    Columns of the table are whole numbers with a bit for each of ``BAND_ROWS`` rows, which say where the table rises and
+    falls from row to row. Of each block of rows only the columns in the band are made; around it the table rises.
+    """
+    n, m = len(a), len(b)
+    across = [1] * m  # how the table changes from column to column in the last row made
+    corner = 0  # the table at the block's first column, in the row before the block
+    for start in range(0, n, BAND_ROWS):
+        stop = min(n, start + BAND_ROWS)
+        left, right = max(0, start - most), min(m, stop + most)
+        corner += sum(across[max(0, start - BAND_ROWS - most) : left]) if start else 0
+        places: dict[int, int] = {}
+        for at, word in enumerate(a[start:stop]):
+            places[word] = places.get(word, 0) | 1 << at
+        full, last = (1 << stop - start) - 1, 1 << stop - start - 1
+        rises, falls = full, 0
+        for column in range(left, right):
+            step, equal = across[column], places.get(b[column], 0)
+            upright = equal | falls
+            if step < 0:
+                equal |= 1
+            level = ((((equal & rises) + rises) ^ rises) | equal) & full
+            up, down = falls | full ^ (level | rises), rises & level
+            across[column] = 1 if up & last else -1 if down & last else 0
+            up, down = up << 1 | (step > 0), down << 1 | (step < 0)
+            rises, falls = (down | ~(upright | up)) & full, up & upright & full
+        across[right:] = [1] * (m - right)
+        corner += stop - start
+    return corner + sum(across[max(0, (n - 1) // BAND_ROWS * BAND_ROWS - most) :]) if n else m
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Whether word edits are at most ``1 - similarity`` of the longer text's words."""
     most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
@@ -241,7 +277,7 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
     below = -(n + m + 9)
     reach = np.full(2 * most + 3, below, np.int64)  # of diagonal k at k + most + 1
-    for edits in range(most + 1):
+    for edits in range(min(most, max(n, m) // FEW) + 1):
         lo, hi = max(-edits, -most), min(edits, most)
         k = np.arange(lo, hi + 1)
         at = k + most + 1
@@ -259,22 +295,45 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
         reach = new
         if lo <= m - n <= hi and reach[m - n + most + 1] >= n:
             return True
-    return False
+    return edits < most and band_edits(a.tolist(), b.tolist(), most) <= most
 
 
-def signature(words: np.ndarray, slots: int = SLOTS) -> bytes:
+def signature(words: np.ndarray) -> bytes:
     """Word counts in slots, four bits each and at most 15. An edit changes their sum of differences by two at most."""
-    places = (mixed(words.astype(np.uint64) * BASE + np.uint64(7)) >> np.uint64(20)).astype(np.int64) % slots
-    counts = np.minimum(np.bincount(places, minlength=slots), 15).astype(np.uint8)
+    places = (mixed(words.astype(np.uint64) * BASE + np.uint64(7)) >> np.uint64(20)).astype(np.int64) % SLOTS
+    counts = np.minimum(np.bincount(places, minlength=SLOTS), 15).astype(np.uint8)
     return (counts[::2] << 4 | counts[1::2]).tobytes()
 
 
+def packed_counts(signatures: pa.Array) -> np.ndarray:
+    """Two counts a byte, a row for each signature."""
+    return np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, SLOTS // 2)
+
+
+def summed(packed: np.ndarray, runs: int) -> np.ndarray:
+    """Sums of ``runs`` counts. They lie apart by the number of sums, so that a sum is the count of a slot of fewer."""
+    counts = np.stack([packed >> 4, packed & 15], 2).reshape(-1, runs, SLOTS // runs)
+    return counts.sum(1, dtype=np.int16)
+
+
+def agreeing(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Of pairs of rows ``a`` of ``left`` and ``b`` of ``right``, whether counts allow so many edits."""
+    keep = np.ones(len(a), bool)
+    for at in range(0, len(a), PAIRS):
+        live = np.arange(at, min(at + PAIRS, len(a)))
+        for runs in SUMMED[1:]:
+            differ = np.abs(summed(left[a[live]], runs) - summed(right[b[live]], runs)).sum(1, dtype=np.int32)
+            keep[live] = differ <= 2 * most[live]
+            live = live[keep[live]]
+    return keep
+
+
 def block_pairs(group: np.ndarray, apart: np.ndarray, part: np.ndarray, guest: np.ndarray, component: np.ndarray, words: np.ndarray, signs: np.ndarray, similarity: float):
     """Places of the pairs that may be linked: of one group, which is a run, in different components, not both guests, and
-    of different parts where ``apart``. ``signs``: counts of ``signature``."""
+    of different parts where ``apart``. ``signs``: of ``packed_counts``."""
     heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     ends = np.repeat(np.concatenate([heads[1:], [len(group)]]), np.diff(np.concatenate([heads, [len(group)]])))
-    coarse = signs.reshape(-1, SLOTS // 8, 8).sum(2, dtype=np.int16)  # at most 8 * 15
+    sums = summed(signs, SUMMED[0])
     one, two = [], []
     live, step = np.arange(len(group)), 1
     while len(live := live[live + step < ends[live]]):
@@ -284,9 +343,10 @@ def block_pairs(group: np.ndarray, apart: np.ndarray, part: np.ndarray, guest: n
         most = np.floor((1 - similarity) * np.maximum(words[a], words[b]) + 1e-9)
         keep = np.abs(words[a] - words[b]) <= most
         a, b, most = a[keep], b[keep], most[keep]
-        for counts in (coarse, signs):  # sums of slots first, which are as sure and soon done
-            keep = np.abs(counts[a] - counts[b]).sum(1, dtype=np.int32) <= 2 * most
-            a, b, most = a[keep], b[keep], most[keep]
+        keep = np.abs(sums[a] - sums[b]).sum(1, dtype=np.int32) <= 2 * most
+        a, b, most = a[keep], b[keep], most[keep]
+        keep = agreeing(signs, signs, a, b, most)
+        a, b = a[keep], b[keep]
         one.append(a)
         two.append(b)
         step += 1
@@ -304,7 +364,7 @@ def _pairer(similarity: float):
         block, tag, words, component = (columns[n].to_numpy() for n in ("block", "tag", "words", "component"))
         new = np.ones(table.num_rows, bool)
         new[1:] = block[1:] != block[:-1]
-        signs = counts_of(columns["signature"])
+        signs = packed_counts(columns["signature"])
         one, two = block_pairs(np.cumsum(new), tag & 1 > 0, tag >> 2, tag & 2 > 0, component, words.astype(np.int64), signs, similarity)
         return pa.RecordBatch.from_arrays([columns["node"].take(pa.array(one)), columns["node"].take(pa.array(two))], ["one", "two"])
 
@@ -380,13 +440,12 @@ def _sketcher(shingle: int, sketches: int, similarity: float):
         return np.unique(np.concatenate([sketch(words, shingle, sketches), single_keys(words, sketches, similarity)]))
 
     def run(packed, wanted):
-        found = list(_wanted_texts(packed, wanted, lambda w: (len(w), signature(w), signature(w, FINE_SLOTS), keys(w))))
+        found = list(_wanted_texts(packed, wanted, lambda w: (len(w), signature(w), keys(w))))
         return pa.table(
             {
                 "node": pa.array([n for n, _ in found], pa.int64()),
                 "words": pa.array([w for _, (w, *_) in found], pa.int32()),
-                "signature": pa.array([s for _, (_, s, *_) in found], pa.binary()),
-                "fine": pa.array([s for _, (_, _, s, _) in found], pa.binary()),
+                "signature": pa.array([s for _, (_, s, _) in found], pa.binary()),
                 "keys": pa.array([k for _, (*_, k) in found], pa.list_(pa.int64())),
             }
         )
@@ -399,11 +458,6 @@ def _tokens(packed, wanted):
     return pa.table({"node": pa.array([n for n, _ in found], pa.int64()), "tokens": pa.array([t for _, t in found], pa.binary())})
 
 
-def counts_of(signatures: pa.Array, slots: int = SLOTS) -> np.ndarray:
-    packed = np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, slots // 2)
-    return np.stack([packed >> 4, packed & 15], 2).reshape(-1, slots).astype(np.int16)
-
-
 def _likely(similarity: float):
     """Pairs that may be linked by their lengths and by the counts in their signatures."""
 
@@ -411,25 +465,33 @@ def _likely(similarity: float):
         for batch in batches:
             words = [batch.column(n).to_numpy().astype(np.int64) for n in ("words_a", "words_b")]
             most = np.floor((1 - similarity) * np.maximum(*words) + 1e-9)
-            one, two = (counts_of(batch.column(n), FINE_SLOTS) for n in ("left", "right"))
-            keep = (np.abs(words[0] - words[1]) <= most) & (np.abs(one - two).sum(1, dtype=np.int32) <= 2 * most)
+            near, signs = np.flatnonzero(np.abs(words[0] - words[1]) <= most), [packed_counts(batch.column(n)) for n in ("left", "right")]
+            keep = np.zeros(len(most), bool)
+            keep[near] = agreeing(*signs, near, near, most[near])
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _aligner(similarity: float):
-    def align(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                b = np.frombuffer(expand(b.as_py()), np.uint32)
-                keep.append(similar(np.frombuffer(expand(a.as_py()), np.uint32), b, similarity))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    def align(pairs, texts):
+        tokens = dict(zip(texts.column("node").to_pylist(), texts.column("tokens").to_pylist(), strict=True))
+        keep = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            keep.append(similar(np.frombuffer(expand(tokens[a]), np.uint32), np.frombuffer(expand(tokens[b]), np.uint32), similarity))
+        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return align
 
 
+def in_cells(pairs: DataFrame, number: int) -> DataFrame:
+    """(cell, a, b) of ``number`` pairs. A cell is where two shares of the nodes meet, so that a node that is in many pairs is in
+    few cells: no more than there are shares."""
+    shares = max(1, math.ceil(math.sqrt(2 * number / CELL_PAIRS)))
+    a, b = (F.pmod(F.xxhash64(n, F.lit(-2)), F.lit(shares)) for n in ("a", "b"))
+    return pairs.select((F.least(a, b) * shares + F.greatest(a, b)).alias("cell"), "a", "b")
+
+
 def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Component of every node of (a, b) links: the smallest node of it. Columns node, component.
 
@@ -548,7 +610,7 @@ def _classed(docs: DataFrame, shingle: int, similarity: float, sketches: int) ->
     nodes = scratch.write(rows.groupBy("node").agg(first, F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
 
     wanted = nodes.select(F.col("first").alias("number")).withColumn("block", block_of(F.col("number")))
-    sketched = blocks.answer(wanted, _sketcher(shingle, sketches, similarity), "node long, words int, signature binary, fine binary, keys array<long>")
+    sketched = blocks.answer(wanted, _sketcher(shingle, sketches, similarity), "node long, words int, signature binary, keys array<long>")
     sketched = scratch.write(sketched)
     every = sketched.select("node", "words", F.explode("keys").alias("key"))  # a text's keys differ
     shared = every.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1").select("key")
@@ -587,22 +649,22 @@ def _linked(entries: DataFrame, sketched: DataFrame, blocks: Blocks, similarity:
     entered, nodes_in = entries.count(), entries.select("node").distinct().count()
     labels, checked, number, joined = None, None, 0, 0
 
-    def aligned(pairs: DataFrame) -> DataFrame:
-        sides = [sketched.select(F.col("node").alias(n), F.col("words").alias(f"words_{n}"), F.col("fine").alias(s)) for n, s in (("a", "left"), ("b", "right"))]
-        both = pairs.join(sides[0], "a").join(sides[1], "b")
-        likely = scratch.write(both.mapInArrow(_likely(similarity), "a long, b long"))
+    def aligned(pairs: DataFrame, compared: bool) -> DataFrame:
+        sides = [sketched.select(F.col("node").alias(n), F.col("words").alias(f"words_{n}"), F.col("signature").alias(s)) for n, s in (("a", "left"), ("b", "right"))]
+        likely = pairs if compared else pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_likely(similarity), "a long, b long")
+        likely = scratch.write(likely)
         wanted = likely.select(F.col("a").alias("number")).union(likely.select("b")).distinct().withColumn("block", block_of(F.col("number")))
         tokens = scratch.write(blocks.answer(wanted, _tokens, "node long, tokens binary"))
-        one = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("left"))
-        two = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
-        shards = max(1, -(-likely.count() // SHARD_PAIRS))
-        whole = likely.join(one, "a").join(two, "b").select("a", "b", "left", "right").repartition(shards, "a", "b")
-        links = scratch.write(whole.mapInArrow(_aligner(similarity), "a long, b long"))
+        # Each cell gets the words of its nodes once, however many pairs they are in.
+        cells = in_cells(likely, likely.count())
+        nodes = cells.select("cell", F.col("a").alias("node")).union(cells.select("cell", "b")).distinct()
+        texts = nodes.join(tokens, "node").select(F.col("cell").alias("met"), "node", "tokens")
+        links = scratch.write(cells.groupBy("cell").cogroup(texts.groupBy("met")).applyInArrow(_aligner(similarity), "a long, b long"))
         scratch.drop(likely, tokens)
         return links
 
-    def joined_by(pairs: DataFrame) -> DataFrame | None:
-        links, after = aligned(pairs), labels
+    def joined_by(pairs: DataFrame, compared: bool = False) -> DataFrame | None:
+        links, after = aligned(pairs, compared), labels
         if links.limit(1).count():
             after = components(links, scratch) if labels is None else extended(labels, links, scratch)
         scratch.drop(links)
@@ -637,12 +699,12 @@ def _linked(entries: DataFrame, sketched: DataFrame, blocks: Blocks, similarity:
                 apart = F.pmod(F.xxhash64("a", "b"), F.lit(some))
                 part = _ends(pairs, labels).groupBy("of_a", "of_b", apart).agg(F.min(F.struct("a", "b")).alias("pair"))
                 part = scratch.write(part.select("pair.a", "pair.b"))
-                labels = joined_by(part)
+                labels = joined_by(part, True)
                 rest = _ends(pairs.join(part, ["a", "b"], "left_anti"), labels)
                 after = scratch.write(rest.where("of_a <> of_b").select("a", "b"))
                 scratch.drop(pairs, part)
                 pairs = after
             else:
-                labels = joined_by(pairs)
+                labels = joined_by(pairs, True)  # counts were compared in blocks
                 break
     return labels

@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tabwright.llm.near_dedup import Words, near_duplicates, plain_edits, representatives, short_keys, similar, sketch
+from tabwright.llm import near_dedup
+from tabwright.llm.near_dedup import Words, band_edits, near_duplicates, plain_edits, representatives, short_keys, similar, sketch
 
 SCHEMA = "doc_id long, text string, node string, key int"
 
@@ -33,6 +35,58 @@ def change(rng, words, number):
     return words
 
 
+@pytest.mark.parametrize("rows", [1, 3, 16, 4096])
+def test_band_equals_the_table(monkeypatch, rows):
+    """With bands of many blocks too; beyond the limit any larger number may come out."""
+    monkeypatch.setattr(near_dedup, "BAND_ROWS", rows)
+    rng = random.Random(rows)
+    for _ in range(400):
+        a = [rng.randrange(9) for _ in range(rng.randrange(0, 40))]
+        b = change(rng, a, rng.randrange(0, 12)) if rng.random() < 0.8 else [rng.randrange(9) for _ in range(rng.randrange(0, 40))]
+        true = edits(a, b)
+        for most in (0, 1, 3, 8, 50):
+            if abs(len(a) - len(b)) <= most:
+                found = band_edits(a, b, most)
+                assert found == true if true <= most else found > most
+
+
+def test_many_edits_cost_columns_not_diagonals(monkeypatch):
+    """A text near the limit is settled by one pass over the columns of the band."""
+    rng = random.Random(3)
+    a = [rng.randrange(200) for _ in range(1500)]
+    b = [n for n in change(rng, a, 240) if isinstance(n, int)]
+    steps = []
+    monkeypatch.setattr(near_dedup, "plain_edits", lambda a, b: steps.append(0) or len(a) + len(b))
+    monkeypatch.setattr(near_dedup, "band_edits", lambda a, b, most: steps.append(most) or band_edits(a, b, most))
+    a, b = (np.array(x, np.uint32) for x in (a, b))
+    assert similar(a, b) and edits(a.tolist(), b.tolist()) <= 300
+    assert len(steps) == 2
+
+
+def test_pairs_leave_a_block_only_if_all_counts_allow_them():
+    """As pairs they would carry both counts through a shuffle."""
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 90, rng.integers(40, 60)).astype(np.uint32) for _ in range(150)]
+    counts = np.array([np.bincount(near_dedup.mixed(t.astype(np.uint64) * near_dedup.BASE + np.uint64(7)).view(np.int64) >> 20 & 511, minlength=512) for t in texts])
+    signs = near_dedup.packed_counts(pa.array([near_dedup.signature(t) for t in texts], pa.binary()))
+    none, words = np.zeros(150, bool), np.array([len(t) for t in texts])
+    one, two = near_dedup.block_pairs(none, none, none, none, np.arange(150), words, signs, 0.4)
+    most = np.floor(0.6 * np.maximum(words[:, None], words) + 1e-9)
+    likely = (np.abs(words[:, None] - words) <= most) & (np.abs(counts[:, None] - counts).sum(2) <= 2 * most)
+    assert 0 < len(one) < 150 * 149 // 4
+    assert sorted(zip(one.tolist(), two.tolist(), strict=True)) == list(zip(*(x.tolist() for x in np.nonzero(np.triu(likely, 1))), strict=True))
+
+
+def test_a_node_of_many_pairs_is_sent_to_few_cells(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CELL_PAIRS", 100)
+    pairs = spark.range(79_800).selectExpr("id DIV 400 AS a", "400 + id % 400 AS b")
+    cells = near_dedup.in_cells(pairs, 79_800).cache()
+    rows = cells.groupBy("cell").count().collect()
+    assert sum(r["count"] for r in rows) == 79_800 and len(rows) > 400 and max(r["count"] for r in rows) < 1000
+    sent = cells.selectExpr("cell", "a AS node").union(cells.selectExpr("cell", "b AS node")).distinct().groupBy("node").count()
+    assert sent.agg({"count": "max"}).first()[0] <= 40  # as pairs up to 400 times
+
+
 def test_alignment_equals_the_table():
     rng = random.Random(1)
     for _ in range(300):
