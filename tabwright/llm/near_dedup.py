@@ -22,6 +22,7 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +37,12 @@ SIMILARITY = 0.8
 MANY = 0.005  # share of the nodes that a round joins if another one is worth it
 BLOCK = 4096  # nodes of a bucket that are compared in one group with as many others
 SHARD_ROWS = 50_000  # rows of a task that compares blocks
-CELL_PAIRS = 8192  # pairs that are aligned in one group, in the mean
-SLOTS = 512  # of the counts of words that go along to blocks
-SUMMED = (32, 4, 1)  # slots whose sums are compared, one after another: fewer are soon done, and as sure
-PAIRS = 4096  # whose counts are compared at once
+CELL_PAIRS = 1024  # pairs that are aligned in one group, in the mean
+LED = 256  # the same for pairs of nodes with leaders
+SLOTS = 512  # of the counts of words that are compared in blocks
+FINE = 2048  # slots of the counts that nodes keep: in long texts two words seldom share one
+SUMMED = (16, 4)  # slots whose sums are compared before their counts, one after another: fewer are soon done, and as sure
+PAIRS = 1024  # whose counts are compared at once
 FEW = 256  # words for each edit that is looked for along diagonals, before the band is filled by columns
 BAND_ROWS = 4096  # rows of the band that are made at once
 CACHE_WORDS = 500_000
@@ -88,13 +91,18 @@ def labelled(words: np.ndarray, shingle: int) -> np.ndarray:
     kmers = wide[:count].copy()
     for n in range(1, shingle):
         kmers = kmers * BASE + wide[n : n + count]
-    order = np.argsort(kmers, kind="stable")
+    order = np.argsort(kmers)
     ordered = kmers[order]
-    fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    heads = np.flatnonzero(fresh)
-    label = np.empty(count, np.uint64)
-    label[order] = (np.arange(count) - np.repeat(heads, np.diff(np.concatenate([heads, [count]])))).astype(np.uint64)
-    return mixed(kmers + label * np.uint64(0xBF58476D1CE4E5B9))
+    again = np.zeros(count + 1, bool)
+    again[1:-1] = ordered[1:] == ordered[:-1]
+    if again.any():  # k-mers that occur once have label zero
+        places = np.sort(order[again[1:] | again[:-1]])
+        order = places[np.argsort(kmers[places], kind="stable")]
+        ordered = kmers[order]
+        heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        label = np.arange(len(order)) - np.repeat(heads, np.diff(np.concatenate([heads, [len(order)]])))
+        kmers[order] += label.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed(kmers)
 
 
 def sketch(words: np.ndarray, shingle: int = SHINGLE, sketches: int = SKETCHES) -> np.ndarray:
@@ -298,33 +306,57 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return edits < most and band_edits(a.tolist(), b.tolist(), most) <= most
 
 
-def signature(words: np.ndarray) -> bytes:
+def signature(words: np.ndarray, slots: int = SLOTS) -> bytes:
     """Word counts in slots, four bits each and at most 15. An edit changes their sum of differences by two at most."""
-    places = (mixed(words.astype(np.uint64) * BASE + np.uint64(7)) >> np.uint64(20)).astype(np.int64) % SLOTS
-    counts = np.minimum(np.bincount(places, minlength=SLOTS), 15).astype(np.uint8)
+    places = (mixed(words.astype(np.uint64) * BASE + np.uint64(7)) >> np.uint64(20)).astype(np.int64) % slots
+    counts = np.minimum(np.bincount(places, minlength=slots), 15).astype(np.uint8)
     return (counts[::2] << 4 | counts[1::2]).tobytes()
 
 
-def packed_counts(signatures: pa.Array) -> np.ndarray:
+def packed_counts(signatures: pa.Array, slots: int = SLOTS) -> np.ndarray:
     """Two counts a byte, a row for each signature."""
-    return np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, SLOTS // 2)
+    return np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, slots // 2)
+
+
+def fine_counts(signatures: pa.Array) -> np.ndarray:
+    """Rows of ``packed_counts`` of squeezed signatures in ``FINE`` slots."""
+    unpacker = zstandard.ZstdDecompressor()
+    return np.frombuffer(b"".join(map(unpacker.decompress, signatures.to_pylist())), np.uint8).reshape(-1, FINE // 2)
+
+
+def coarse(fine: np.ndarray) -> np.ndarray:
+    """The signatures in ``SLOTS`` slots of the texts with these in ``FINE`` slots."""
+    out = np.empty((len(fine), SLOTS // 2), np.uint8)
+    for at in range(0, len(fine), PAIRS):
+        some = fine[at : at + PAIRS].reshape(-1, FINE // SLOTS, SLOTS // 2)
+        high, low = (np.minimum(counts.sum(1, dtype=np.uint8), 15) for counts in (some >> 4, some & 15))
+        out[at : at + PAIRS] = high << 4 | low
+    return out
 
 
 def summed(packed: np.ndarray, runs: int) -> np.ndarray:
-    """Sums of ``runs`` counts. They lie apart by the number of sums, so that a sum is the count of a slot of fewer."""
-    counts = np.stack([packed >> 4, packed & 15], 2).reshape(-1, runs, SLOTS // runs)
-    return counts.sum(1, dtype=np.int16)
+    """Sums of ``runs`` counts, at most 255. They lie apart by the number of sums, so that a sum is the count of a slot of fewer."""
+    out = np.empty((len(packed), SLOTS // runs), np.uint8)
+    for at in range(0, len(packed), PAIRS):
+        some = packed[at : at + PAIRS]
+        counts = np.stack([some >> 4, some & 15], 2).reshape(-1, runs, SLOTS // runs)
+        out[at : at + PAIRS] = np.minimum(counts.sum(1, dtype=np.uint16), 255)
+    return out
 
 
-def agreeing(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Of pairs of rows ``a`` of ``left`` and ``b`` of ``right``, whether counts allow so many edits."""
-    keep = np.ones(len(a), bool)
+def apart_by(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sum of the differences of bytes, row by row."""
+    return (np.maximum(left, right) - np.minimum(left, right)).sum(1, dtype=np.int32)
+
+
+def agreeing(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, packed: bool = True) -> np.ndarray:
+    """Of pairs of rows ``a`` of ``left`` and ``b`` of ``right``, whether the sum of differences is at most ``most``. Rows
+    are bytes, or with ``packed`` two counts a byte."""
+    keep = np.zeros(len(a), bool)
     for at in range(0, len(a), PAIRS):
-        live = np.arange(at, min(at + PAIRS, len(a)))
-        for runs in SUMMED[1:]:
-            differ = np.abs(summed(left[a[live]], runs) - summed(right[b[live]], runs)).sum(1, dtype=np.int32)
-            keep[live] = differ <= 2 * most[live]
-            live = live[keep[live]]
+        one, two = left[a[at : at + PAIRS]], right[b[at : at + PAIRS]]
+        differ = apart_by(one >> 4, two >> 4) + apart_by(one & 15, two & 15) if packed else apart_by(one, two)
+        keep[at : at + PAIRS] = differ <= most[at : at + PAIRS]
     return keep
 
 
@@ -333,7 +365,7 @@ def block_pairs(group: np.ndarray, apart: np.ndarray, part: np.ndarray, guest: n
     of different parts where ``apart``. ``signs``: of ``packed_counts``."""
     heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     ends = np.repeat(np.concatenate([heads[1:], [len(group)]]), np.diff(np.concatenate([heads, [len(group)]])))
-    sums = summed(signs, SUMMED[0])
+    levels = [*((summed(signs, runs), False) for runs in SUMMED), (signs, True)]
     one, two = [], []
     live, step = np.arange(len(group)), 1
     while len(live := live[live + step < ends[live]]):
@@ -343,16 +375,22 @@ def block_pairs(group: np.ndarray, apart: np.ndarray, part: np.ndarray, guest: n
         most = np.floor((1 - similarity) * np.maximum(words[a], words[b]) + 1e-9)
         keep = np.abs(words[a] - words[b]) <= most
         a, b, most = a[keep], b[keep], most[keep]
-        keep = np.abs(sums[a] - sums[b]).sum(1, dtype=np.int32) <= 2 * most
-        a, b, most = a[keep], b[keep], most[keep]
-        keep = agreeing(signs, signs, a, b, most)
-        a, b = a[keep], b[keep]
+        for counts, packed in levels:
+            keep = agreeing(counts, counts, a, b, 2 * most, packed)
+            a, b, most = a[keep], b[keep], most[keep]
         one.append(a)
         two.append(b)
         step += 1
     return (np.concatenate(one), np.concatenate(two)) if one else (np.zeros(0, np.int64),) * 2
 
 
+def fine_agreeing(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, words_a: np.ndarray, words_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Of pairs of rows of ``fine_counts``, whether counts and lengths allow a link. Words put in or left out change one
+    count each, and there are as many of them at least as the lengths differ by."""
+    most, differ = np.floor((1 - similarity) * np.maximum(words_a, words_b) + 1e-9), np.abs(words_a - words_b)
+    return (differ <= most) & agreeing(left, right, a, b, 2 * most - differ)
+
+
 def _pairer(similarity: float):
     """Rows in order of blocks: pairs of nodes that may be linked. Blocks are not cut by batches.
 
@@ -364,8 +402,10 @@ def _pairer(similarity: float):
         block, tag, words, component = (columns[n].to_numpy() for n in ("block", "tag", "words", "component"))
         new = np.ones(table.num_rows, bool)
         new[1:] = block[1:] != block[:-1]
-        signs = packed_counts(columns["signature"])
-        one, two = block_pairs(np.cumsum(new), tag & 1 > 0, tag >> 2, tag & 2 > 0, component, words.astype(np.int64), signs, similarity)
+        fine, words = fine_counts(columns["signature"]), words.astype(np.int64)
+        one, two = block_pairs(np.cumsum(new), tag & 1 > 0, tag >> 2, tag & 2 > 0, component, words, coarse(fine), similarity)
+        keep = fine_agreeing(fine, fine, one, two, words[one], words[two], similarity)
+        one, two = one[keep], two[keep]
         return pa.RecordBatch.from_arrays([columns["node"].take(pa.array(one)), columns["node"].take(pa.array(two))], ["one", "two"])
 
     def run(batches):
@@ -440,7 +480,7 @@ def _sketcher(shingle: int, sketches: int, similarity: float):
         return np.unique(np.concatenate([sketch(words, shingle, sketches), single_keys(words, sketches, similarity)]))
 
     def run(packed, wanted):
-        found = list(_wanted_texts(packed, wanted, lambda w: (len(w), signature(w), keys(w))))
+        found = list(_wanted_texts(packed, wanted, lambda w: (len(w), squeeze(signature(w, FINE)), keys(w))))
         return pa.table(
             {
                 "node": pa.array([n for n, _ in found], pa.int64()),
@@ -464,10 +504,8 @@ def _likely(similarity: float):
     def run(batches):
         for batch in batches:
             words = [batch.column(n).to_numpy().astype(np.int64) for n in ("words_a", "words_b")]
-            most = np.floor((1 - similarity) * np.maximum(*words) + 1e-9)
-            near, signs = np.flatnonzero(np.abs(words[0] - words[1]) <= most), [packed_counts(batch.column(n)) for n in ("left", "right")]
-            keep = np.zeros(len(most), bool)
-            keep[near] = agreeing(*signs, near, near, most[near])
+            every = np.arange(batch.num_rows)
+            keep = fine_agreeing(*(fine_counts(batch.column(n)) for n in ("left", "right")), every, every, *words, similarity)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -492,6 +530,18 @@ def in_cells(pairs: DataFrame, number: int) -> DataFrame:
     return pairs.select((F.least(a, b) * shares + F.greatest(a, b)).alias("cell"), "a", "b")
 
 
+def by_leaders(pairs: DataFrame, number: int) -> DataFrame:
+    """(cell, a, b) of ``number`` pairs that are stars around few nodes. Most nodes are in one pair and so in one cell; one
+    that is in more than ``LED`` pairs is in a cell for each so many."""
+    degrees = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
+    for end in ("a", "b"):
+        pairs = pairs.join(degrees.select(F.col("node").alias(end), F.col("degree").alias(f"of_{end}")), end)
+    leads = F.col("of_a") >= F.col("of_b")
+    leader, led = F.when(leads, F.col("a")).otherwise(F.col("b")), F.when(leads, F.col("b")).otherwise(F.col("a"))
+    share = F.pmod(F.xxhash64(led, F.lit(-3)), F.ceil(F.greatest("of_a", "of_b") / F.lit(LED)))
+    return pairs.select(F.pmod(F.xxhash64(leader, share), F.lit(max(1, -(-number // LED)))).alias("cell"), "a", "b")
+
+
 def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Component of every node of (a, b) links: the smallest node of it. Columns node, component.
 
@@ -585,9 +635,10 @@ def _open_pairs(current: DataFrame, rooms: DataFrame, sketched: DataFrame, simil
     rows = current.join(rooms.select("key"), "key").withColumn("band", band)
     rows = rows.select("key", "node", "words", "component", F.inline(F.array(*[F.struct((F.col("band") + n).alias("band"), F.lit(n).alias("guest")) for n in (0, 1)])))
     group = ["key", "band"]
-    alive = rows.groupBy(*group).agg(F.count("*").alias("nodes"), F.sum("guest").alias("guests"), F.min("component").alias("low"), F.max("component").alias("high"))
-    alive = alive.where("guests < nodes and low <> high").select(*group, F.ceil(F.col("nodes") / F.lit(BLOCK)).cast("int").alias("parts"))
-    members = rows.join(alive, group).withColumn("part", F.pmod(F.xxhash64("node", F.lit(-1)), "parts").cast("int"))
+    alive = rows.groupBy(*group).agg(F.count("*").alias("nodes"), F.sum("guest").alias("guests"), F.min(F.when(F.col("guest") == 0, F.col("words"))).alias("least"), F.min("component").alias("low"), F.max("component").alias("high"))
+    alive = alive.where("guests < nodes and low <> high").select(*group, "least", F.ceil(F.col("nodes") / F.lit(BLOCK)).cast("int").alias("parts"))
+    reached = (F.col("guest") == 0) | (F.col("words") >= F.lit(similarity) * F.col("least") - 1)  # guests that some of the band may be linked to
+    members = rows.join(alive, group).where(reached).withColumn("part", F.pmod(F.xxhash64("node", F.lit(-1)), "parts").cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # Two groups of one hash are compared with each other as well, which does no harm.
     block = F.xxhash64(*group, F.least("part", "other"), F.greatest("part", "other"))
@@ -656,7 +707,7 @@ def _linked(entries: DataFrame, sketched: DataFrame, blocks: Blocks, similarity:
         wanted = likely.select(F.col("a").alias("number")).union(likely.select("b")).distinct().withColumn("block", block_of(F.col("number")))
         tokens = scratch.write(blocks.answer(wanted, _tokens, "node long, tokens binary"))
         # Each cell gets the words of its nodes once, however many pairs they are in.
-        cells = in_cells(likely, likely.count())
+        cells = (in_cells if compared else by_leaders)(likely, likely.count())
         nodes = cells.select("cell", F.col("a").alias("node")).union(cells.select("cell", "b")).distinct()
         texts = nodes.join(tokens, "node").select(F.col("cell").alias("met"), "node", "tokens")
         links = scratch.write(cells.groupBy("cell").cogroup(texts.groupBy("met")).applyInArrow(_aligner(similarity), "a long, b long"))
