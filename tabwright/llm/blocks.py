@@ -58,9 +58,9 @@ def gathered(table: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.nda
     return table[np.arange(sizes.sum()) + np.repeat(begins - before, sizes)]
 
 
-def parts_of(batch: pa.RecordBatch, most: int):
+def parts_of(batch: pa.RecordBatch, most: int, column: int = 1):
     """The rows of a batch in order, cut where a part has so many bytes of text, or more by its last row."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
     number = (np.cumsum(sizes) - sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(sizes)]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -110,14 +110,17 @@ def unpack(ids: bytes, lens: bytes, text: bytes) -> tuple[np.ndarray, np.ndarray
 
 
 def kept(kind: str, key, make: Callable[[], object]):
-    """What ``make`` gives, kept by the worker process for its next tasks; of each kind only the last key's.
+    """What ``make`` gives, kept by the worker process for its next tasks; only the last kind's and key's.
 
-    Task functions travel by value, so that their own globals end with the task. The kept object must be bounded.
+    Task functions travel by value, so that their own globals end with the task. The kept object must be bounded. What a
+    stage before has kept goes first, as a worker of one stage of a pipeline is taken for the next.
     """
     store = sys.modules.setdefault("kept_by_worker", types.ModuleType("kept_by_worker")).__dict__
-    if store.get(kind, (None,))[0] != key:
-        store[kind] = (key, make())
-    return store[kind][1]
+    if store.get("last", (None, None, None))[:2] != (kind, key):
+        store.pop("last", None)
+        pa.default_memory_pool().release_unused()
+        store["last"] = (kind, key, make())
+    return store["last"][2]
 
 
 def unused_name(name: str, taken: list[str]) -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.blocks import kept, text_bytes, written
+from tabwright.llm.blocks import kept, parts_of, text_bytes, written
 from tabwright.llm.languages import fold
 
 LENGTH = 4
@@ -34,7 +34,8 @@ SAMPLE = 1500
 ROUNDS = 4
 LONGEST = 24
 PAIRS = 2_000  # word pairs at once: their cells stay in the processor's cache
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
+PART_BYTES = 1 << 20  # of texts that are split into words at once
 THRESHOLD = 0.3
 RUN = 4  # so many single letters in a row are one spelled-out word
 NOT_LETTERS = re.compile(r"[\W_]+")
@@ -163,7 +164,11 @@ class Sentences:
         distinct = {w: n for n, w in enumerate(dict.fromkeys(cleaned))}
         features = self.landmarks.features(list(distinct))
         at = np.fromiter((distinct[c] for c in cleaned), np.int64, len(cleaned))
-        self.table = np.concatenate([self.table, features[at]])
+        if len(self.number) > len(self.table):
+            grown = np.empty((len(self.number) * 5 // 4, len(self.landmarks.words)), np.float32)
+            grown[: len(self.table)] = self.table
+            self.table = grown
+        self.table[len(self.number) - len(words) : len(self.number)] = features[at]
         self.ends = np.concatenate([self.ends, np.fromiter((w.endswith(ENDS) for w in words), bool, len(words))])
         self.single = np.concatenate([self.single, np.fromiter((len(c) == 1 for c in cleaned), bool, len(cleaned))])
 
@@ -238,7 +243,7 @@ def choose(candidates: list[tuple[str, float, set]], toxic: int, most: int) -> l
 def _bag_maker(words: list[str]):
     def make(batches):
         sentences = Sentences(Landmarks(words))
-        for batch in batches:
+        for batch in (p for b in batches for p in parts_of(b, PART_BYTES, 0)):
             texts = [t.decode() for t in text_bytes(batch.column(0))]
             rows, begins = sentences.of(texts)
             bags = [rows[a:b].astype(np.float16).tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)]
@@ -298,8 +303,8 @@ def _scorer(words, weight, bias, curve):
         sentences = kept("toxic words", tuple(words), lambda: Sentences(Landmarks(words)))
         for batch in batches:
             facts = []
-            for at in range(0, batch.num_rows, 1000):
-                rows, begins = sentences.of([t.decode() for t in text_bytes(batch.column(2).slice(at, 1000))])
+            for part in parts_of(batch, PART_BYTES, 2):
+                rows, begins = sentences.of([t.decode() for t in text_bytes(part.column(2))])
                 each = rows @ weight + bias if len(words) else np.full(len(rows), -1.0)
                 facts += [(1.0, *summary(each[a:b])) for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
             chance = 1 / (1 + np.exp(-np.clip(np.array(facts, np.float64).reshape(-1, 4) @ curve, -30, 30)))
@@ -368,7 +373,7 @@ def _rejecter(model, place: int):
     score = _scorer(*model)
 
     def keep(batches):
-        for batch in batches:
+        for batch in (p for b in batches for p in parts_of(b, PART_BYTES, place)):
             empty = pa.nulls(batch.num_rows, pa.int64())
             part = pa.RecordBatch.from_arrays([empty, pa.nulls(batch.num_rows, pa.bool_()), batch.column(place)], ["doc_id", "held_out", "text"])
             for scored in score([part]):

@@ -1,11 +1,48 @@
 """What a worker holds at once, and how many rows the steps between nodes of large groups make."""
 
 import random
+import weakref
 
 import numpy as np
 import pyarrow as pa
 
-from tabwright.llm import near_dedup
+from tabwright.llm import near_dedup, toxicity
+from tabwright.llm.blocks import kept
+
+
+class Large:
+    """Something that a stage keeps."""
+
+
+def test_a_stage_lets_go_what_another_has_kept():
+    first = weakref.ref(kept("test one", 1, Large))
+    assert kept("test one", 1, Large) is first()
+    second = weakref.ref(kept("test two", 1, Large))
+    assert first() is None and second() is not None
+    assert kept("test two", 2, Large) is not second() and second() is None
+
+
+def test_toxicity_splits_few_texts_at_once(monkeypatch):
+    """Whatever the number of rows in a batch; the rows and their order stay."""
+    sizes = []
+    plain = toxicity.Sentences.of
+    monkeypatch.setattr(toxicity.Sentences, "of", lambda self, texts: sizes.append(sum(map(len, texts))) or plain(self, texts))
+    texts = [f"word{n} idiot. " * 1000 for n in range(400)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(402), pa.int64()), "text": pa.array(texts, pa.string())})
+    model = (["^idiot", "^plain"], np.array([-1.0, 0.0]), 0.0, np.array([-5.0, 1.0, 0.0, 0.0]))
+    out = list(toxicity._rejecter(model, 1)([batch]))
+    assert max(sizes) <= (1 << 20) + 15_000 and max(b.nbytes for b in out) < 2 << 20
+    assert pa.Table.from_batches(out).equals(pa.Table.from_batches([batch]))
+
+
+def test_words_are_learned_anew_when_many_are_known(monkeypatch):
+    monkeypatch.setattr(toxicity, "CACHE_WORDS", 50)
+    words, rng = [f"w{n}idiot" for n in range(400)], random.Random(2)
+    texts = [" ".join(rng.choices(words, k=30)) + "." for _ in range(60)]
+    marks = toxicity.Landmarks(["^idiot", "^plain"])
+    few, every = toxicity.Sentences(marks), toxicity.Sentences(marks)
+    found = np.concatenate([few.of([t])[0] for t in texts])
+    assert (found == every.of(texts)[0]).all() and len(few.number) <= 80
 
 
 def test_long_texts_of_common_words_are_no_pairs():
