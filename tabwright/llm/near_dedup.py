@@ -9,7 +9,7 @@ of them that may be linked is missed. Texts that are equal word for word are one
 candidates. Large classes form in rounds: within a bucket every node is compared with the bucket's leaders, and
 verified links join nodes to components. Leaders are drawn over the components of a bucket; the first round takes one
 leader for each node, the others all of them. Rounds go on while they join many nodes. Then all pairs of nodes in one
-bucket and different components are settled: those are found whose lengths and word counts in ``SLOTS`` slots allow a link, by bands of length and block by block. Some of each two components are aligned first; then all that are in different components still. Alignment allows as many word edits as ``1 - SIMILARITY`` of the longer
+bucket and different components are settled: those are found whose lengths and word counts in ``SLOTS``, then in ``FINE`` slots allow a link, by bands of length and block by block. Some of each two components are aligned first; then all that are in different components still. Alignment allows as many word edits as ``1 - SIMILARITY`` of the longer
 text: the band of the table of furthest-reaching paths.
 """
 
